@@ -1,0 +1,6 @@
+"""Registered queries over the star schema, each with its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
