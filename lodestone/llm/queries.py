@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, toxicity, warc
+from . import byte_bpe, exact_dedup, near_dedup, packing, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op7_exact_dedup, op8_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op7_exact_dedup, op8_packing, op10_toxicity)}
 ORACLES = {"op7_exact_dedup": exact_dedup.SQL}

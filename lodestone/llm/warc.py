@@ -26,6 +26,8 @@ from .common import fresh, pick, written
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
 SPLIT_BYTES = 8 << 20
+#: Ranges are dealt to at most so many tasks; each may then read several.
+MAX_TASKS = 100_000
 MANIFEST = "path string, bytes long, records long"
 RECORD = "path string, start long, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
@@ -200,9 +202,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 if rows:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    # each range is a task's work of about a split; ranges are dealt evenly, by a hash of their place
-    tasks = ranges.repartition("path", "start")
-    return tasks.mapInPandas(read, RECORD)
+    # a stated number of tasks isn't merged by adaptive execution, which sees only the few bytes that name a range
+    return ranges.repartition(max(1, min(ranges.count(), MAX_TASKS))).mapInPandas(read, RECORD)
 
 
 _COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
