@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, near_dedup, neighbours, packing, toxicity, url_filter, warc
+from . import byte_bpe, exact_dedup, language_id, near_dedup, neighbours, packing, toxicity, url_filter, warc
 from .common import table
 
 
@@ -37,9 +37,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op7_exact_dedup, op8_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op7_exact_dedup, op8_packing, op9_language_id, op10_toxicity)}
 ORACLES = {"op7_exact_dedup": exact_dedup.SQL}
