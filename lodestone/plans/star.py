@@ -1,6 +1,348 @@
-"""Registered queries over the star schema, each with its SQL."""
+"""Registered queries over the star schema: each operator of the library applied to whole tables, with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import export, ordered, redact, tree
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _levels(t) -> list[tree.Level]:
+    return [
+        tree.Level("region", t("region"), "r_regionkey", None, F.col("r_name"), False),
+        tree.Level("nation", t("nation"), "n_nationkey", "n_regionkey", F.col("n_name"), False),
+        tree.Level("customer", t("customer"), "c_custkey", "c_nationkey", F.col("c_name")),
+    ]
+
+
+NODES = """
+SELECT 'region:' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'region' AS kind, r_name AS title, 0 AS depth,
+       '/region:' || lpad(CAST(r_regionkey AS VARCHAR), 12, '0') AS path_key, false AS has_raw FROM region
+UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || r_regionkey, 'nation', n_name, 1,
+       '/region:' || lpad(CAST(r_regionkey AS VARCHAR), 12, '0') || '/nation:' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0'), false
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || n_nationkey, 'customer', c_name, 2,
+       '/region:' || lpad(CAST(r_regionkey AS VARCHAR), 12, '0') || '/nation:' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0') || '/customer:' || lpad(CAST(c_custkey AS VARCHAR), 12, '0'), true
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+"""
+
+
+@query(NODES)
+def tree_flatten(t):
+    return tree.nodes(_levels(t))
+
+
+@query(f"SELECT node_id, title FROM ({NODES}) WHERE parent_id = 'nation:3'")
+def tree_children(t):
+    return tree.nodes(_levels(t)).filter("parent_id = 'nation:3'").select("node_id", "title")
+
+
+@query(f"SELECT kind, count(*) AS n, CAST(sum(CASE WHEN has_raw THEN 1 ELSE 0 END) AS BIGINT) AS with_raw FROM ({NODES}) GROUP BY kind")
+def category_badges(t):
+    return tree.nodes(_levels(t)).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("has_raw").alias("with_raw"))
+
+
+@query(f"SELECT node_id, kind, title, path_key FROM ({NODES}) WHERE node_id = 'nation:7'")
+def node_lookup(t):
+    return tree.nodes(_levels(t)).filter("node_id = 'nation:7'").select("node_id", "kind", "title", "path_key")
+
+
+@query(f"SELECT node_id FROM ({NODES}) WHERE path_key LIKE '/region:000000000001/%' OR node_id = 'region:1' OR node_id = 'region:2'")
+def toggle_descendants(t):
+    nodes = tree.nodes(_levels(t))
+    return tree.toggled(nodes.filter("node_id = 'region:2'").select("node_id"), nodes, "region:1", True)
+
+
+@query(f"SELECT node_id FROM ({NODES}) WHERE kind = 'nation' AND path_key NOT LIKE '/region:000000000001/%'")
+def toggle_off(t):
+    nodes = tree.nodes(_levels(t))
+    return tree.toggled(nodes.filter("kind = 'nation'").select("node_id"), nodes, "region:1", False)
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def site_children(t):
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+@query("SELECT n_nationkey, n_name, count(s_suppkey) AS members FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 8000 GROUP BY 1, 2")
+def group_members_left(t):
+    rich = t("supplier").filter("s_acctbal > 8000")
+    return t("nation").join(rich, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("s_suppkey").alias("members"))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def ungrouped_anti(t):
+    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def selection_semi(t):
+    large = t("orders").filter("o_totalprice > 400000")
+    return t("customer").join(large, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+FILLED = """SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'error' THEN 'error@' || event_id END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '_uncategorized') AS collection, ts, event_type FROM events"""
+
+
+def _filled(t) -> DataFrame:
+    marker = F.when(F.col("event_type") == "error", F.concat(F.lit("error@"), F.col("event_id").cast("string")))
+    return ordered.forward_fill(t("events"), ["user_id"], ["ts", "event_id"], marker)
+
+
+@query(f"SELECT event_id, user_id, collection FROM ({FILLED}) WHERE event_type <> 'error'")
+def marker_forward_fill(t):
+    return _filled(t).filter("event_type <> 'error'").select("event_id", "user_id", "collection")
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ({FILLED}) WHERE collection = '_uncategorized') WHERE k <= 2")
+def orphan_samples(t):
+    return ordered.pick_first(_filled(t).filter("collection = '_uncategorized'"), ["user_id"], [F.col("ts"), F.col("event_id")], 2).select("user_id", "event_id")
+
+
+@query("SELECT event_id, e.user_id FROM events e LEFT JOIN (SELECT user_id, min(event_id) AS f FROM events WHERE event_type = 'error' GROUP BY 1) x ON x.user_id = e.user_id WHERE f IS NULL OR event_id < f")
+def stream_cutoff(t):
+    return ordered.cut_off(t("events"), ["user_id"], "event_id", F.col("event_type") == "error").select("event_id", "user_id")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1")
+def collection_counts(t):
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen"))
+
+
+@query("""SELECT string_agg(event_type || '(' || n || ')', ', ' ORDER BY f) AS summary FROM
+  (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1)""")
+def opaque_summary(t):
+    counts = t("events").filter(~F.col("event_type").isin("view", "click")).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("f"))
+    listed = F.sort_array(F.collect_list(F.struct("f", F.concat("event_type", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("s"))))
+    return counts.agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("summary"))
+
+
+@query("""SELECT user_id, day, CASE WHEN s AND NOT e AND NOT v THEN 'siteExport' WHEN s AND NOT p THEN 'settingsOnly' WHEN s THEN 'full' ELSE 'unknown' END AS kind FROM (
+  SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_or(event_type = 'signup') AS s, bool_or(event_type = 'error') AS e, bool_or(event_type = 'view') AS v, bool_or(event_type = 'purchase') AS p FROM events GROUP BY 1, 2)""")
+def kind_detection(t):
+    has = {k: F.bool_or(F.col("event_type") == v) for k, v in {"s": "signup", "e": "error", "v": "view", "p": "purchase"}.items()}
+    flags = t("events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(*[v.alias(k) for k, v in has.items()])
+    kind = F.when(F.expr("s AND NOT e AND NOT v"), "siteExport").when(F.expr("s AND NOT p"), "settingsOnly").when(F.col("s"), "full").otherwise("unknown")
+    return flags.select("user_id", "day", kind.alias("kind"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(lower(url), 'm.') THEN 'mobile' WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), 'www') THEN 'web' ELSE 'unknown' END AS origin FROM pages""")
+def origin_rules(t):
+    return t("pages").select("page_id", T.first_rule(F.col("url"), [("m.", "mobile"), ("blog", "blog"), ("www", "web")], "unknown").alias("origin"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def typed_projection(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+def epoch_coercion(t):
+    ts = F.col("ts").cast("timestamp")
+    return t("events").select("event_id", F.unix_millis(T.epoch_or_iso(F.unix_millis(ts).cast("string"))).alias("millis"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
+@query("SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_size > 25 THEN p_brand END) AS title FROM part")
+def title_concat_ws(t):
+    return t("part").select("p_partkey", T.title(F.col("p_name"), F.when(F.col("p_size") > 25, F.col("p_brand"))).alias("title"))
+
+
+@query("SELECT vec_id, CASE WHEN len(embedding) > 8 THEN '[' || len(embedding) || ' items]' ELSE '[]' END AS display FROM embeddings")
+def display_render(t):
+    return t("embeddings").select("vec_id", T.array_text(F.col("embedding")).alias("display"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'license') OR contains(lower(source), 'license') AS hit FROM documents")
+def search_filter(t):
+    return t("documents").select("doc_id", T.matches("License", F.col("text"), F.col("source")).alias("hit"))
+
+
+@query("""SELECT severity, count(*) AS n, max(rank) AS worst FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS severity,
+  CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS rank FROM events) WHERE severity <> 'info' GROUP BY 1""")
+def severity_badge(t):
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warning").otherwise("info")
+    rows = t("events").select(severity.alias("severity")).withColumn("rank", F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0))
+    return rows.filter("severity <> 'info'").groupBy("severity").agg(F.count("*").alias("n"), F.max("rank").alias("worst"))
+
+
+def _count_sql(kind: str, p: str) -> str:
+    return f"SELECT '{kind}' AS kind, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS occurrences, CAST(sum(CASE WHEN regexp_matches(text, '{p}') THEN 1 ELSE 0 END) AS BIGINT) AS documents FROM documents"
+
+
+@query(" UNION ALL ".join(_count_sql(k, p) for k, p in redact.PATTERNS.items()))
+def secret_inventory(t):
+    return redact.inventory(t("documents"), "text")
+
+
+_REDACTED_SQL = "text"
+for _p in redact.PATTERNS.values():
+    _REDACTED_SQL = f"regexp_replace({_REDACTED_SQL}, '{_p}', '<redacted>', 'g')"
+
+
+@query(f"SELECT conv_id, turn, md5({_REDACTED_SQL}) AS redacted FROM conversations")
+def redact_conversations(t):
+    return t("conversations").select("conv_id", "turn", F.md5(redact.redact_text(F.col("text"))).alias("redacted"))
+
+
+@query(f"SELECT doc_id, md5({_REDACTED_SQL}) AS redacted FROM documents")
+def redact_text(t):
+    return t("documents").select("doc_id", F.md5(redact.redact_text(F.col("text"))).alias("redacted"))
+
+
+@query("SELECT c_custkey, '<redacted>' AS c_name, '<redacted>' AS c_acctbal, c_mktsegment FROM customer")
+def redact_fields(t):
+    return redact.redact_fields(t("customer"), ["c_name", "c_acctbal"]).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@query("SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT event_type FROM events WHERE value > 50) GROUP BY 1")
+def stats_merge(t):
+    return t("events").select("event_type").unionByName(t("events").filter("value > 50").select("event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE NOT (starts_with(p_type, 'ECONOMY') OR starts_with(p_type, 'PROMO'))")
+def stat_prefix_prune(t):
+    return t("part").filter(~F.col("p_type").rlike("^(ECONOMY|PROMO)")).select("p_partkey", "p_type")
+
+
+@query("""SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_name LIKE '%ring' THEN 0 WHEN p_size > 25 THEN 1 ELSE 2 END, p_retailprice DESC, p_partkey) AS k FROM part) WHERE k = 1""")
+def embedded_pick(t):
+    tier = F.when(F.col("p_name").endswith("ring"), 0).when(F.col("p_size") > 25, 1).otherwise(2)
+    return ordered.pick_first(t("part"), ["p_brand"], [tier, F.desc("p_retailprice"), F.col("p_partkey")]).select("p_brand", "p_partkey")
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def last_wins_lookup(t):
+    return ordered.last_wins(t("events"), ["user_id", "event_type"], "value", "event_id")
+
+
+_SECTIONS = "(SELECT c_custkey AS ord, 'customer' AS tag, c_name AS title, unnest([{'key': 'c_nationkey', 'value': CAST(c_nationkey AS VARCHAR), 'pos': 0}, {'key': 'c_mktsegment', 'value': c_mktsegment, 'pos': 1}]) AS f FROM customer)"
+
+
+def _sections(t) -> DataFrame:
+    return export.sections(t("customer"), "customer", F.col("c_name"), F.col("c_custkey"), ["c_nationkey", "c_mktsegment"])
+
+
+@query(f"SELECT ord, tag, title, f.pos AS pos, f.key AS key, f.value AS value FROM {_SECTIONS}")
+def export_sections(t):
+    return export.field_rows(_sections(t))
+
+
+@query("SELECT c_custkey AS ord, 'CUSTOMER: ' || c_name || chr(10) || '  c_nationkey: ' || c_nationkey || chr(10) || '  c_mktsegment: ' || c_mktsegment AS body FROM customer")
+def text_render(t):
+    return export.export(_sections(t), "text")
+
+
+@query("""SELECT c_custkey AS ord, '<customer title="' || c_name || '">' || chr(10) || '| Key | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| c_nationkey | ' || c_nationkey || ' |' || chr(10) || '| c_mktsegment | ' || c_mktsegment || ' |' || chr(10) || '</customer>' AS body FROM customer""")
+def markdown_tags(t):
+    return export.export(_sections(t), "markdown", "claude")
+
+
+@query("""SELECT c_custkey AS ord, '## Customer: ' || c_name || chr(10) || '| Key | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| c_nationkey | ' || c_nationkey || ' |' || chr(10) || '| c_mktsegment | ' || c_mktsegment || ' |' AS body FROM customer""")
+def markdown_headings(t):
+    return export.export(_sections(t), "markdown", "gpt")
+
+
+@query()
+def json_sections(t):
+    return export.export(_sections(t), "json")
+
+
+@query("""SELECT preset, budget, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS total, (SELECT sum(n_chars) FROM documents) > budget AS over
+  FROM (VALUES ('claude', CAST(240000 AS BIGINT)), ('gpt', 320000), ('gemini', 800000), ('local', 24000)) v(preset, budget)""")
+def budget_check(t):
+    docs = t("documents")
+    return export.over_budget(docs.sparkSession, docs.select(F.col("n_chars").alias("n")))
+
+
+@query("SELECT doc_id, replace(replace(text, '|', chr(92) || '|'), chr(10), ' ') AS cell FROM documents")
+def markdown_rows(t):
+    return t("documents").select("doc_id", T.table_cell(F.col("text")).alias("cell"))
+
+
+@query("SELECT string_agg('- [' || event_type || '] ' || n, chr(10) ORDER BY event_type) AS report FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def diag_report(t):
+    counts = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    lines = F.sort_array(F.collect_list(F.concat(F.lit("- ["), F.col("event_type"), F.lit("] "), F.col("n").cast("string"))))
+    return counts.agg(F.array_join(lines, "\n").alias("report"))
+
+
+@query("SELECT doc_id, substr(text, 1, 2000) AS preview FROM documents")
+def preview_2000(t):
+    return t("documents").select("doc_id", F.substring("text", 1, 2000).alias("preview"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '^[\s\p{C}]+|[\s\p{C}]+$', '', 'g') AS clean FROM (SELECT doc_id, chr(65279) || '  ' || text || chr(13) || chr(10) AS text FROM documents)")
+def sanitise_text(t):
+    return t("documents").select("doc_id", T.sanitise(F.concat(F.lit("﻿  "), F.col("text"), F.lit("\r\n"))).alias("clean"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '^.*/', ''), '\.[^.]+$', '') AS name FROM pages")
+def path_basename(t):
+    return t("pages").select("page_id", T.basename(F.col("url")).alias("name"))
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, lang || ': ' || count(*) || ' documents, ' || CAST(sum(n_chars) AS BIGINT) || ' characters' AS hint FROM documents GROUP BY lang")
+def budget_hint_text(t):
+    sums = t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return sums.withColumn("hint", F.concat("lang", F.lit(": "), F.col("n").cast("string"), F.lit(" documents, "), F.col("chars").cast("string"), F.lit(" characters")))
+
+
+@query("SELECT o_orderkey, lpad(lower(to_hex(o_orderkey)), 24, '0') AS oid, '{\"$date\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '\"}' AS date FROM orders")
+def extended_json_value(t):
+    date = F.concat(F.lit('{"$date":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"}'))
+    return t("orders").select("o_orderkey", T.hex_id(F.col("o_orderkey")).alias("oid"), date.alias("date"))
+
+
+@query("SELECT event_id, array_to_string(json_keys(props), ',') AS keys, len(json_keys(props)) AS n, coalesce(json_extract_string(props, '$.id'), '') AS id FROM events")
+def field_accessors(t):
+    keys = F.json_object_keys("props")
+    return t("events").select("event_id", F.array_join(keys, ",").alias("keys"), F.size(keys).cast("long").alias("n"), F.coalesce(F.get_json_object("props", "$.id"), F.lit("")).alias("id"))
+
+
+@query("SELECT conv_id, max(CASE WHEN role = 'user' THEN length(text) END) AS user_chars, max(CASE WHEN role = 'assistant' THEN length(text) END) AS assistant_chars, max(CASE WHEN turn = 0 THEN trim(role) END) AS opened_by FROM conversations GROUP BY 1")
+def identity_row(t):
+    size = F.length("text").cast("long")
+    return t("conversations").groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", size)).alias("user_chars"), F.max(F.when(F.col("role") == "assistant", size)).alias("assistant_chars"), F.max(F.when(F.col("turn") == 0, F.trim("role"))).alias("opened_by"))
+
+
+@query("""SELECT n_name, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+def fk_resolution(t):
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    placed = lines.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return placed.groupBy("n_name").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT CASE WHEN length(html) = 0 THEN 'empty' WHEN contains(html, '<html') THEN 'ok' ELSE 'notHtml' END AS status, count(*) AS n FROM pages GROUP BY 1")
+def file_status(t):
+    status = F.when(F.length("html") == 0, "empty").when(F.contains(F.col("html"), F.lit("<html")), "ok").otherwise("notHtml")
+    return t("pages").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, 'export-' || o_orderkey || '-' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderstatus = 'F' THEN '-secrets' ELSE '' END || '.md' AS name FROM orders")
+def filename_rule(t):
+    name = F.concat(F.lit("export-"), F.col("o_orderkey").cast("string"), F.lit("-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderstatus") == "F", "-secrets").otherwise(""), F.lit(".md"))
+    return t("orders").select("o_orderkey", name.alias("name"))
+
+
+@query("SELECT 'nation' AS kind, CAST(n_nationkey AS VARCHAR) AS id, n_name AS title, false AS has_raw FROM nation UNION ALL SELECT 'opaque', CAST(p_partkey AS VARCHAR), p_name, true FROM part")
+def node_table(t):
+    nations = t("nation").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"), F.lit(False).alias("has_raw"))
+    return nations.unionByName(t("part").select(F.lit("opaque").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit(True).alias("has_raw")))
