@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup, neighbours, packing, toxicity, url_filter, warc
+from . import byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, neighbours, packing, toxicity, url_filter, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op7_exact_dedup, op8_packing, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op6_line_dedup, op7_exact_dedup, op8_packing, op9_language_id, op10_toxicity)}
 ORACLES = {"op7_exact_dedup": exact_dedup.SQL}
