@@ -346,3 +346,41 @@ def filename_rule(t):
 def node_table(t):
     nations = t("nation").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"), F.lit(False).alias("has_raw"))
     return nations.unionByName(t("part").select(F.lit("opaque").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit(True).alias("has_raw")))
+
+
+def _backups(t) -> DataFrame:
+    """An archive for each nation, with its customers as a stream of documents behind a marker."""
+    import gzip
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from lodestone.sources import bson
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        nation = int(part["c_nationkey"].iloc[0])
+        stream = bson.encode({"collection": "user"}) + b"".join(bson.encode({"_id": str(k), "name": n, "site_id": str(nation), "balance": float(b)}) for k, n, b in zip(part["c_custkey"], part["c_name"], part["c_acctbal"], strict=True))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("version", "1")
+            z.writestr("db.gz", gzip.compress(stream + bson.encode({"collection": "extra"}) + bson.encode({"k": nation})))
+        return pd.DataFrame({"path": [f"nation-{nation}"], "content": [out.getvalue()]})
+
+    return t("customer").groupBy("c_nationkey").applyInPandas(pack, "path string, content binary")
+
+
+@query("SELECT 'nation-' || c_nationkey AS path, CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS site_id, c_name AS name FROM customer")
+def backup_end_to_end(t):
+    """Archives of customers, read back: entries, stream, markers, typed records."""
+    from lodestone.sources import backup
+
+    docs = backup.documents(backup.entries(backup.archives(_backups(t))))
+    return backup.typed(docs, "user").select("path", "id", "site_id", "name")
+
+
+@query("SELECT 'nation-' || c_nationkey AS path, 'extra' AS collection, 1 AS n FROM customer GROUP BY c_nationkey")
+def backup_opaque(t):
+    from lodestone.sources import backup
+
+    return backup.opaque(backup.documents(backup.entries(backup.archives(_backups(t))))).select("path", "collection", "n")

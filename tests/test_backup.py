@@ -1,0 +1,48 @@
+import gzip
+import io
+import zipfile
+
+from lodestone.sources import backup, bson
+
+
+def archive(files, **kw):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_round_trip_of_documents():
+    doc = {"a": 1, "b": "x", "c": None, "d": [1, True], "e": {"f": 2.5}, "g": 2**40}
+    fields, end = bson.document(bson.encode(doc))
+    assert bson.plain("document", fields) == doc and end == len(bson.encode(doc))
+
+
+def test_stream_markers_and_cut_off(spark):
+    stream = bson.encode({"k": 1}) + bson.encode({"collection": "site"}) + bson.encode({"_id": "s", "name": "n", "desc": "d"}) + bson.encode({"ns": "ace.user"}) + bson.encode({"_id": "u", "hostname": "h"}) + b"\x05\0\0\0\1" + bson.encode({"_id": "lost"})
+    blobs = spark.createDataFrame([("p", archive({"db.gz": gzip.compress(stream)})), ("bad", b"12345")], "path string, content binary")
+    found = backup.archives(blobs)
+    unpacked = backup.entries(found)
+    docs = backup.documents(unpacked)
+    got = {(r.collection, r.id, r.error is not None) for r in docs.collect()}
+    assert got == {("_uncategorized", "", False), ("site", "s", False), ("user", "u", False), ("user", None, True)}
+    assert [r.title for r in backup.typed(docs, "site").collect()] == ["d"]
+    assert [r.name for r in backup.typed(docs, "user").collect()] == ["h"]
+    assert {r.code for r in backup.diagnostics(found, unpacked, docs).collect()} == {"notZip", "bsonMalformed"}
+
+
+def test_files_win_and_statistics_are_pruned(spark):
+    files = {"db.gz": gzip.compress(bson.encode({"k": 1})), "x/site.bson": bson.encode({"_id": "a"}), "stat_hour.bson": bson.encode({"_id": "b"})}
+    entries = backup.entries(backup.archives(spark.createDataFrame([("p", archive(files))], "path string, content binary")))
+    assert [r.collection for r in backup.documents(entries).collect()] == ["site"]
+    assert {r.collection for r in backup.documents(entries, True).collect()} == {"site", "stat_hour"}
+
+
+def test_decryption_without_padding(spark):
+    key, iv = b"0123456789abcdef", b"fedcba9876543210"
+    plain = archive({"version": "1"})
+    plain += b"\0" * (-len(plain) % 16)
+    row = spark.createDataFrame([("p", plain)], "path string, content binary").selectExpr("path", f"substring(aes_encrypt(content, X'{key.hex()}', 'CBC', 'PKCS', X'{iv.hex()}'), 17, length(content)) AS content")
+    assert bytes(backup.archives(row, key, iv).first().content) == plain
+    assert backup.archives(row.selectExpr("path", "substring(content, 1, 15) AS content"), key, iv).first().status == "truncatedAtBlockBoundary"
