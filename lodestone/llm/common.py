@@ -75,10 +75,11 @@ def forget(df: DataFrame) -> None:
 def components(edges: DataFrame, nodes_name: str = "id", rounds: int = 60) -> DataFrame:
     """(id, component) of each end of edges (a, b): component is the smallest id reachable.
 
-    Contraction: in each round every node points to its smallest neighbour or itself, edges move
-    to where their ends point, and loops and repeats go. Chains of pointers are followed in
-    later rounds, since a pointed-to node keeps its edges. All of it is grouping and joining on
-    ids; a hub's edges are minimised map-side and its join is split by adaptive execution.
+    Contraction: in each round every node points to its smallest neighbour or itself, chains of
+    pointers are followed to their ends by doubling, edges move to where their ends point, and loops
+    and repeats go. A node that stays had a neighbour that went, so the nodes at least halve each round.
+    All of it is grouping and joining on ids; a hub's edges are minimised map-side and its join
+    is split by adaptive execution.
     """
     left = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct()
     left = written(left, "edges")
@@ -89,6 +90,16 @@ def components(edges: DataFrame, nodes_name: str = "id", rounds: int = 60) -> Da
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component"))
         to = written(to, "pointers")
+        while True:
+            far = to
+            for _ in range(2):
+                far = far.join(to.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+            far = written(far, "pointers")
+            moving = not far.join(to, ["id", "component"], "left_anti").isEmpty()
+            forget(to)
+            to = far
+            if not moving:
+                break
         if done is None:
             new_done = to
         else:

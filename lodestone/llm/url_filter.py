@@ -95,7 +95,7 @@ def tree(urls: DataFrame) -> DataFrame:
     every = rows.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"), F.coalesce(F.sum("labels"), F.lit(0)).alias("all_labels"))
     hosts = rows.groupBy(F.col("host").alias("_h")).agg(F.sum("bad").alias("host_bad"), F.sum("labels").alias("host_labels"))
     nodes = rows.groupBy(F.col("host").alias("_th"), F.col("template").alias("_t")).agg(F.sum("bad").alias("node_bad"), F.sum("labels").alias("node_labels"))
-    base = (F.col("all_bad") + 0.5) / (F.col("all_labels") + 1)
+    base = (F.col("all_bad") + 1) / (F.col("all_labels") + LEAN)
     by_host = (F.col("host_bad") + LEAN * base) / (F.col("host_labels") + LEAN)
     purity = (F.col("node_bad") + LEAN * by_host) / (F.col("node_labels") + LEAN)
     judged = nodes.join(hosts, F.col("_th") == F.col("_h")).join(F.broadcast(every)).select("_th", "_t", purity.alias("purity"))
