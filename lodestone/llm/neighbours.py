@@ -68,15 +68,15 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     high = np.array([mapped[r].max(axis=0) for r in leaves])
     out = []
     length2 = (queries**2).sum(axis=1)
-    for at in range(0, len(queries), 256):
-        q, near2 = queries[at : at + 256], None
-        z = asked[at : at + 256]
+    for at in range(0, len(queries), 1024):
+        q = queries[at : at + 1024]
+        z = asked[at : at + 1024]
         near2 = np.zeros((len(q), len(leaves)))
         for d in range(DIMS):
             near2 += np.maximum(0, np.maximum(low[None, :, d] - z[:, d, None], z[:, d, None] - high[None, :, d])) ** 2
         order = near2.argsort(axis=1)
         best = np.full((len(q), k + 1), -np.inf)  # one more, since a query may find itself
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
+        scores = np.full((len(q), len(points)), -np.inf)
         alive = np.arange(len(q))
         for step in range(len(leaves)):
             lower = near2[alive, order[alive, step]]
@@ -92,19 +92,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
                 mine = alive[visit == leaf]
                 rows = leaves[leaf]
                 score = q[mine] @ points[rows].T
-                for i, s in zip(mine, score, strict=True):
-                    keep = s >= best[i, 0]
-                    if keep.any():
-                        found[i].append((rows[keep], s[keep]))
-                        # a point counts as often as it has ids
-                        best[i] = np.sort(np.r_[best[i], np.repeat(s[keep], np.minimum(sizes[rows[keep]], k + 1))])[-(k + 1) :]
-        for i, parts in enumerate(found):
-            rows = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, dtype=int)
-            me, vec = int(query_ids[at + i]), q[i]
-            rows = np.unique(rows)
-            score = (points[rows] * vec).sum(axis=1)
-            order_ = np.argsort(-score, kind="stable")[: 4 * (k + 1) + 64] if len(rows) else []
-            pairs = [(-float(score[j]), int(x)) for j in order_ for x in ids[members[first[rows[j]] : first[rows[j]] + min(sizes[rows[j]], k + 1)]]]
+                scores[mine[:, None], rows] = score
+                # the least of the k + 1 best so far comes first
+                best[mine] = np.partition(np.concatenate([best[mine], score], axis=1), -(k + 1), axis=1)[:, -(k + 1) :]
+        for i, vec in enumerate(q):
+            me, rows = int(query_ids[at + i]), np.flatnonzero(scores[i] >= best[i].min() - 1e-9)
+            rows = rows[np.isfinite(scores[i, rows])]
+            exact = (points[rows] * vec).sum(axis=1)
+            pairs = [(-float(s), int(x)) for s, r in zip(exact, rows, strict=True) for x in ids[members[first[r] : first[r] + min(sizes[r], k + 1)]]]
             pairs = sorted(p for p in pairs if p[1] != me)[:k]
             out += [(me, x, -s) for s, x in pairs]
     return out
