@@ -7,6 +7,7 @@ a lost executor then costs a task and not the lineage.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the normalisations of this subpackage define it.
 SPACE = " \t\n\x0b\x0c\r"
+#: The bits of sieved()'s filter, at most: 16 MB.
+SIEVE_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +75,21 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sieved(rows: DataFrame, ids: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows (id, any others) whose id may be among ids (id); a join that follows makes it exact.
+
+    A Bloom filter of one hash, as bitmaps that are broadcast: 16 bits for each id, in a power of two, at
+    most max_bits. Beyond that many ids it fills and lets more rows through. Null ids go.
+    """
+    bits = min(max_bits, 1 << max(15, math.ceil(math.log2(16 * max(1, ids.count())))))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    at = F.bitmap_bit_position(slot)
+    maps = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.filter("id IS NOT NULL").join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_bucket"))
+    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame, nodes_name: str = "id", rounds: int = 60) -> DataFrame:
     """(id, component) of each end of edges (a, b): component is the smallest id reachable.
 
