@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: The bits of sieved()'s filter, at most: 16 MB.
 SIEVE_BITS = 1 << 27
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{place.rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hands at most BATCH_ROWS rows at once to Python: whole texts are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

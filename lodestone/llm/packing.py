@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 1_000_000
+CACHE = 200_000
 SALTS = 64
 #: Plans of more rows than this aren't broadcast.
 PLAN_ROWS = 200_000
@@ -87,6 +87,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                         rows.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return pick(docs, doc_id="string", text="string").mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

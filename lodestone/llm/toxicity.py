@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hidden, pick, shown
+from .common import hidden, pick, shown, small_batches
 
 #: Labelled rows that are fitted on, at most.
 MAX_ROWS = 16_000
@@ -134,6 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexic
     Null texts count as empty; null labels and ids are no labels. Without toxic rows the
     lexicon is empty and every score is near 0.
     """
+    small_batches(docs.sparkSession)
     known = pick(labels, doc_id="long", toxic="int").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = pick(docs, doc_id="long", text="string")
