@@ -5,7 +5,8 @@ if the Jaccard similarity of their sets is at least 0.75. Lines of equal sets ar
 ordered by rarity: by the count of their bucket (of BUCKETS) over all lines, then by their hash. Any
 order gives the exact join; this one keeps prefixes rare. Two sets that match share a word
 among their prefixes, the first n - ceil(0.75 n) + 1 words; within the lines of such a word the length filter
-and the positional filter leave the candidates, and these are verified on their full sets.
+and the positional filter leave the candidates. A parity bitmap of each set bounds how many words two sets
+differ in from below and thins them out before they travel; the rest are verified on their full sets.
 
 A line is removed if an earlier line (by doc_id, then line number) matches it.
 """
@@ -15,158 +16,140 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, written
-from .near_dedup import _UPPER, _WORD, _hash_of, _words
+from .common import forget, no_space, pick, sieved, written
 
 NUMERATOR = 75
 BUCKETS = 1 << 16
+#: Pairs that are looked at together.
+CHUNK = 1_000_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(line: str) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a line's words."""
-    get = _words.get
-    found = {get(w) or _hash_of(w) for w in _WORD.findall(line.lower() if line.isascii() else line.translate(_UPPER))}
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+def tokens(rows: DataFrame) -> DataFrame:
+    """(doc_id, line, class, words) of each line that has words: words are sorted distinct 64-bit hashes."""
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said")).filter(no_space(F.col("said")) != "")
+    parts = F.array_remove(F.split(F.translate("said", _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), "")
+    words = F.sort_array(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))))
+    return lines.select("doc_id", "line", words.alias("words")).select("doc_id", "line", F.xxhash64("words").alias("class"), "words")
 
 
-def _class(words: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words.view(np.uint64) >> np.uint64(48)).astype(np.int64)
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each line that has words, and at the end one for each bucket with its count."""
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all lines of a batch, and how many each line has."""
+    words = batch.column("words")
+    return words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line, and at the end one for each bucket with its count."""
+    names = ["doc_id", "line", "class", "n", "bucket"]
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
-        rows, seen = [], [np.empty(0, dtype=np.uint64)]
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            for no, line in enumerate((text or "").split("\n")):
-                words = words_of(line)
-                if len(words):
-                    seen.append(words)
-                    rows.append((doc_id, no, _class(words), len(words)))
-        counts += np.bincount((np.concatenate(seen) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        yield pd.DataFrame(rows, columns=["doc_id", "line", "class", "n"]).assign(bucket=False)
+        words, n = _flat(batch)
+        counts += np.bincount(_bucket(words), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(n), pa.array(np.zeros(len(n), dtype=bool))], names=names)
     at = np.flatnonzero(counts)
-    yield pd.DataFrame({"doc_id": at, "line": 0, "class": 0, "n": counts[at], "bucket": True})
+    none = np.zeros(len(at), dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, none.astype(np.int32), none, counts[at], none == 0)], names=names)
 
 
-def _need(n: np.ndarray, m) -> np.ndarray:
+def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least overlap of matching sets of n and m words."""
     return -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
 
 
 def _prefixes(rarity: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # classes that this task has emitted lately
         for batch in batches:
-            word, of, size, place = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                for line in (text or "").split("\n"):
-                    words = words_of(line)
-                    n = len(words)
-                    if not n or (c := _class(words)) in done:
-                        continue
-                    done.add(c)
-                    k = n - (-(-NUMERATOR * n // 100)) + 1
-                    order = np.lexsort((words, rarity[(words >> np.uint64(48)).astype(np.int64)]))[:k]
-                    word.append(words[order].view(np.int64))
-                    of.append(np.full(k, c, dtype=np.int64))
-                    size.append(np.full(k, n, dtype=np.int32))
-                    place.append(np.arange(k, dtype=np.int32))
+            of, first = np.unique(batch.column("class").to_numpy(zero_copy_only=False), return_index=True)
+            new = np.array([c not in done for c in of.tolist()], dtype=bool)
+            if not new.any():
+                continue
+            done.update(of[new].tolist())
+            of, batch = of[new], batch.take(pa.array(first[new]))
+            words, n = _flat(batch)
+            starts = np.cumsum(n) - n
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << ((words.view(np.uint64) >> np.uint64(40)) & np.uint64(63)), starts)
+            count = rarity[_bucket(words)]
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((words, count, row))
+            place = np.arange(len(words)) - starts[row]
+            # a word that all lines together hold once has no other line
+            keep = (place < (n - -(-NUMERATOR * n // 100) + 1)[row]) & (count[order] > 1)
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (words[order][keep], of[row], n[row].astype(np.int32), place[keep].astype(np.int32), parity.view(np.int64)[row])], names=["word", "class", "n", "place", "parity"]
+            )
             if len(done) > 500_000:
                 done.clear()
-            if word:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (word, of, size, place)], names=["word", "class", "n", "place"])
 
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share a prefix word; rows come sorted by word, then n."""
-    held = np.empty((0, 4), dtype=np.int64)
+def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows that are sorted by word, then n."""
+    if not len(word):
+        return
+    key = np.cumsum(np.r_[0, word[1:] != word[:-1]]) << 32
+    last = np.searchsorted(key + n, key + n * 100 // NUMERATOR, side="right")  # the length filter
+    more = last - np.arange(len(word)) - 1
+    upto = np.cumsum(more)
+    bits, low = parity.view(np.uint64), 0
+    while low < len(word):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + CHUNK, side="right")))
+        c = more[low:high]
+        i = np.repeat(np.arange(low, high), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        low = high
+        need = _need(n[i], n[j])
+        ok = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need
+        i, j, need = i[ok], j[ok], need[ok]
+        room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
+        ok = (room >= need) & (of[i] != of[j])
+        a, b = of[i[ok]], of[j[ok]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def take(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        left, right, n_out = [], [], 0
-        for s, e in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-            if e - s < 2:
-                continue
-            of, n, place = rows[s:e, 1], rows[s:e, 2], rows[s:e, 3]
-            last = np.searchsorted(n, n * 100 // NUMERATOR, side="right")  # the length filter
-            for i in range(e - s - 1):
-                j = slice(i + 1, last[i])
-                room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
-                other = of[j][(room >= _need(n[j], n[i])) & (of[j] != of[i])]
-                if len(other):
-                    left.append(np.minimum(other, of[i]))
-                    right.append(np.maximum(other, of[i]))
-                    n_out += len(other)
-                if n_out > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-                    left, right, n_out = [], [], 0
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that share a prefix word; rows come sorted by word, then n."""
+    held = [np.empty(0, dtype=np.int64)] * 5
     for batch in batches:
         if batch.num_rows:
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "class", "n", "place")])
-            held = np.concatenate([held, rows])
-            cut = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last word may go on
+            held = [np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(held, ("word", "class", "n", "place", "parity"), strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
             if cut:
-                yield from take(held[:cut])
-                held = held[cut:]
-    yield from take(held)
+                yield from _pairs(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+    yield from _pairs(*held)
 
 
 def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lines (doc_id, line, class, n) and links (a, b) between classes, both written."""
-    rows = pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL")
-    both = written(rows.mapInPandas(_lines, "doc_id long, line int, class long, n long, bucket boolean"), "lines")
+    found = tokens(pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL"))
+    both = written(found.mapInArrow(_lines, "doc_id long, line int, class long, n long, bucket boolean"), "lines")
     lines = both.filter("NOT bucket").drop("bucket")
     rarity = np.zeros(BUCKETS, dtype=np.int64)
     for r in both.filter("bucket").groupBy("doc_id").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows at most
         rarity[r["doc_id"]] = r["n"]
-    prefixes = rows.select("text").mapInArrow(_prefixes(rarity), "word long, class long, n int, place int")
+    prefixes = found.select("class", "words").mapInArrow(_prefixes(rarity), "word long, class long, n int, place int, parity long")
     dealt = prefixes.repartition("word").sortWithinPartitions("word", "n", "class")
     pairs = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates")
 
-    # the full sets of the classes of candidates, each from its first line's document
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    places = lines.join(ends, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("class", "at.doc_id", "at.line")
-    wanted = places.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))  # no more than a document's lines
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, some in zip(batch["text"], batch["wanted"], strict=True):
-                parts = (text or "").split("\n")
-                for no in some:
-                    words = words_of(parts[no]) if no < len(parts) else np.empty(0, dtype=np.uint64)
-                    if len(words):
-                        out.append((_class(words), words.tobytes()))
-            yield pd.DataFrame(out, columns=["class", "words"])
-
-    sets = written(rows.join(wanted, "doc_id").select("text", "wanted").mapInPandas(fetch, "class long, words binary").dropDuplicates(["class"]), "line-sets")
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            same = int((y[at] == x).sum())
-            out.append(100 * same >= NUMERATOR * (len(x) + len(y) - same))
-        return pd.Series(out, dtype="bool")
-
+    # the full sets of the classes of candidates; sieved before they travel
+    ends = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
+    sets = written(sieved(found.select(F.col("class").alias("id"), "words"), ends).dropDuplicates(["id"]), "line-sets")
     full = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    links = written(full.filter(similar("left", "right")).select("a", "b"), "line-links")
+    same, total = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
+    links = written(full.filter(100 * same >= NUMERATOR * (total - same)).select("a", "b"), "line-links")
     forget(sets)
     return lines, links
 
