@@ -5,7 +5,7 @@ if the Jaccard similarity of their sets is at least 0.75. Lines of equal sets ar
 ordered by rarity: by the count of their bucket (of BUCKETS) over all lines, then by their hash. Any
 order gives the exact join; this one keeps prefixes rare. Two sets that match share a word
 among their prefixes, the first n - ceil(0.75 n) + 1 words; within the lines of such a word the length filter
-and the positional filter leave the candidates. A parity bitmap of each set bounds how many words two sets
+and the positional filter leave the candidates. A parity bitmap of each set (128 bits) bounds how many words two sets
 differ in from below and thins them out before they travel; the rest are verified on their full sets.
 
 A line is removed if an earlier line (by doc_id, then line number) matches it.
@@ -14,52 +14,111 @@ A line is removed if an earlier line (by doc_id, then line number) matches it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, no_space, pick, sieved, written
+from .common import forget, pick, sieved, small_batches, written
+from .near_dedup import _mix as mixed
 
 NUMERATOR = 75
 BUCKETS = 1 << 16
-#: Pairs that are looked at together.
-CHUNK = 1_000_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Pairs that are looked at together, words that are, and words whose hashes a task remembers.
+CHUNK, WORDS_AT_ONCE, CACHE = 1_000_000, 500_000, 200_000
+ROW = ["word", "class", "n", "place", "low", "high"]
+_words: dict[bytes, int] = {}
 
 
-def tokens(rows: DataFrame) -> DataFrame:
-    """(doc_id, line, class, words) of each line that has words: words are sorted distinct 64-bit hashes."""
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said")).filter(no_space(F.col("said")) != "")
-    parts = F.array_remove(F.split(F.translate("said", _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), "")
-    words = F.sort_array(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))))
-    return lines.select("doc_id", "line", words.alias("words")).select("doc_id", "line", F.xxhash64("words").alias("class"), "words")
+def _hash_of(word: bytes) -> int:
+    if len(_words) > CACHE:
+        _words.clear()
+    _words[word] = h = xxhash.xxh3_64_intdigest(word)
+    return h
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
-    return (words.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+    return (words >> np.uint64(48)).astype(np.int64)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all lines of a batch, and how many each line has."""
-    words = batch.column("words")
-    return words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+class Lines(NamedTuple):
+    """Lines that have words: doc_id and number of each, its class, its n distinct words' hashes one after another."""
+
+    doc_id: np.ndarray
+    line: np.ndarray
+    of: np.ndarray
+    n: np.ndarray
+    words: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.n) - self.n
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+    """The lines of batches (doc_id, text as UTF-8), some WORDS_AT_ONCE words at once. Bytes split at ASCII white space alone, and so do their lower cases."""
+    ids, lines, sizes, flat, get = [], [], [], [], _words.get
+
+    def taken() -> Lines:
+        words, n = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+        # a set's hash: the sum of its words', mixed
+        of = mixed(np.add.reduceat(mixed(words), np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
+        out = Lines(np.array(ids, dtype=np.int64), np.array(lines, dtype=np.int32), of, n, words)
+        for old in (ids, lines, sizes, flat):
+            old.clear()
+        return out
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for i, said in enumerate((text.as_py() or b"").lower().split(b"\n")):
+                found = {get(w) or _hash_of(w) for w in said.split()}
+                if found:
+                    ids.append(doc_id)
+                    lines.append(i)
+                    sizes.append(len(found))
+                    flat += found
+            if len(flat) > WORDS_AT_ONCE:
+                yield taken()
+    if flat:
+        yield taken()
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line, and at the end one for each bucket with its count."""
     names = ["doc_id", "line", "class", "n", "bucket"]
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
-        words, n = _flat(batch)
-        counts += np.bincount(_bucket(words), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(n), pa.array(np.zeros(len(n), dtype=bool))], names=names)
+    for part in _tokens(batches):
+        counts += np.bincount(_bucket(part.words), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.doc_id, part.line, part.of, part.n, np.zeros(len(part.n), dtype=bool))], names=names)
     at = np.flatnonzero(counts)
     none = np.zeros(len(at), dtype=np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, none.astype(np.int32), none, counts[at], none == 0)], names=names)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+    """The first line of each class, as far as this task remembers those it has had."""
+    done: set[int] = set()
+    for part in _tokens(batches):
+        of, first = np.unique(part.of, return_index=True)
+        first = first[np.array([c not in done for c in of.tolist()], dtype=bool)]
+        keep = np.zeros(len(part.n), dtype=bool)
+        keep[first] = True
+        done.update(part.of[keep].tolist())
+        if keep.any():
+            yield Lines(part.doc_id[keep], part.line[keep], part.of[keep], part.n[keep], part.words[np.repeat(keep, part.n)])
+        if len(done) > 500_000:
+            done.clear()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _once(batches):
+        offsets = pa.array(np.r_[part.starts, len(part.words)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(part.of), pa.ListArray.from_arrays(offsets, pa.array(part.words.view(np.int64)))], names=["id", "words"])
+
+
 def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least overlap of matching sets of n and m words."""
     return -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
@@ -67,17 +126,12 @@ def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _prefixes(rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # classes that this task has emitted lately
-        for batch in batches:
-            of, first = np.unique(batch.column("class").to_numpy(zero_copy_only=False), return_index=True)
-            new = np.array([c not in done for c in of.tolist()], dtype=bool)
-            if not new.any():
-                continue
-            done.update(of[new].tolist())
-            of, batch = of[new], batch.take(pa.array(first[new]))
-            words, n = _flat(batch)
-            starts = np.cumsum(n) - n
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << ((words.view(np.uint64) >> np.uint64(40)) & np.uint64(63)), starts)
+        for part in _once(batches):
+            words, n, starts = part.words, part.n, part.starts
+            # two halves of a bitmap: a bit of each word tells its half
+            half = ((words >> np.uint64(46)) & np.uint64(1)).astype(bool)
+            bit = np.uint64(1) << ((words >> np.uint64(40)) & np.uint64(63))
+            low, high = (np.bitwise_xor.reduceat(np.where(half == side, bit, np.uint64(0)), starts).view(np.int64) for side in (False, True))
             count = rarity[_bucket(words)]
             row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((words, count, row))
@@ -86,15 +140,13 @@ def _prefixes(rarity: np.ndarray):
             keep = (place < (n - -(-NUMERATOR * n // 100) + 1)[row]) & (count[order] > 1)
             row = row[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (words[order][keep], of[row], n[row].astype(np.int32), place[keep].astype(np.int32), parity.view(np.int64)[row])], names=["word", "class", "n", "place", "parity"]
+                [pa.array(x) for x in (words[order][keep].view(np.int64), part.of[row], n[row].astype(np.int32), place[keep].astype(np.int32), low[row], high[row])], names=ROW
             )
-            if len(done) > 500_000:
-                done.clear()
 
     return run
 
 
-def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, low_bits: np.ndarray, high_bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of rows that are sorted by word, then n."""
     if not len(word):
         return
@@ -102,7 +154,7 @@ def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, p
     last = np.searchsorted(key + n, key + n * 100 // NUMERATOR, side="right")  # the length filter
     more = last - np.arange(len(word)) - 1
     upto = np.cumsum(more)
-    bits, low = parity.view(np.uint64), 0
+    left, right, low = low_bits.view(np.uint64), high_bits.view(np.uint64), 0
     while low < len(word):
         high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + CHUNK, side="right")))
         c = more[low:high]
@@ -110,7 +162,7 @@ def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, p
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         low = high
         need = _need(n[i], n[j])
-        ok = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need
+        ok = np.bitwise_count(left[i] ^ left[j]).astype(np.int64) + np.bitwise_count(right[i] ^ right[j]) <= n[i] + n[j] - 2 * need
         i, j, need = i[ok], j[ok], need[ok]
         room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
         ok = (room >= need) & (of[i] != of[j])
@@ -120,33 +172,39 @@ def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, p
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share a prefix word; rows come sorted by word, then n."""
-    held = [np.empty(0, dtype=np.int64)] * 5
+    """Pairs of classes that share a prefix word; rows come sorted by word, then n, then class; repeats of a class by other tasks go."""
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])][: len(rows[0])]
+        yield from _pairs(*(x[new] for x in rows))
+
+    held = [np.empty(0, dtype=np.int64)] * len(ROW)
     for batch in batches:
         if batch.num_rows:
-            held = [np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(held, ("word", "class", "n", "place", "parity"), strict=True)]
+            held = [np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(held, ROW, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
             if cut:
-                yield from _pairs(*(x[:cut] for x in held))
+                yield from pairs([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
-    yield from _pairs(*held)
+    yield from pairs(held)
 
 
 def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lines (doc_id, line, class, n) and links (a, b) between classes, both written."""
-    found = tokens(pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL"))
+    small_batches(docs.sparkSession)
+    found = pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     both = written(found.mapInArrow(_lines, "doc_id long, line int, class long, n long, bucket boolean"), "lines")
     lines = both.filter("NOT bucket").drop("bucket")
     rarity = np.zeros(BUCKETS, dtype=np.int64)
     for r in both.filter("bucket").groupBy("doc_id").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows at most
         rarity[r["doc_id"]] = r["n"]
-    prefixes = found.select("class", "words").mapInArrow(_prefixes(rarity), "word long, class long, n int, place int, parity long")
+    prefixes = found.mapInArrow(_prefixes(rarity), "word long, class long, n int, place int, low long, high long")
     dealt = prefixes.repartition("word").sortWithinPartitions("word", "n", "class")
     pairs = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates")
 
     # the full sets of the classes of candidates; sieved before they travel
     ends = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
-    sets = written(sieved(found.select(F.col("class").alias("id"), "words"), ends).dropDuplicates(["id"]), "line-sets")
+    sets = written(sieved(found.mapInArrow(_sets, "id long, words array<long>"), ends).dropDuplicates(["id"]), "line-sets")
     full = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     same, total = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
     links = written(full.filter(100 * same >= NUMERATOR * (total - same)).select("a", "b"), "line-links")
