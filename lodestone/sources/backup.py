@@ -183,16 +183,55 @@ def field(name: str, *types: str) -> Column:
     return F.when(last["type"].isin(*types), last["display"])
 
 
-#: Collections that have a typed record: column, field names in order of preference, type.
+def _whole(name: str) -> Column:
+    """A field as a 32-bit integer: wide integers at the nearest bound, doubles cut; what lies outside is null."""
+    wide = field(name, "int32", "int64").try_cast("long")
+    near = F.when(wide.isNotNull(), F.least(F.greatest(wide, F.lit(-(1 << 31))), F.lit((1 << 31) - 1)))  # bounds alone would stand for null
+    return F.coalesce(near.cast("int"), field(name, "double").try_cast("double").try_cast("int"))
+
+
+def _strings(name: str) -> Column:
+    """The strings among an array's elements; no array: none."""
+    items = F.expr(f"try_variant_get(try_parse_json(body), '$.{name}', 'array<variant>')")
+    return F.coalesce(F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string")), F.array().cast("array<string>"))
+
+
+_TYPES = {
+    "string": lambda name: field(name, "string"),
+    "id": lambda name: field(name, "objectId", "string"),
+    "bool": lambda name: field(name, "bool").try_cast("boolean"),
+    "int": _whole,
+    "time": lambda name: field(name, "datetime").try_cast("timestamp"),
+    "strings": _strings,
+}
+
+
+def _spec(text: str = "", /, site: bool = True, **kinds: str) -> list[tuple[str, tuple[str, ...], str]]:
+    """Columns that are named as their fields: strings, then those of other kinds."""
+    named = {"site_id": "id"} if site else {}
+    named |= dict.fromkeys(text.split(), "string") | {n: kind for kind, names in kinds.items() for n in names.split()}
+    return [(n, (n,), kind) for n, kind in named.items()]
+
+
+#: Collections that have a typed record: column, field names in order of preference, type. Field names are fixed values of the format.
 SPECS: dict[str, list[tuple[str, tuple[str, ...], str]]] = {
-    "site": [("name", ("name",), "string"), ("title", ("desc", "name"), "string")],
-    "device": [("site_id", ("site_id",), "id"), ("name", ("name",), "string"), ("mac", ("mac",), "string"), ("model", ("model",), "string")],
-    "user": [("site_id", ("site_id",), "id"), ("name", ("name", "hostname"), "string"), ("mac", ("mac",), "string")],
-    "wlanconf": [("site_id", ("site_id",), "id"), ("name", ("name",), "string"), ("wlangroup_id", ("wlangroup_id",), "id"), ("enabled", ("enabled",), "bool")],
-    "wlangroup": [("site_id", ("site_id",), "id"), ("name", ("name",), "string")],
-    "networkconf": [("site_id", ("site_id",), "id"), ("name", ("name",), "string"), ("purpose", ("purpose",), "string"), ("vlan", ("vlan",), "int")],
+    "site": [*_spec("name desc attr_hidden_id", site=False, bool="attr_no_delete"), ("title", ("desc", "name"), "string")],
+    "device": _spec("mac name model type version serial", bool="adopted"),
+    "user": [*_spec("mac hostname fixed_ip", bool="is_guest is_wired noted", id="usergroup_id network_id"), ("name", ("name", "hostname"), "string")],
+    "wlanconf": _spec("name security wpa_mode x_passphrase", int="vlan", bool="enabled is_guest", id="wlangroup_id usergroup_id"),
+    "wlangroup": _spec("name"),
+    "networkconf": _spec("name purpose ip_subnet domain_name", int="vlan", bool="is_nat"),
+    "portconf": _spec("name forward poe_mode", id="native_networkconf_id"),
+    "portforward": _spec("name fwd src proto dst_port fwd_port", bool="enabled"),
+    "firewallrule": _spec("name ruleset action protocol", int="rule_index", bool="enabled"),
+    "firewallgroup": _spec("name group_type", strings="group_members"),
+    "routing": _spec("name", bool="enabled"),
+    "admin": _spec("name email last_site_name", site=False, time="time_created"),
+    "account": _spec("name tunnel_type", int="vlan"),
+    "radiusprofile": _spec("name"),
+    "hotspotop": _spec("name"),
+    "setting": _spec("key"),
 }
-_TYPES = {"string": (("string",), "string"), "id": (("objectId", "string"), "string"), "bool": (("bool",), "boolean"), "int": (("int32", "int64"), "long")}
 
 
 def register_collection(name: str, spec: list[tuple[str, tuple[str, ...], str]]) -> None:
@@ -201,7 +240,7 @@ def register_collection(name: str, spec: list[tuple[str, tuple[str, ...], str]])
 
 def typed(docs: DataFrame, collection: str) -> DataFrame:
     """The records of a collection by its spec, with their raw body."""
-    columns = [F.coalesce(*[field(f, *_TYPES[kind][0]).cast(_TYPES[kind][1]) for f in names]).alias(c) for c, names, kind in SPECS[collection]]
+    columns = [F.coalesce(*[_TYPES[kind](f) for f in names]).alias(c) for c, names, kind in SPECS[collection]]
     return docs.filter((F.col("collection") == collection) & F.col("error").isNull()).select("path", "id", *columns, "body")
 
 

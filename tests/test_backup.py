@@ -46,3 +46,22 @@ def test_decryption_without_padding(spark):
     row = spark.createDataFrame([("p", plain)], "path string, content binary").selectExpr("path", f"substring(aes_encrypt(content, X'{key.hex()}', 'CBC', 'PKCS', X'{iv.hex()}'), 17, length(content)) AS content")
     assert bytes(backup.archives(row, key, iv).first().content) == plain
     assert backup.archives(row.selectExpr("path", "substring(content, 1, 15) AS content"), key, iv).first().status == "truncatedAtBlockBoundary"
+
+
+def test_typed_records_are_strict(spark):
+    docs = {
+        "firewallgroup": {"_id": "g", "site_id": "s", "name": "n", "group_members": ["a", 1, None, "b"]},
+        "wlanconf": {"_id": "w", "site_id": "s", "name": 5, "vlan": 2**40, "enabled": True},
+        "firewallrule": {"_id": "r", "name": "n", "rule_index": 2.9, "enabled": "yes"},
+        "routing": {"_id": "t"},
+    }
+    files = {f"{name}.bson": bson.encode(doc) for name, doc in docs.items()}
+    blobs = spark.createDataFrame([("p", archive(files))], "path string, content binary")
+    read = backup.documents(backup.entries(backup.archives(blobs))).cache()
+    group, wlan, rule, route = (backup.typed(read, name).first() for name in docs)
+    assert (group.site_id, group.name, group.group_members) == ("s", "n", ["a", "b"])
+    assert (wlan.name, wlan.vlan, wlan.enabled, wlan.is_guest) == (None, 2**31 - 1, True, None)
+    assert (rule.rule_index, rule.enabled) == (2, None) and route.name is None
+    for name in backup.SPECS:
+        assert backup.typed(read, name).count() == (name in docs)
+    assert backup.opaque(read).count() == 0
