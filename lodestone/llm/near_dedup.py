@@ -9,16 +9,18 @@ least DEPTH leading hashes are candidates:
 * in a denser region the depth adapts: a class is compared with the next classes of the order,
   which share the longest prefixes with it, and with the run's hub, the class whose signature is
   nearest to the most common value at each position. Components are what is asked for, so
-  a dense group needs links enough to hang together, not all its pairs.
+  a dense group first gets links enough to hang together;
+* then all pairs of each dense run whose ends are still in different components are compared, in
+  blocks dealt over tasks, and so are those of runs that a border between sorted partitions divides.
 
 Pairs whose signatures agree on too few places to be similar (below MIN_AGREE, over five standard
 deviations under what a similarity of 0.75 gives) are left out. The rest are confirmed on full sets,
 in two rounds: first each class with its best candidate, then, of the other candidates, only
-those between different components of the first round. The links' components are the groups.
+those between different components of the first round; the pairs of dense runs follow in two rounds of the
+same kind. The links' components are the groups.
 
 At a similarity of exactly 0.75 a pair shares no prefix of DEPTH in any of the TREES orders with
-probability (1 - 0.75 ** 3) ** 20 = 2e-5; a pair that stands on both sides of a border
-between two sorted partitions is missed in that one order only.
+probability (1 - 0.75 ** 3) ** 20 = 2e-5, however many others share it.
 
 No stage groups rows by a key that could be hot: orders are range partitioned on whole labels,
 so that a group of near copies spreads over partitions.
@@ -47,6 +49,7 @@ HASHES = TREES * DEPTH
 RUN, NEXT = 24, 4
 MIN_AGREE = 27
 ROWS_A_TASK = 20_000
+BLOCK = 4096  # classes of a dense run that are compared with as many others at once
 CACHE = 200_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -113,19 +116,29 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _keys_of(sig: np.ndarray, tree: int) -> np.ndarray:
+    """The hash of the first hashes in a tree's order."""
+    key = np.full(len(sig), tree, dtype=np.uint64)
+    for k in range(DEPTH):
+        key = _mix(key ^ sig[:, tree * DEPTH + k].astype(np.uint64)) + np.uint64(tree)
+    return key
+
+
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+
+
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each tree: the hash of its first hashes, then a byte of each further hash in its order."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+            sig = _signatures(part)
             ids = part.column("id").to_numpy(zero_copy_only=False)
             small = (sig & np.uint32(0xFF)).astype(np.uint8)
             labels = []
             for tree in range(TREES):
-                key = np.full(len(sig), tree, dtype=np.uint64)
-                for k in range(DEPTH):
-                    key = _mix(key ^ sig[:, tree * DEPTH + k].astype(np.uint64)) + np.uint64(tree)
+                key = _keys_of(sig, tree)
                 rolled = np.roll(small, -tree * DEPTH, axis=1)
                 labels.append(np.hstack([key.astype(">u8").view(np.uint8).reshape(-1, 8), rolled]))
             whole = np.concatenate(labels)
@@ -155,20 +168,32 @@ def _pairs_of_run(m: np.ndarray, ids: np.ndarray, out: dict[tuple[int, int], int
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one sorted partition: runs of equal first hashes, whole but at its borders."""
+    """Candidate pairs of one sorted partition: runs of equal first hashes, whole but at its borders.
+
+    Runs that are not compared whole, as they are dense or at a border, are told by rows (key, null, size).
+    """
     held = (np.empty((0, 8 + HASHES), dtype=np.uint8), np.empty(0, dtype=np.int64))
     out: dict[tuple[int, int], int] = {}
+    told: dict[int, int] = {}
+    edge: list[tuple[int, int]] = []
 
     def flush() -> pa.RecordBatch:
         a, b = zip(*out, strict=True) if out else ((), ())
-        batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(out.values()), pa.int32())], names=["a", "b", "agree"])
+        batch = pa.RecordBatch.from_arrays([pa.array([*a, *told], pa.int64()), pa.array([*b, *[None] * len(told)], pa.int64()), pa.array([*out.values(), *told.values()], pa.int32())], names=["a", "b", "agree"])
         out.clear()
+        told.clear()
         return batch
 
     def take(rows: np.ndarray, ids: np.ndarray) -> None:
         key = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel()
+        number = key.astype(np.uint64).view(np.int64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
+        told.update((int(number[s]), int(e - s)) for s, e in zip(starts[ends - starts > RUN], ends[ends - starts > RUN], strict=True))
+        if not edge:
+            edge.append((int(number[0]), int(ends[0])))
+            told[edge[0][0]] = edge[0][1]
+        edge[1:] = [(int(number[-1]), int(len(key) - starts[-1]))]
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
             _pairs_of_run(rows[s:e, 8:], ids[s:e], out)
 
@@ -190,15 +215,88 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
     if len(held[1]):
         take(*held)
+    told.update(edge[1:])
     yield flush()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, agree) of classes (id, signature), a < b, each pair once."""
+    """(a, b, agree) of classes (id, signature), a < b, each pair once; and (key, null, size) of runs that are not compared whole."""
     # a stated number of partitions: the labels' bytes are known beforehand
     parts = max(8, classes.count() * TREES // ROWS_A_TASK)
     labels = classes.mapInArrow(_labels, "label binary, id long").repartitionByRange(parts, "label").sortWithinPartitions("label", "id")
-    return labels.mapInArrow(_candidates, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return labels.mapInArrow(_candidates, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.sum("agree").alias("size"), F.count("*").alias("parts"))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, class): the key of each class in each tree."""
+    for batch in batches:
+        sig, ids = _signatures(batch), batch.column("id").to_numpy(zero_copy_only=False)
+        keys = np.concatenate([_keys_of(sig, tree) for tree in range(TREES)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(ids, TREES), type=pa.int64())], names=["id", "class"])
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components from two blocks of a run, or within one; rows come sorted by unit and side."""
+
+    def pack(a: list, b: list, agree: list) -> pa.RecordBatch:
+        a, b, agree = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b, agree))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, ids, part = (rows.column(c).to_numpy() for c in ("side", "class", "component"))
+        m = (np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES) & np.uint32(0xFF)).astype(np.uint8)
+        within = bool((side == 2).all())
+        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+        left, right = left[np.argsort(part[left], kind="stable")], right[np.argsort(part[right], kind="stable")]
+        columns, right_part, right_ids = np.ascontiguousarray(m[right].T), part[right], ids[right]
+        a: list = []
+        b: list = []
+        agree: list = []
+        n = 0
+        for i in left:
+            low, high = np.searchsorted(right_part, part[i], "left"), np.searchsorted(right_part, part[i], "right")
+            for s, e in ((high, len(right)),) if within else ((0, low), (high, len(right))):
+                if s < e:
+                    found = (columns[:, s:e] == m[i][:, None]).sum(axis=0, dtype=np.uint8)
+                    at = np.flatnonzero(found >= MIN_AGREE)
+                    a.append(np.full(len(at), ids[i]))
+                    b.append(right_ids[s + at])
+                    agree.append(found[at])
+                    n += len(at)
+            if n > 100_000:
+                yield pack(a, b, agree)
+                a, b, agree, n = [], [], [], 0
+        yield pack(a, b, agree)
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        unit = held.column("unit").to_numpy()
+        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            yield from compare(held.slice(s, e - s))
+        held = held.slice(starts[-1])
+    if held is not None:
+        yield from compare(held)
+
+
+def crowded(classes: DataFrame, keys: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, agree) of all pairs that share a run of keys (id) and are in different components of parts (id, component)."""
+    inside = sieved(classes.select("id", "signature").mapInArrow(_keys, "id long, class long"), keys).join(keys, "id", "left_semi")
+    inside = inside.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select("id", "class", F.coalesce("component", "class").alias("component"))
+    inside = written(inside, "crowded")
+    runs = inside.groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = inside.join(runs.select("id", blocks.alias("blocks")), "id").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    dealt = dealt.select("class", "component", side.alias("side"), F.struct("id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
+    dealt = dealt.join(classes.select(F.col("id").alias("class"), "signature"), "class").select(F.xxhash64("unit").alias("unit"), "side", "class", "component", "signature")
+    found = dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_pairs_of_blocks, "a long, b long, agree int")
+    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,17 +328,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.filter(similar("left", "right")).select("a", "b")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs with a doc_id, written.
-
-    Documents without words (or a null text) are alone. Repeated doc_ids count as documents with that
-    id; null doc_ids are alone and have a null component.
-    """
-    rows = written(signed(docs), "signatures")
-    known = rows.filter("doc_id IS NOT NULL AND set_digest IS NOT NULL")
-    firsts = known.groupBy("set_digest").agg(F.min("doc_id").alias("id"))
-    classes = written(known.join(firsts, (known["set_digest"] == firsts["set_digest"]) & (known["doc_id"] == firsts["id"])).select("id", "signature").dropDuplicates(["id"]), "classes")
-    pairs = written(candidates(classes), "candidates")
+def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The confirmed links (a, b) of pairs (a, b, agree) and the known ones, as far as they join components; and (id, component)."""
     both = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = written(both.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("back"))).alias("best")), "best")
     # every class with a candidate has one best one; texts of other classes are sieved out before they travel
@@ -249,7 +338,7 @@ def groups(docs: DataFrame) -> DataFrame:
     packed = written(texts.mapInPandas(_packed, "id long, packed binary").join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     first = best.select(F.least("a", -F.col("best.back")).alias("x"), F.greatest("a", -F.col("best.back")).alias("y")).distinct().toDF("a", "b")
-    links = written(confirmed(first, packed), "links")
+    links = written(confirmed(first, packed) if known is None else confirmed(first, packed).unionByName(known), "links")
     so_far = components(links)
     label = so_far.select("id", "component")
     rest = (
@@ -262,9 +351,31 @@ def groups(docs: DataFrame) -> DataFrame:
     rest = written(rest, "rest")
     some = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     more = written(confirmed(rest, packed.join(some, "id", "left_semi")), "links")
-    for old in (packed, rest, best, pairs, classes):
+    for old in (packed, rest, best):
+        forget(old)
+    links = links.unionByName(more)
+    return links, components(links)
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs with a doc_id, written.
+
+    Documents without words (or a null text) are alone. Repeated doc_ids count as documents with that
+    id; null doc_ids are alone and have a null component.
+    """
+    rows = written(signed(docs), "signatures")
+    known = rows.filter("doc_id IS NOT NULL AND set_digest IS NOT NULL")
+    firsts = known.groupBy("set_digest").agg(F.min("doc_id").alias("id"))
+    classes = written(known.join(firsts, (known["set_digest"] == firsts["set_digest"]) & (known["doc_id"] == firsts["id"])).select("id", "signature").dropDuplicates(["id"]), "classes")
+    compared = written(candidates(classes), "candidates")
+    pairs = compared.filter("b IS NOT NULL").select("a", "b", "agree")
+    links, parts = _linked(docs, pairs, None)
+    keys = written(compared.filter(F.col("b").isNull() & ((F.col("size") > RUN) | (F.col("parts") > 1))).select(F.col("a").alias("id")), "runs")
+    more = written(crowded(classes, keys, parts), "candidates")
+    if not more.isEmpty():
+        _, parts = _linked(docs, more, links)
+    for old in (more, keys, compared, classes):
         forget(old)
-    parts = components(links.unionByName(more))
 
     # classes to components, members to classes; the smallest id of a component is that of a class
     of_class = firsts.join(parts, "id", "left").select(F.col("set_digest").alias("_digest"), F.coalesce("component", "id").alias("component_id"))

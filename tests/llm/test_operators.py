@@ -145,6 +145,43 @@ def test_near_dedup_of_odd_rows(docs):
     assert (6, 5) in got and (2, 1) in got and (3, 3) in got and (None, None) in got and len(got) == len(ROWS)
 
 
+def test_near_dedup_of_a_crowded_run(spark):
+    """Documents with a long template in common: hundreds share each run, few are linked."""
+    random.seed(8)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(380):
+        own = [f"o{i}x{k}" for k in range(20)]
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 4 == 0:
+            edited = template + own
+            for k in (20, 104, 112):
+                edited[k] = f"e{i}x{k}"
+            rows.append((2 * i + 1, " ".join(edited)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split(" ")) for i, t in rows)}
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert alike == [(i, i + 1) for i in range(0, 760, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i - i % 2 for i in sets}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
+
+
+def test_pairs_of_crowded_runs_as_brute_force(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 32, near_dedup.HASHES, dtype=np.uint32)
+    sig = np.where(rng.random((300, near_dedup.HASHES)) < rng.uniform(0.5, 0.9, (300, 1)), base, rng.integers(0, 1 << 32, (300, near_dedup.HASHES), dtype=np.uint32)).astype(np.uint32)
+    part = rng.integers(0, 40, 300) * 1000
+    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, signature binary")
+    parts = spark.createDataFrame([(i, int(p)) for i, p in enumerate(part)], "id long, component long")
+    run = [near_dedup._keys_of(sig, t) for t in range(near_dedup.TREES)]
+    key = spark.createDataFrame([(int(k),) for t in run for k in np.unique(t.view(np.int64))], "id long")
+    low = (sig & 0xFF).astype(np.uint8)
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if part[a] != part[b] and any(t[a] == t[b] for t in run) and (low[a] == low[b]).sum() >= near_dedup.MIN_AGREE}
+    assert len(want) > 1000
+    for block in (4096, 50):
+        assert {(r.a, r.b) for r in near_dedup.crowded(classes, key, parts, block).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 300), (300, 200), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in common.components(edges).collect()}
