@@ -34,7 +34,8 @@ MAX_DECLARED = 1000
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x2000)] + [False] * 0x70 + [True] * 0x90)
-_CODE = re.compile(r"<html[^>]{0,2000}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_OPENING = re.compile("<html", re.I)
+_CODE = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
 
 
@@ -53,6 +54,17 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint64(49)).astype(np.int64)
 
 
+def declared_language(html: str) -> str:
+    """The language code of the first opening html tag that has one, wherever it stands; else empty."""
+    at = 0
+    while tag := _OPENING.search(html, at):
+        end = html.find(">", tag.end())
+        at = len(html) if end < 0 else end
+        if code := _CODE.search(html, tag.end(), at):
+            return code[1].lower()
+    return ""
+
+
 def visible(html: str) -> str:
     return html_text.unescape(_HIDDEN.sub(" ", html))
 
@@ -181,7 +193,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("declared string, text string")
     def parts(pages_html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([((m[1].lower() if (m := _CODE.search(x[:5000])) else ""), visible(x)) for x in (h or "" for h in pages_html)], columns=["declared", "text"])
+        return pd.DataFrame([(declared_language(x), visible(x)) for x in (h or "" for h in pages_html)], columns=["declared", "text"])
 
     rows = pick(pages, page_id="long", url="string", html="string").withColumn("_parts", parts("html"))
     rows = rows.withColumns(_host_parts(F.col("url"))).select("page_id", "host", "domain", "suffix", F.col("_parts.declared").alias("declared"), _likelihoods(languages, table)(F.col("_parts.text")).alias("_text"))

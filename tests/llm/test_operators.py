@@ -295,6 +295,13 @@ def test_language_id_on_held_out_documents(spark, docs, empty):
     assert language_id.drop_unknown(all_docs).count() >= 0.99 * all_docs.count()
 
 
+def test_declared_language_behind_a_long_preamble(spark, docs):
+    far = "<!--" + "x " * 40_000 + "-->\n<HTML class='" + "c " * 5000 + "' LANG='FR-ca'><p>le chat"
+    htmls = [far, "<html><html lang=de><p>x", "<p lang=fr><html dir=ltr>lang=en", "<html lang=en", "<html" * 50_000, None]
+    pages = spark.createDataFrame([(i, "http://h.com/", x) for i, x in enumerate(htmls)], "page_id long, url string, html string")
+    assert {r.page_id: r.declared for r in language_id.identify_pages(pages, docs).collect()} == {0: "fr", 1: "de", 2: "", 3: "en", 4: "", 5: ""}
+
+
 def test_toxicity_on_held_out_documents(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
