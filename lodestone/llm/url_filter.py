@@ -1,10 +1,11 @@
 """URL filters: rules for hosts and path beginnings, and a path-template tree for all other urls.
 
-The tree is kept as a table of (host, template) with counts, a template being the first LEVELS
+The tree is kept as a table of (host, template) with counts, a template being all the
 segments of a path. Segments are generalised into wildcards by their shape (numbers, long
 hexadecimal names, dates), and then, level by level, where a node has so many different children
 that few urls share one. Branches that differ in one segment only are merged where their share of
-bad labelled pages doesn't differ from that of all of them by more than chance. A template's
+bad labelled pages doesn't differ from that of all of them by more than chance. Levels where no host
+has urls enough to generalise, or two templates to merge, are passed over. A template's
 purity is its smoothed share of bad labels: with few labels it leans on its host's share, and
 that on the share of all pages. Templates at or over REJECT are blocked.
 
@@ -14,12 +15,11 @@ hold a row for each template.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
 
-LEVELS = 4
 MANY = 20  # different children that make a node's segment variable,
 SHARE = 0.2  # if a child holds less than this share of MANY urls on average
 LEAN = 20.0  # labels that a host's or the corpus' share counts for
@@ -64,9 +64,8 @@ def _shaped(segment: Column) -> Column:
 
 
 def templates_of(path: Column) -> Column:
-    """The first LEVELS segments by shape, and a mark for what comes below them."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.concat(F.transform(F.slice(parts, 1, LEVELS), _shaped), F.when(F.size(parts) > LEVELS, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    """All segments by shape."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), _shaped)
 
 
 def tree(urls: DataFrame) -> DataFrame:
@@ -75,14 +74,28 @@ def tree(urls: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("template", F.col("shape")), "url-shapes")
     at = lambda c, k: F.get(c, k)
     put = lambda c, k: F.transform(c, lambda x, i: F.when(i == k, F.lit("*")).otherwise(x))
-    for k in range(LEVELS):
+    # a node with MANY children needs as many templates of its host that are deeper
+    deeper = Window.partitionBy("host").orderBy(F.desc("size"))
+    sizes = rows.groupBy("host", F.size("template").alias("size")).agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(deeper))
+    for k in range(sizes.filter(F.col("n") >= MANY).agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]):
         node = F.slice("template", 1, k)
         children = rows.filter(F.size("template") > k).groupBy("host", node.alias("node"), at(F.col("template"), k).alias("child")).agg(F.sum("n").alias("n"))
         wide = children.groupBy("host", "node").agg(F.count("*").alias("different"), F.sum("n").alias("n")).filter((F.col("different") >= MANY) & (F.col("n") < F.col("different") * MANY * SHARE)).select(F.col("host").alias("_host"), F.col("node").alias("_node"))
+        wide = written(wide, "url-nodes")
+        if wide.isEmpty():
+            continue
         rows = rows.join(wide, (F.col("host") == F.col("_host")) & (node == F.col("_node")) & (F.size("template") > k), "left")
         rows = rows.withColumn("template", F.when(F.col("_host").isNotNull(), put(F.col("template"), k)).otherwise(F.col("template"))).drop("_host", "_node")
-    rows = written(rows, "url-templates")
-    for k in reversed(range(LEVELS)):
+        rows = written(rows, "url-templates")
+    k = None
+    while True:
+        # a template that no other of its host and size is left to merge with is like its pools at all levels
+        lone = rows.groupBy(F.col("host").alias("_h"), F.size("template").alias("_size")).agg((F.min("template") == F.max("template")).alias("_lone"))
+        lone = written(lone, "url-sizes")
+        top = lone.filter("NOT _lone").agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
+        k = top - 1 if k is None else min(top, k) - 1
+        if k < 0:
+            break
         own = rows.groupBy("host", "template").agg(F.sum("labels").alias("own_labels"), F.sum("bad").alias("own_bad"))
         pooled = own.filter(F.size("template") > k).groupBy("host", put(F.col("template"), k).alias("pool")).agg(F.sum("own_labels").alias("labels"), F.sum("own_bad").alias("bad"))
         a = own.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "own_labels", "own_bad", put(F.col("template"), k).alias("_pool"))
@@ -92,6 +105,8 @@ def tree(urls: DataFrame) -> DataFrame:
         like = a.join(b, (F.col("_h") == F.col("_ph")) & (F.col("_pool") == F.col("_pp"))).filter(apart <= ALIKE).select("_h", "_t", "_pool")
         rows = rows.join(like, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
         rows = written(rows.withColumn("template", F.coalesce("_pool", "template")).drop("_h", "_t", "_pool"), "url-templates")
+    rows = rows.join(lone, (F.col("host") == F.col("_h")) & (F.size("template") == F.col("_size")))
+    rows = written(rows.withColumn("template", F.when(F.col("_lone"), F.transform("template", lambda x: F.lit("*"))).otherwise(F.col("template"))).drop("_h", "_size", "_lone"), "url-templates")
     every = rows.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"), F.coalesce(F.sum("labels"), F.lit(0)).alias("all_labels"))
     hosts = rows.groupBy(F.col("host").alias("_h")).agg(F.sum("bad").alias("host_bad"), F.sum("labels").alias("host_labels"))
     nodes = rows.groupBy(F.col("host").alias("_th"), F.col("template").alias("_t")).agg(F.sum("bad").alias("node_bad"), F.sum("labels").alias("node_labels"))

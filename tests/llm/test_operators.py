@@ -204,6 +204,16 @@ def test_url_filter(spark):
     assert url_filter.judge(bad.limit(0), labels).count() == 0
 
 
+def test_url_filter_of_deep_paths(spark):
+    end = ["news", "spam"]
+    urls = [f"http://s.example.io/a/b/c/d/e/f/{end[i % 2]}/{i}" for i in range(200)] + [f"http://s.example.io/a/b/c/d/{end[i % 2]}/{i}" for i in range(200)] + [f"http://deep.io/{'x/' * 300}{i}a" for i in range(2)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, None) for i in [*range(150), *range(200, 350)]], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages.filter("page_id <> 401"), labels).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(1, 400, 2)) and len(got) == 401
+    assert {r.template for r in got if r.page_id == 400} == {"/".join(["*"] * 301)}
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 16)).astype("float32")
