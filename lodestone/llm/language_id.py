@@ -23,14 +23,12 @@ from pyspark.sql import functions as F
 from .common import hidden, pick, shown, small_batches, written
 
 BUCKETS = 1 << 15
-#: Documents of the training sample, and languages told apart, at most.
-MAX_ROWS, MAX_LANGUAGES = 12_000, 64
+#: Documents of the training sample at most; all their languages are told apart.
+MAX_ROWS = 12_000
 #: Trigrams beyond about so many add little evidence: they depend on each other.
 FULL = 150.0
 LEAN = 10.0  # rows that the level above counts for
 MIN_POSTERIOR = 0.5
-#: Different declared languages that count as evidence, the most frequent ones.
-MAX_DECLARED = 1000
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x2000)] + [False] * 0x70 + [True] * 0x90)
@@ -92,17 +90,16 @@ def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndar
 
     counted = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # BUCKETS rows at most for each language of the sample
-    top = found.groupby("lang")["n"].sum().sort_values(ascending=False).index[:MAX_LANGUAGES]
-    languages = sorted(top)
-    table = np.zeros((len(languages), BUCKETS))
-    for i, lang in enumerate(languages):
-        part = found[found["lang"] == lang]
-        table[i, part["bucket"]] = part["n"]
+    languages = sorted(found["lang"].unique())
+    table = np.empty((len(languages), BUCKETS), dtype=np.float32)
     if languages:
         # a trigram's prior is its share of all trigrams, so that rare ones say little
-        prior = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * BUCKETS)
-        table = np.log((table + 500 * prior) / (table.sum(axis=1, keepdims=True) + 500))
-    return languages, table.astype(np.float32)
+        every = np.bincount(found["bucket"], weights=found["n"], minlength=BUCKETS)
+        prior = (every + 0.5) / (every.sum() + 0.5 * BUCKETS)
+        for i, (_, part) in enumerate(found.groupby("lang")):
+            own = np.bincount(part["bucket"], weights=part["n"], minlength=BUCKETS)
+            table[i] = np.log((own + 500 * prior) / (own.sum() + 500))
+    return languages, table
 
 
 def _likelihoods(languages: list[str], table: np.ndarray):
@@ -159,16 +156,13 @@ def _fused(languages: list[str]):
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     """rows (declared, suffix, domain, host, letters, loglik, soft, any others) with lang, posterior, accepted.
 
-    Empty strings stand for evidence that is missing. A host's, domain's or suffix' rows of any number
+    Empty strings stand for evidence that is missing. A declared language's, host's, domain's or suffix' rows of any number
     are summed map-side; joins with them are by equality.
     """
     rows = written(rows, "language-evidence")
     sums = F.array(*[F.coalesce(F.sum(F.col("soft")[i]), F.lit(0.0)) for i in range(len(languages))]).cast("array<double>")
     levels = rows.join(F.broadcast(rows.agg(sums.alias("every_sums"))))
-    # languages are few and their declarations bounded by MAX_DECLARED, so those sums are broadcast
-    declared = rows.filter("declared <> ''").groupBy(F.col("declared").alias("_key")).agg(sums.alias("declared_sums"), F.count("*").alias("_n")).orderBy(F.desc("_n"), "_key").limit(MAX_DECLARED).drop("_n")
-    levels = levels.join(F.broadcast(declared), F.col("declared") == F.col("_key"), "left").drop("_key")
-    for level in ("suffix", "domain", "host"):
+    for level in ("declared", "suffix", "domain", "host"):
         part = rows.filter(F.col(level) != "").groupBy(F.col(level).alias("_key")).agg(sums.alias(f"{level}_sums"))
         levels = levels.join(part, F.col(level) == F.col("_key"), "left").drop("_key")
     fused = levels.withColumn("_fused", _fused(languages)("letters", "loglik", "soft", "declared_sums", "every_sums", "suffix_sums", "domain_sums", "host_sums"))

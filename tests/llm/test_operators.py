@@ -312,6 +312,15 @@ def test_declared_language_behind_a_long_preamble(spark, docs):
     assert {r.page_id: r.declared for r in language_id.identify_pages(pages, docs).collect()} == {0: "fr", 1: "de", 2: "", 3: "en", 4: "", 5: ""}
 
 
+def test_rare_declarations_and_many_languages_count(spark):
+    rows = [(i, f"d{i % 1200}", [1.0, 0.0]) for i in range(3600)] + [(4000, "z", [0.0, 1.0]), (4001, "z", [0.5, 0.5])]
+    rows = spark.createDataFrame(rows, "key long, declared string, soft array<double>").withColumns({"letters": F.lit(9).cast("long"), "loglik": F.transform("soft", lambda x: F.log(x + 1e-9)), **{c: F.lit("") for c in ("suffix", "domain", "host")}})
+    assert language_id.fuse(rows, ["a", "b"]).filter("key = 4001").first().lang == "b"
+    docs = spark.createDataFrame([(70 * k + i, f"{chr(0x4E00 + 50 * i)}{chr(0x4E07 + 50 * i)}" * (40 + k), f"l{i:02}", "s", 1) for i in range(70) for k in range(2)], DOCS)
+    assert language_id.learn(docs)[0] == [f"l{i:02}" for i in range(70)]
+    assert language_id.drop_unknown(docs).count() == 140
+
+
 def test_toxicity_on_held_out_documents(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
