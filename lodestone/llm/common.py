@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: The bits of sieved()'s filter, at most: 16 MB.
 SIEVE_BITS = 1 << 27
-BATCH_ROWS = 1000
+#: Rows that are handed to Python at once: of whole texts, which are held several times over; and of numbers.
+BATCH_ROWS, LARGE = 1000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +65,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes of UTF-8) of docs, for functions that take Arrow batches."""
+    return pick(docs, doc_id="long", text="string").withColumn("text", F.col("text").cast("binary"))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """df, written as a table in the shared folder and read again; Python gets batch_rows at once meanwhile."""
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

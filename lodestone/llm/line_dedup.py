@@ -4,52 +4,49 @@ A line is the set of its distinct words (A-Z in lower case, split at ASCII white
 if the Jaccard similarity of their sets is at least 0.75. Lines of equal sets are one class. Words are
 ordered by rarity: by the count of their bucket (of BUCKETS) over all lines, then by their hash. Any
 order gives the exact join; this one keeps prefixes rare. Two sets that match share a word
-among their prefixes, the first n - ceil(0.75 n) + 1 words; within the lines of such a word the length filter
-and the positional filter leave the candidates. A parity bitmap of each set (128 bits) bounds how many words two sets
-differ in from below and thins them out before they travel; the rest are verified on their full sets.
+among their prefixes, the first n - ceil(0.75 n) + 1 words; within the lines of such a word the length filter,
+the positional filter and a parity bitmap of each set (which bounds from below in how many words two sets
+differ) leave the candidates. A word that more than HOT lines hold stands together with a later word of the
+prefix, one place longer, since the sets share two words there.
+
+Candidates are never listed pair by pair: each task tells only which classes hang together, and the classes that
+do so over all tasks, as far as their number goes beyond BLOCK in blocks, meet once with their whole sets. There all
+pairs that pass the same filters are verified, and each class gets its number of matches and the earliest of them.
 
 A line is removed if an earlier line (by doc_id, then line number) matches it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, sieved, small_batches, written
-from .near_dedup import _mix as mixed
+from .common import LARGE, components, forget, pick, sieved, texts_of, written
+from .words import buffers, mixed, words_of
 
 NUMERATOR = 75
-BUCKETS = 1 << 16
-#: Pairs that are looked at together, words that are, and words whose hashes a task remembers.
-CHUNK, WORDS_AT_ONCE, CACHE = 1_000_000, 500_000, 200_000
-ROW = ["word", "class", "n", "place", "low", "high"]
-_words: dict[bytes, int] = {}
-
-
-def _hash_of(word: bytes) -> int:
-    if len(_words) > CACHE:
-        _words.clear()
-    _words[word] = h = xxhash.xxh3_64_intdigest(word)
-    return h
-
-
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(48)).astype(np.int64)
+BUCKETS, PARTS = 1 << 20, 64
+HOT = 20_000
+#: Classes of a group that meet with as many others at once.
+BLOCK = 1024
+#: Pairs that are looked at together, and rows of words and of whole sets.
+CHUNK, ROWS, SETS = 1_000_000, 200_000, 20_000
+LINES = "doc_id long, line int, class long, check long, n int, counts binary"
 
 
 class Lines(NamedTuple):
-    """Lines that have words: doc_id and number of each, its class, its n distinct words' hashes one after another."""
+    """Lines that have words: the row of each one's text and its number in it, its class, n, and its distinct words' hashes one after another."""
 
-    doc_id: np.ndarray
+    row: np.ndarray
     line: np.ndarray
     of: np.ndarray
+    check: np.ndarray
     n: np.ndarray
     words: np.ndarray
 
@@ -57,58 +54,67 @@ class Lines(NamedTuple):
     def starts(self) -> np.ndarray:
         return np.cumsum(self.n) - self.n
 
+    def only(self, keep: np.ndarray) -> Lines:
+        return Lines(*(x[keep] for x in self[:5]), self.words[np.repeat(keep, self.n)])
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
-    """The lines of batches (doc_id, text as UTF-8), some WORDS_AT_ONCE words at once. Bytes split at ASCII white space alone, and so do their lower cases."""
-    ids, lines, sizes, flat, get = [], [], [], [], _words.get
-
-    def taken() -> Lines:
-        words, n = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
-        # a set's hash: the sum of its words', mixed
-        of = mixed(np.add.reduceat(mixed(words), np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
-        out = Lines(np.array(ids, dtype=np.int64), np.array(lines, dtype=np.int32), of, n, words)
-        for old in (ids, lines, sizes, flat):
-            old.clear()
-        return out
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Lines]]:
+    """The lines of batches (doc_id, text as UTF-8), with the doc_ids that their rows are of."""
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            for i, said in enumerate((text.as_py() or b"").lower().split(b"\n")):
-                found = {get(w) or _hash_of(w) for w in said.split()}
-                if found:
-                    ids.append(doc_id)
-                    lines.append(i)
-                    sizes.append(len(found))
-                    flat += found
-            if len(flat) > WORDS_AT_ONCE:
-                yield taken()
-    if flat:
-        yield taken()
+        for low, texts in buffers([t or b"" for t in batch.column("text").to_pylist()]):
+            w = words_of(texts)
+            if not len(w.hashes):
+                continue
+            order = np.lexsort((w.hashes, w.line))
+            h, line = w.hashes[order], w.line[order]
+            keep = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
+            text, h, line = w.text[order][keep], h[keep], line[keep]
+            starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            n = np.diff(np.r_[starts, len(line)])
+            # a set's 128 bits: two sums of its words', mixed
+            of, check = (mixed(np.add.reduceat(mixed(h ^ np.uint64(k)), starts) + n.astype(np.uint64)).view(np.int64) for k in (0, 0x5BD1E995))
+            text = text[starts]
+            yield batch.column("doc_id").slice(low, len(texts)), Lines(text, line[starts] - w.first_line[text], of, check, n, h)
+
+
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(44)).astype(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line, and at the end one for each bucket with its count."""
-    names = ["doc_id", "line", "class", "n", "bucket"]
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for part in _tokens(batches):
-        counts += np.bincount(_bucket(part.words), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.doc_id, part.line, part.of, part.n, np.zeros(len(part.n), dtype=bool))], names=names)
-    at = np.flatnonzero(counts)
-    none = np.zeros(len(at), dtype=np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, none.astype(np.int32), none, counts[at], none == 0)], names=names)
+    """A row for each line, and at the end PARTS with the counts of the buckets."""
+    kinds = [(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in LINES.split(", ")]
+    row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, kind) if c is not None else pa.nulls(len(columns[1]), kind) for c, (_, kind) in zip(columns, kinds, strict=True)], names=[k for k, _ in kinds])
+    counts = np.zeros(BUCKETS, dtype=np.uint32)
+    for ids, part in _tokens(batches):
+        counts += np.bincount(_bucket(part.words), minlength=BUCKETS).astype(np.uint32)
+        yield row(ids.take(pa.array(part.row)), part.line.astype(np.int32), part.of, part.check, part.n.astype(np.int32), None)
+    if counts.any():
+        blobs = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(PARTS, -1)]
+        yield row(np.arange(PARTS), np.zeros(PARTS, np.int32), None, None, None, blobs)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of counts by part, of which there are few."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column("doc_id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            new = np.frombuffer(zlib.decompress(blob), dtype=np.uint32).astype(np.uint64)
+            sums[k] = sums[k] + new if k in sums else new
+    yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["doc_id", "counts"])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
     """The first line of each class, as far as this task remembers those it has had."""
     done: set[int] = set()
-    for part in _tokens(batches):
+    for _, part in _tokens(batches):
         of, first = np.unique(part.of, return_index=True)
-        first = first[np.array([c not in done for c in of.tolist()], dtype=bool)]
+        new = np.array([c not in done for c in of.tolist()], dtype=bool)
         keep = np.zeros(len(part.n), dtype=bool)
-        keep[first] = True
-        done.update(part.of[keep].tolist())
+        keep[first[new]] = True
+        done.update(of[new].tolist())
         if keep.any():
-            yield Lines(part.doc_id[keep], part.line[keep], part.of[keep], part.n[keep], part.words[np.repeat(keep, part.n)])
+            yield part.only(keep)
         if len(done) > 500_000:
             done.clear()
 
@@ -116,7 +122,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _once(batches):
         offsets = pa.array(np.r_[part.starts, len(part.words)].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(part.of), pa.ListArray.from_arrays(offsets, pa.array(part.words.view(np.int64)))], names=["id", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.of), pa.array(part.check), pa.ListArray.from_arrays(offsets, pa.array(part.words.view(np.int64)))], names=["id", "check", "words"])
 
 
 def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -124,102 +130,178 @@ def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
 
 
+def _bits(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A parity bitmap of each set: each of its words turns one of 64 bits over."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << ((words >> np.uint64(37)) & np.uint64(63)), starts)
+
+
 def _prefixes(rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _once(batches):
+            part = part.only(part.n > 2)  # smaller sets match equal ones only
+            if not len(part.n):
+                continue
             words, n, starts = part.words, part.n, part.starts
-            # two halves of a bitmap: a bit of each word tells its half
-            half = ((words >> np.uint64(46)) & np.uint64(1)).astype(bool)
-            bit = np.uint64(1) << ((words >> np.uint64(40)) & np.uint64(63))
-            low, high = (np.bitwise_xor.reduceat(np.where(half == side, bit, np.uint64(0)), starts).view(np.int64) for side in (False, True))
-            count = rarity[_bucket(words)]
+            bits, count = _bits(words, starts), rarity[_bucket(words)]
             row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((words, count, row))
+            words, count = words[order], count[order]
             place = np.arange(len(words)) - starts[row]
+            size = (n - -(-NUMERATOR * n // 100) + 1)[row]
             # a word that all lines together hold once has no other line
-            keep = (place < (n - -(-NUMERATOR * n // 100) + 1)[row]) & (count[order] > 1)
-            row = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (words[order][keep].view(np.int64), part.of[row], n[row].astype(np.int32), place[keep].astype(np.int32), low[row], high[row])], names=ROW
-            )
+            single = np.flatnonzero((place < size) & (count > 1) & (count <= HOT))
+            hot = np.flatnonzero((place < size) & (count > HOT))
+            later = size[hot] - place[hot]  # words after it in the prefix that is one longer
+            first = np.repeat(hot, later)
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+            key = np.r_[words[single], mixed(words[first] ^ mixed(words[second]))].view(np.int64)
+            at = np.r_[single, first]
+            row = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, part.of[row], n[row] << 32 | place[at], bits[row].view(np.int64))], names=["word", "class", "at", "bits"])
 
     return run
 
 
-def _pairs(word: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, low_bits: np.ndarray, high_bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows that are sorted by word, then n."""
-    if not len(word):
-        return
-    key = np.cumsum(np.r_[0, word[1:] != word[:-1]]) << 32
-    last = np.searchsorted(key + n, key + n * 100 // NUMERATOR, side="right")  # the length filter
-    more = last - np.arange(len(word)) - 1
-    upto = np.cumsum(more)
-    left, right, low = low_bits.view(np.uint64), high_bits.view(np.uint64), 0
-    while low < len(word):
+def _pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of rows sorted by key, then n, that have one key and pass the length filter and the bitmaps; CHUNK at once."""
+    group = np.cumsum(np.r_[0, key[1:] != key[:-1]]) << 32
+    more = np.searchsorted(group + n, group + n * 100 // NUMERATOR, side="right") - np.arange(len(key)) - 1
+    upto, low = np.cumsum(more), 0
+    while low < len(key):
         high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + CHUNK, side="right")))
         c = more[low:high]
         i = np.repeat(np.arange(low, high), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         low = high
-        need = _need(n[i], n[j])
-        ok = np.bitwise_count(left[i] ^ left[j]).astype(np.int64) + np.bitwise_count(right[i] ^ right[j]) <= n[i] + n[j] - 2 * need
-        i, j, need = i[ok], j[ok], need[ok]
-        room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
-        ok = (room >= need) & (of[i] != of[j])
-        a, b = of[i[ok]], of[j[ok]]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share a prefix word; rows come sorted by word, then n, then class; repeats of a class by other tasks go."""
+        ok = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * _need(n[i], n[j])
+        yield i[ok], j[ok]
 
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])][: len(rows[0])]
-        yield from _pairs(*(x[new] for x in rows))
 
-    held = [np.empty(0, dtype=np.int64)] * len(ROW)
+def _hanging(key: np.ndarray, of: np.ndarray, at: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b) of classes, enough to hold together those that candidate pairs connect."""
+    n, place = at >> 32, at & 0xFFFFFFFF
+    for i, j in _pairs(key, n, bits.view(np.uint64)):
+        room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
+        ok = (room >= _need(n[i], n[j])) & (of[i] != of[j])
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        rows, ends = np.unique(np.r_[i, j], return_inverse=True)
+        i, j = ends[: len(i)], ends[len(i) :]
+        low = np.arange(len(rows))
+        while True:  # the least row that each one's pairs lead to
+            new = low.copy()
+            np.minimum.at(new, i, low[j])
+            np.minimum.at(new, j, low[i])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        a, b = of[rows], of[rows[low]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[a != b]) for x in (a, b)], names=["a", "b"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by a key, in tables of some number or more, none of which cuts the rows of one key."""
+    held, size = [], 0
     for batch in batches:
-        if batch.num_rows:
-            held = [np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(held, ROW, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            whole = pa.Table.from_batches(held)
+            keys = whole.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
             if cut:
-                yield from pairs([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-    yield from pairs(held)
-
-
-def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lines (doc_id, line, class, n) and links (a, b) between classes, both written."""
-    small_batches(docs.sparkSession)
-    found = pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
-    both = written(found.mapInArrow(_lines, "doc_id long, line int, class long, n long, bucket boolean"), "lines")
-    lines = both.filter("NOT bucket").drop("bucket")
-    rarity = np.zeros(BUCKETS, dtype=np.int64)
-    for r in both.filter("bucket").groupBy("doc_id").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows at most
-        rarity[r["doc_id"]] = r["n"]
-    prefixes = found.mapInArrow(_prefixes(rarity), "word long, class long, n int, place int, low long, high long")
-    dealt = prefixes.repartition("word").sortWithinPartitions("word", "n", "class")
-    pairs = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates")
-
-    # the full sets of the classes of candidates; sieved before they travel
-    ends = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
-    sets = written(sieved(found.mapInArrow(_sets, "id long, words array<long>"), ends).dropDuplicates(["id"]), "line-sets")
-    full = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    same, total = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
-    links = written(full.filter(100 * same >= NUMERATOR * (total - same)).select("a", "b"), "line-links")
-    forget(sets)
-    return lines, links
+                yield whole.slice(0, cut)
+                held = whole.slice(cut).to_batches()
+            size = len(keys) - cut if cut else 0  # a long key is looked at again after as many rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What hangs together in the rows of each word; they come sorted by word, then size and place, then class."""
+    for some in _grouped(batches, "word", ROWS):
+        rows = [some.column(c).to_numpy() for c in ("word", "class", "at", "bits")]
+        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]  # repeats of a class by other tasks go
+        yield from _hanging(*(x[new] for x in rows))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, check, links, doc_id, line): for each class of a unit its matches there, and the earliest of them. Rows come sorted by unit, then n."""
+    for some in _grouped(batches, "unit", SETS):
+        unit, n, side, of, check, doc_id, line = (some.column(c).to_numpy() for c in ("unit", "n", "side", "class", "check", "doc_id", "line"))
+        lists = some.column("words").combine_chunks()
+        words = lists.flatten().to_numpy().view(np.uint64)
+        n, starts = n.astype(np.int64), np.cumsum(n) - n
+        # each row's words by small numbers, in order, under the row's number
+        _, small = np.unique(words, return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        inside = row << 32 | small
+        inside = inside[np.argsort(inside, kind="stable")]
+        links, early = np.zeros(len(n), dtype=np.int64), np.full(len(n), len(n))
+        order = np.lexsort((line, doc_id))
+        rank = np.empty(len(n), dtype=np.int64)
+        rank[order] = np.arange(len(n))
+        for i, j in _pairs(unit, n, _bits(words, starts)):
+            ok = (side[i] != side[j]) | (side[i] == 2)
+            i, j = i[ok], j[ok]
+            for low in range(0, len(i), 50_000):
+                a, b = i[low : low + 50_000], j[low : low + 50_000]
+                c = n[a]
+                at = np.arange(c.sum()) + np.repeat(starts[a] - np.cumsum(c) + c, c)
+                wanted = np.repeat(b, c) << 32 | (inside[at] & 0xFFFFFFFF)
+                place = np.minimum(np.searchsorted(inside, wanted), len(inside) - 1)
+                both = np.add.reduceat(inside[place] == wanted, np.cumsum(c) - c, dtype=np.int64)
+                ok = 100 * both >= NUMERATOR * (n[a] + n[b] - both)
+                a, b = a[ok], b[ok]
+                links += np.bincount(a, minlength=len(n)) + np.bincount(b, minlength=len(n))
+                np.minimum.at(early, a, rank[b])
+                np.minimum.at(early, b, rank[a])
+        has = np.flatnonzero(links)
+        first = order[early[has]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[has], check[has], links[has], doc_id[first], line[first])], names=["class", "check", "links", "doc_id", "line"])
+
+
+def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lines (doc_id, line, class, check, n); the first line of each class; and, of classes with matches, (class, check, links, other): all written."""
+    found = texts_of(docs).filter("doc_id IS NOT NULL")
+    both = written(found.mapInArrow(_lines, LINES), "lines")
+    lines = both.filter("counts IS NULL").drop("counts")
+    rarity = np.zeros(BUCKETS, dtype=np.uint32)
+    sums = both.filter("counts IS NOT NULL").select("doc_id", "counts").repartition(PARTS, "doc_id").mapInArrow(_summed, "doc_id long, counts binary")
+    for r in sums.collect():  # PARTS rows, BUCKETS counts
+        rarity.reshape(PARTS, -1)[r["doc_id"]] = np.frombuffer(r["counts"], dtype=np.uint32)
+    firsts = written(lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-classes")
+
+    prefixes = found.mapInArrow(_prefixes(rarity), "word long, class long, at long, bits long")
+    dealt = prefixes.repartition("word").sortWithinPartitions("word", "at", "class")
+    hanging = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates", LARGE)
+    groups = components(hanging)
+    sets = sieved(found.mapInArrow(_sets, "id long, check long, words array<long>"), groups.select("id")).dropDuplicates(["id", "check"])
+    known = sets.join(groups, "id").withColumnRenamed("id", "class").join(firsts, ["class", "check"])
+    known = written(known.select("class", "check", "words", F.size("words").alias("n"), "component", "first.doc_id", "first.line"), "line-sets")
+
+    sizes = known.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    units = known.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("class", "check"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    units = units.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "n", side.alias("side"), "class", "check", "doc_id", "line", "words")
+    told = units.repartition("unit").sortWithinPartitions("unit", "n").mapInArrow(_verified, "class long, check long, links long, doc_id long, line int")
+    links = told.groupBy("class", "check").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "line")).alias("other"))
+    links = written(links, "line-links")
+    for old in (hanging, known, groups):
+        forget(old)
+    return lines, firsts, links
 
 
 def decided(docs: DataFrame) -> DataFrame:
     """(doc_id, line, links, removed) of each line that has words."""
-    lines, links = matched(docs)
-    firsts = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(firsts.select(F.col("class").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("class")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    early = firsts.join(near, "class", "left").select("class", F.least("first", F.coalesce("other", "first")).alias("early"), F.coalesce("links", F.lit(0)).alias("links"))
-    return lines.join(early, "class").select("doc_id", "line", "links", (F.struct("doc_id", "line") != F.col("early")).alias("removed"))
+    lines, firsts, links = matched(docs)
+    early = firsts.join(links, ["class", "check"], "left").select("class", "check", F.least("first", F.coalesce("other", "first")).alias("early"), F.coalesce("links", F.lit(0)).alias("links"))
+    return lines.join(early, ["class", "check"]).select("doc_id", "line", "links", (F.struct("doc_id", "line") != F.col("early")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ least DEPTH leading hashes are candidates:
 * then all pairs of each dense run whose ends are still in different components are compared, in
   blocks dealt over tasks, and so are those of runs that a border between sorted partitions divides.
 
-Pairs whose signatures agree on too few places to be similar (below MIN_AGREE, over five standard
-deviations under what a similarity of 0.75 gives) are left out. The rest are confirmed on full sets,
+Pairs whose signatures agree on too few places to be similar (below MIN_AGREE, 4.4 standard
+deviations under what a similarity of 0.75 gives) are left out, and so are pairs of sets of too different sizes. The rest are confirmed on full sets,
 in two rounds: first each class with its best candidate, then, of the other candidates, only
 those between different components of the first round; the pairs of dense runs follow in two rounds of the
 same kind. The links' components are the groups.
@@ -28,7 +28,6 @@ so that a group of near copies spreads over partitions.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,20 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, hidden, pick, shown, sieved, small_batches, written
+from .common import LARGE, components, forget, hidden, shown, sieved, texts_of, written
+from .words import buffers, mixed, words_of
 
 WORDS = 5
 NUMERATOR = 75  # of a hundredth: 100 * intersection >= 75 * union
 TREES, DEPTH = 20, 3
 HASHES = TREES * DEPTH
 RUN, NEXT = 24, 4
-MIN_AGREE = 27
+MIN_AGREE = 30
 ROWS_A_TASK = 20_000
+LABEL = 8 + HASHES + 4  # bytes of a label
 BLOCK = 4096  # classes of a dense run that are compared with as many others at once
-CACHE = 200_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_words: dict[str, int] = {}
 
 
 @lru_cache(maxsize=1)
@@ -62,65 +59,62 @@ def _numbers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def _hash_of(word: str) -> int:
-    if len(_words) > CACHE:
-        _words.clear()
-    _words[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; fewer words than a shingle's are one."""
-    words = _WORD.findall((text or "").translate(_UPPER) if not (text or "").isascii() else (text or "").lower())
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    get = _words.get
-    h = np.array([get(w) or _hash_of(w) for w in words], dtype=np.uint64)
-    if len(h) < WORDS:
-        h = np.concatenate([h, np.full(WORDS - len(h), len(h), dtype=np.uint64)])
-    out = np.zeros(len(h) - WORDS + 1, dtype=np.uint64)
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles; fewer words than a shingle's are one."""
+    words = words_of(texts)
+    h, n = words.hashes, np.bincount(words.text, minlength=len(texts))
+    ends = np.cumsum(n)
+    out = np.zeros(max(0, len(h) - WORDS + 1), dtype=np.uint64)
     for k in range(WORDS):
-        out = _mix(out ^ h[k : len(h) - WORDS + 1 + k]) + np.uint64(k)
-    return np.unique(out)
-
-
-def signature(found: np.ndarray) -> np.ndarray:
-    """HASHES minimum hashes of 32 bits."""
+        out = mixed(out ^ h[k : k + len(out)]) + np.uint64(k)
+    found = []
+    for size, end in zip(n.tolist(), ends.tolist(), strict=True):
+        if size >= WORDS:
+            one = np.sort(out[end - size : end - WORDS + 1])
+            found.append(one[np.r_[True, one[1:] != one[:-1]]])
+        elif size:
+            one = np.zeros(1, dtype=np.uint64)
+            for k in range(WORDS):
+                one = mixed(one ^ (h[end - size + k] if k < size else np.uint64(size))) + np.uint64(k)
+            found.append(one)
+        else:
+            found.append(np.empty(0, dtype=np.uint64))
+    return found
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """HASHES minimum hashes of 32 bits of each set; none of them is empty."""
     a, b = _numbers()
-    low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 512):
-        low = np.minimum(low, (found[at : at + 512, None] * a + b).min(axis=0))
-    return (_mix(low) >> np.uint64(32)).astype(np.uint32)
+    whole, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]])
+    low = np.empty((len(sets), HASHES), dtype=np.uint64)
+    for k in range(HASHES):
+        low[:, k] = np.minimum.reduceat(whole * a[k] + b[k], starts)
+    return (mixed(low) >> np.uint64(32)).astype(np.uint32)
 
 
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_digest, signature) of each row; an empty set has no digest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = shingles(text)
-                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found).tobytes()) if len(found) else (0, None, None))
-            n, digest, sig = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": pd.Series(n, dtype="int64"), "set_digest": digest, "signature": sig})
+            texts, n, digest, sig = [t or b"" for t in batch.column("text").to_pylist()], [], [], []
+            for _, part in buffers(texts):
+                sets = shingle_sets(part)
+                full = [x for x in sets if len(x)]
+                minima = iter(signatures(full)) if full else iter(())
+                n += map(len, sets)
+                digest += [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+                sig += [next(minima).tobytes() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_digest", "signature"])
 
-    small_batches(docs.sparkSession)
-    rows = pick(docs, doc_id="string", text="string").mapInPandas(run, "doc_id string, n_shingles long, set_digest binary, signature binary")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
 
 
 def _keys_of(sig: np.ndarray, tree: int) -> np.ndarray:
     """The hash of the first hashes in a tree's order."""
     key = np.full(len(sig), tree, dtype=np.uint64)
     for k in range(DEPTH):
-        key = _mix(key ^ sig[:, tree * DEPTH + k].astype(np.uint64)) + np.uint64(tree)
+        key = mixed(key ^ sig[:, tree * DEPTH + k].astype(np.uint64)) + np.uint64(tree)
     return key
 
 
@@ -129,38 +123,45 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each tree: the hash of its first hashes, then a byte of each further hash in its order."""
+    """A row for each tree: the hash of its first hashes, then a byte of each further hash in its order, then the set's size."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             sig = _signatures(part)
             ids = part.column("id").to_numpy(zero_copy_only=False)
             small = (sig & np.uint32(0xFF)).astype(np.uint8)
+            size = part.column("n").to_numpy().astype(np.uint32).view(np.uint8).reshape(-1, 4)
             labels = []
             for tree in range(TREES):
                 key = _keys_of(sig, tree)
                 rolled = np.roll(small, -tree * DEPTH, axis=1)
-                labels.append(np.hstack([key.astype(">u8").view(np.uint8).reshape(-1, 8), rolled]))
+                labels.append(np.hstack([key.astype(">u8").view(np.uint8).reshape(-1, 8), rolled, size]))
             whole = np.concatenate(labels)
             flat = pa.py_buffer(np.ascontiguousarray(whole).tobytes())
             offsets = pa.py_buffer((np.arange(len(whole) + 1, dtype=np.int32) * whole.shape[1]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(whole), [None, offsets, flat]), pa.array(np.tile(ids, TREES), type=pa.int64())], names=["label", "id"])
 
 
-def _pairs_of_run(m: np.ndarray, ids: np.ndarray, out: dict[tuple[int, int], int]) -> None:
+def _may(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles may be similar, by the places on which their signatures agree and by their sizes."""
+    return (agree >= MIN_AGREE) & (100 * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
+
+
+def _pairs_of_run(labels: np.ndarray, ids: np.ndarray, out: dict[tuple[int, int], int]) -> None:
     """Adds a run's candidate pairs, with the places on which their signatures agree."""
+    m, size = labels[:, 8:-4], np.ascontiguousarray(labels[:, -4:]).view(np.uint32).ravel().astype(np.int64)
     n = len(ids)
     reach = n - 1 if n <= RUN else NEXT
     found = []
     for step in range(1, reach + 1):
         agree = (m[:-step] == m[step:]).sum(axis=1)
-        for i in np.flatnonzero(agree >= MIN_AGREE):
+        for i in np.flatnonzero(_may(agree, size[:-step], size[step:])):
             found.append((ids[i], ids[i + step], agree[i]))
     if n > RUN:
         common = np.array([np.bincount(m[:, k], minlength=256).argmax() for k in range(m.shape[1])], dtype=np.uint8)
         hub = int((m == common).sum(axis=1).argmax())
         agree = (m == m[hub]).sum(axis=1)
-        found += [(ids[i], ids[hub], agree[i]) for i in np.flatnonzero(agree >= MIN_AGREE) if i != hub]
+        found += [(ids[i], ids[hub], agree[i]) for i in np.flatnonzero(_may(agree, size, size[hub])) if i != hub]
     for a, b, k in found:
         a, b = (int(a), int(b)) if a < b else (int(b), int(a))
         if a != b:
@@ -172,7 +173,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Runs that are not compared whole, as they are dense or at a border, are told by rows (key, null, size).
     """
-    held = (np.empty((0, 8 + HASHES), dtype=np.uint8), np.empty(0, dtype=np.int64))
+    held = (np.empty((0, LABEL), dtype=np.uint8), np.empty(0, dtype=np.int64))
     out: dict[tuple[int, int], int] = {}
     told: dict[int, int] = {}
     edge: list[tuple[int, int]] = []
@@ -195,12 +196,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told[edge[0][0]] = edge[0][1]
         edge[1:] = [(int(number[-1]), int(len(key) - starts[-1]))]
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            _pairs_of_run(rows[s:e, 8:], ids[s:e], out)
+            _pairs_of_run(rows[s:e], ids[s:e], out)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=np.uint8).reshape(-1, 8 + HASHES)
+        rows = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=np.uint8).reshape(-1, LABEL)
         held = (np.concatenate([held[0], rows]), np.concatenate([held[1], batch.column("id").to_numpy(zero_copy_only=False)]))
         # the last run may go on in the next batch; a very long one is taken in parts that overlap
         same = (held[0][:, :8] == held[0][-1, :8]).all(axis=1)
@@ -220,7 +221,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, agree) of classes (id, signature), a < b, each pair once; and (key, null, size) of runs that are not compared whole."""
+    """(a, b, agree) of classes (id, n, signature), a < b, each pair once; and (key, null, size) of runs that are not compared whole."""
     # a stated number of partitions: the labels' bytes are known beforehand
     parts = max(8, classes.count() * TREES // ROWS_A_TASK)
     labels = classes.mapInArrow(_labels, "label binary, id long").repartitionByRange(parts, "label").sortWithinPartitions("label", "id")
@@ -243,12 +244,12 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, ids, part = (rows.column(c).to_numpy() for c in ("side", "class", "component"))
+        side, ids, part, size = (rows.column(c).to_numpy() for c in ("side", "class", "component", "n"))
         m = (np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES) & np.uint32(0xFF)).astype(np.uint8)
         within = bool((side == 2).all())
         left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         left, right = left[np.argsort(part[left], kind="stable")], right[np.argsort(part[right], kind="stable")]
-        columns, right_part, right_ids = np.ascontiguousarray(m[right].T), part[right], ids[right]
+        columns, right_part, right_ids, right_size = np.ascontiguousarray(m[right].T), part[right], ids[right], size[right]
         a: list = []
         b: list = []
         agree: list = []
@@ -258,7 +259,7 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for s, e in ((high, len(right)),) if within else ((0, low), (high, len(right))):
                 if s < e:
                     found = (columns[:, s:e] == m[i][:, None]).sum(axis=0, dtype=np.uint8)
-                    at = np.flatnonzero(found >= MIN_AGREE)
+                    at = np.flatnonzero(_may(found, size[i], right_size[s:e]))
                     a.append(np.full(len(at), ids[i]))
                     b.append(right_ids[s + at])
                     agree.append(found[at])
@@ -294,15 +295,15 @@ def crowded(classes: DataFrame, keys: DataFrame, parts: DataFrame, block: int =
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = dealt.select("class", "component", side.alias("side"), F.struct("id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
-    dealt = dealt.join(classes.select(F.col("id").alias("class"), "signature"), "class").select(F.xxhash64("unit").alias("unit"), "side", "class", "component", "signature")
+    dealt = dealt.join(classes.select(F.col("id").alias("class"), "n", "signature"), "class").select(F.xxhash64("unit").alias("unit"), "side", "class", "component", "n", "signature")
     found = dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_pairs_of_blocks, "a long, b long, agree int")
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed: they take a fifth of the bytes that their shingles' hashes would."""
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "packed": [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 4) for t in batch["text"]]})
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([zlib.compress(t or b"", 4) for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "packed"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -310,18 +311,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        full = lru_cache(maxsize=64)(lambda packed: shingles(zlib.decompress(packed).decode("utf-8", "surrogatepass")))
         out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = full(bytes(x)), full(bytes(y))
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if 100 * len(small) < NUMERATOR * len(large):
-                out.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            out.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
+        for low in range(0, len(left), 64):
+            some = [[bytes(x) for x in side[low : low + 64]] for side in (left, right)]
+            blobs = list(dict.fromkeys(some[0] + some[1]))
+            texts, sets = [zlib.decompress(x) for x in blobs], []
+            for _, part in buffers(texts):
+                sets += shingle_sets(part)
+            full = dict(zip(blobs, sets, strict=True))
+            for x, y in zip(*some, strict=True):
+                x, y = full[x], full[y]
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(large, small)
+                at[at == len(large)] = 0
+                both = int((large[at] == small).sum())
+                out.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
         return pd.Series(out, dtype="bool")
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
@@ -334,8 +338,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None) -> tuple
     best = written(both.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("back"))).alias("best")), "best")
     # every class with a candidate has one best one; texts of other classes are sieved out before they travel
     ends = best.select(F.col("a").alias("id"))
-    texts = sieved(pick(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "id"), ends)
-    packed = written(texts.mapInPandas(_packed, "id long, packed binary").join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = sieved(texts_of(docs).withColumnRenamed("doc_id", "id"), ends)
+    packed = written(texts.mapInArrow(_packed, "id long, packed binary").join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     first = best.select(F.least("a", -F.col("best.back")).alias("x"), F.greatest("a", -F.col("best.back")).alias("y")).distinct().toDF("a", "b")
     links = written(confirmed(first, packed) if known is None else confirmed(first, packed).unionByName(known), "links")
@@ -366,12 +370,12 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = written(signed(docs), "signatures")
     known = rows.filter("doc_id IS NOT NULL AND set_digest IS NOT NULL")
     firsts = known.groupBy("set_digest").agg(F.min("doc_id").alias("id"))
-    classes = written(known.join(firsts, (known["set_digest"] == firsts["set_digest"]) & (known["doc_id"] == firsts["id"])).select("id", "signature").dropDuplicates(["id"]), "classes")
-    compared = written(candidates(classes), "candidates")
+    classes = written(known.join(firsts, (known["set_digest"] == firsts["set_digest"]) & (known["doc_id"] == firsts["id"])).select("id", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["id"]), "classes")
+    compared = written(candidates(classes), "candidates", LARGE)
     pairs = compared.filter("b IS NOT NULL").select("a", "b", "agree")
     links, parts = _linked(docs, pairs, None)
     keys = written(compared.filter(F.col("b").isNull() & ((F.col("size") > RUN) | (F.col("parts") > 1))).select(F.col("a").alias("id")), "runs")
-    more = written(crowded(classes, keys, parts), "candidates")
+    more = written(crowded(classes, keys, parts), "candidates", 10_000)
     if not more.isEmpty():
         _, parts = _linked(docs, more, links)
     for old in (more, keys, compared, classes):

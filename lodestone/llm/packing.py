@@ -9,55 +9,99 @@ of all pieces share is no single task's work.
 
 from __future__ import annotations
 
+import math
+import os
 import re
+import struct
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, written
+from .common import texts_of, written
+from .words import buffers
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 200_000
-SALTS = 64
+#: Pieces that a worker keeps encoded: so many since it last put the older ones behind.
+CACHE = 150_000
+#: A part of a length has about so many pieces; there are MIN_SALTS parts at least.
+PART_ROWS, MIN_SALTS = 1_000_000, 64
 #: Plans of more rows than this aren't broadcast.
 PLAN_ROWS = 200_000
 
-PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
-_WORDS = re.compile(r"[^ \t\n\r]+")
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Text of these characters is put in lower case and cut here; other words are left to the library whole. "<|" begins its special tokens.
+_PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿ]*")
+#: How the vocabulary cuts text, for plain characters.
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: How byte-level vocabularies write bytes: visible ones of Latin-1 as they are, the others from 256 on, in order.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_WRITTEN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
+
+
+class Kept:
+    """A cache that forgets what wasn't asked for in a while: of two halves, the older goes when the newer is full."""
+
+    def __init__(self, size: int = CACHE):
+        self.size, self.new, self.old = size, {}, {}
+
+    def fetch(self, keys: set, make) -> dict:
+        """Values of all the keys; make(keys) gives those of keys that aren't kept."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        missing = keys - self.new.keys()
+        again = missing & self.old.keys()
+        for k in again:
+            self.new[k] = self.old[k]
+        if missing := missing - again:
+            self.new.update(make(missing))
+        return self.new
 
 
 class WordTokenizer:
-    """A tokenizer whose white space separates: what stands between spaces is encoded once and kept."""
+    """A tokenizer for which white space only separates: each piece of a word is encoded once and kept.
+
+    Plain text is cut into pieces, which the vocabulary's own BPE encodes; words with other characters go
+    through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)
+        self.kept = Kept()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit numbers."""
-        words = [_WORDS.findall(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.kept})
-        if len(self.kept) + len(new) > CACHE:
-            self.kept, new = {}, list({w for ws in words for w in ws})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(self.kept.__getitem__, ws)) for ws in words]
-        if len(self.kept) > CACHE:
-            self.kept = {}
+    def _made(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces; of whole words, behind a line feed, by the library."""
+        bpe, odd = self.library.model.tokenize, [x for x in pieces if x[0] == "\n"]
+        out = {x: array("I", [t.id for t in bpe(x if x.isascii() else x.encode().decode("latin-1").translate(_WRITTEN))]).tobytes() for x in pieces.difference(odd)}
+        for x, e in zip(odd, self.library.encode_batch_fast([x[1:] for x in odd], add_special_tokens=False), strict=True):
+            out[x] = array("I", e.ids).tobytes()
+        return out
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _CUT.findall(text.lower())
+        out = []
+        for w in re.split("[\t-\r ]+", text):
+            if w:
+                out += _CUT.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else ["\n" + w]
         return out
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        cut = [self._cut(t.decode("utf-8", "replace")) for t in texts]
+        ids = self.kept.fetch(set(chain.from_iterable(cut)), self._made)
+        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
@@ -68,27 +112,26 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     """(doc_id, piece, start, length, ids_crc32): the pieces of each document's ids with the end id after them.
 
     Null texts count as empty and have the end id alone. Only documents of more than `capacity` ids
-    are cut, and only their last piece may be shorter.
+    are cut, and only their last piece may be shorter. Repeated rows have their pieces each; null doc_ids stay null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t, end = tokenizer(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        t, end = tokenizer(vocabulary), struct.pack("<I", end_id)
         for batch in batches:
-            ids_of, rows = batch["doc_id"].tolist(), []
-            texts = batch["text"].tolist()
-            for at in range(0, len(texts), 256):
-                for doc_id, ids in zip(ids_of[at : at + 256], t.encode([x or "" for x in texts[at : at + 256]]), strict=True):
+            texts, at, rows = [x or b"" for x in batch.column("text").to_pylist()], [], []
+            for low, some in buffers(texts):
+                for i, ids in enumerate(t.encode(some), low):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        rows.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        at.append(i)
+                        rows.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
+            piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 4
+            columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(docs.sparkSession)
-    return pick(docs, doc_id="string", text="string").mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return texts_of(docs).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -137,12 +180,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """pieces (doc_id, piece, length and any others) with sequence_id and offset.
 
     Equal rows may take each other's slots. No pieces give no rows.
     """
     spark = pieces.sparkSession
+    salts = max(MIN_SALTS, math.ceil(pieces.count() / part_rows))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").count()
     # at most capacity x salts rows, by length
@@ -153,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     slots = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "length long, first long, n long, per long, sequence long, at long").withColumnRenamed("length", "of_length")
     ranked = (
         salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(parts.select(F.col("length").alias("l"), F.col("salt").alias("s"), "before")), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s")))
+        .join(parts.select(F.col("length").alias("l"), F.col("salt").alias("s"), "before"), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s")))
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
     if len(rows) <= PLAN_ROWS:

@@ -2,12 +2,16 @@
 
 import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestone.llm import byte_bpe, common, exact_dedup, language_id, line_dedup, near_dedup, neighbours, packing, toxicity, url_filter, warc
 
@@ -108,11 +112,9 @@ def test_exact_dedup(docs, empty):
 
 
 def brute_groups(rows):
-    import re
-
     sets = {}
     for i, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(near_dedup._UPPER))
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     root = {i: i for i in sets}
     for _ in sets:
@@ -171,7 +173,7 @@ def test_pairs_of_crowded_runs_as_brute_force(spark):
     base = rng.integers(0, 1 << 32, near_dedup.HASHES, dtype=np.uint32)
     sig = np.where(rng.random((300, near_dedup.HASHES)) < rng.uniform(0.5, 0.9, (300, 1)), base, rng.integers(0, 1 << 32, (300, near_dedup.HASHES), dtype=np.uint32)).astype(np.uint32)
     part = rng.integers(0, 40, 300) * 1000
-    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, signature binary")
+    classes = spark.createDataFrame([(i, 100, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, n long, signature binary")
     parts = spark.createDataFrame([(i, int(p)) for i, p in enumerate(part)], "id long, component long")
     run = [near_dedup._keys_of(sig, t) for t in range(near_dedup.TREES)]
     key = spark.createDataFrame([(int(k),) for t in run for k in np.unique(t.view(np.int64))], "id long")
@@ -236,35 +238,51 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.search(df.filter("vec_id < 3")).count() == 2
 
 
-def test_line_dedup_as_brute_force(spark, empty):
+@pytest.mark.parametrize("hot, block", [(20_000, 1024), (20_000, 3), (2, 3)])
+def test_line_dedup_as_brute_force(spark, empty, monkeypatch, hot, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     random.seed(6)
     base = [" ".join(f"w{random.randint(0, 40)}" for _ in range(random.randint(1, 12))) for _ in range(30)]
+    base += [" ".join(f"v{random.randint(0, 40)}" for _ in range(60))]
     rows = []
-    for i in range(40):
+    for i in range(60):
         lines = []
         for _ in range(random.randint(0, 6)):
             w = random.choice(base).split(" ")
-            if random.random() < 0.5:
+            for _ in range(random.randint(0, 2)):
                 w[random.randrange(len(w))] = "New" + str(random.randint(0, 3))
             lines.append(" ".join(w))
         rows.append((i, "\n".join(lines)))
-    docs = spark.createDataFrame([*rows, (50, None), (51, " \n\n")], "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, (70, None), (71, " \n\n")], "doc_id long, text string")
     lines = [(i, k, frozenset(line.lower().split())) for i, t in rows for k, line in enumerate(t.split("\n")) if line.split()]
     alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
     sets = {s for *_, s in lines}
-    want = {i: [0, 0, 0] for i in [*range(40), 50, 51]}
+    want = {i: [0, 0, 0] for i in [*range(60), 70, 71]}
     for i, k, s in lines:
         want[i][0] += 1
         want[i][1] += any((j, m) < (i, k) and alike(s, x) for j, m, x in lines)
         want[i][2] += sum(alike(s, x) for x in sets if x != s)
+    if hot == 2:  # a small table has no word that frequent, so words count as hot from fewer lines on
+        plain = line_dedup._prefixes
+        monkeypatch.setattr(line_dedup, "_prefixes", lambda rarity: plain(np.where(rarity > 2, rarity + line_dedup.HOT, rarity)))
     assert {r.doc_id: [r.n_lines, r.n_removed, r.n_links] for r in line_dedup.line_dedup(clash(docs)).collect()} == want
+    if hot == 2 or block == 3:
+        return
     assert line_dedup.line_dedup(empty).count() == 0
     left = {r.doc_id: r.text for r in line_dedup.cleaned(docs).collect()}
-    assert all(len([x for x in left[i].split("\n") if x.split()]) == want[i][0] - want[i][1] for i in range(40))
+    assert all(len([x for x in left[i].split("\n") if x.split()]) == want[i][0] - want[i][1] for i in range(60))
+
+
+def whole_pieces(rows, capacity):
+    """(doc_id, piece, start, length, ids_crc32) by the library on whole texts."""
+    lib, out = Tokenizer.from_file(WORDS), []
+    for i, text in rows:
+        ids = lib.encode(text or "", add_special_tokens=False).ids + [1]
+        out += [(i, k, s, len(ids[s : s + capacity]), zlib.crc32(np.array(ids[s : s + capacity], dtype="<u4").tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
+    return sorted(out, key=repr)
 
 
-def test_packing(docs, empty):
-    rows = packing.pack_documents(clash(docs), WORDS, capacity=64).collect()
+def check_packing(rows, capacity):
     spans: dict = {}
     for r in rows:
         spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -273,21 +291,58 @@ def test_packing(docs, empty):
         for offset, length in sorted(v):
             assert offset == at
             at += length
-        assert at <= 64
+        assert at <= capacity
+    return len(spans)
+
+
+SPECIAL = "a<|endoftext|>B <|startoftext|> <|EndOfText|> x <|endoftext|> it's IT'S 10% ÉÀß×÷ «é» e\u0301"
+
+
+def test_packing(spark, docs, empty):
+    more = docs.unionByName(spark.createDataFrame([(9, SPECIAL, "en", "s", 1), (9, SPECIAL, "en", "s", 1), (2**60, "x" * 50_000, "en", "s", 1)], DOCS))
+    rows = packing.pack_documents(clash(more), WORDS, capacity=64).collect()
+    texts = [(i, t) for i, t, *_ in ROWS] + [(9, SPECIAL)] * 2 + [(2**60, "x" * 50_000)]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == whole_pieces(texts, 64)
+    check_packing(rows, 64)
     assert {(r.doc_id, r.length) for r in rows if r.doc_id in (3, 4, 7)} == {(3, 1), (4, 1), (7, 1)}
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
-def test_tokens_as_the_library():
-    from tokenizers import Tokenizer
+def test_packing_of_the_whole_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(d, WORDS).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == whole_pieces([(r.doc_id, r.text) for r in d.collect()], 4096)
+    assert check_packing(rows, 4096) <= 1.01 * sum(r.length for r in rows) / 4096 + 1
+
 
-    lib = Tokenizer.from_file(WORDS)
-    lib.encode_special_tokens = True
-    own = packing.WordTokenizer(WORDS)
+def test_best_fit_over_counts_as_over_documents():
+    random.seed(12)
+    for capacity in (16, 100):
+        lengths = [random.choice([1, 2, 3, 5, 7, capacity // 2, capacity // 2 + 1, capacity]) for _ in range(400)]
+        rooms: list = []
+        for n in sorted(lengths, reverse=True):
+            fit = min((r for r in rooms if r >= n), default=None)
+            if fit is None:
+                rooms.append(capacity - n)
+            else:
+                rooms.remove(fit)
+                rooms.append(fit - n)
+        used = {s + k for _, first, n, per, s, _ in packing.plan(Counter(lengths), capacity) for k in range(-(-n // per))}
+        assert len(used) == len(rooms)
+
+
+def test_tokens_as_the_library():
+    lib, own = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
     random.seed(7)
-    parts = ["a", "The", "  ", "\n", " ", "é", "é", "日本", "😀", "12", "'s", "...", "\x1c", "ΑΣ", "\t", "İ", "<|endoftext|>", "\x85"]
-    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(2000)]
-    assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    parts = ["a", "The", "  ", "\n", " ", "é", "É", "ÿ", "×", "é", "日本", "😀", "12", "'s", "'LL", "...", "\x1c", "ΑΣ", "\t", "İ", "<|endoftext|>", "<|", "|>", "\x85", "\x7f", "\xa0", "µ", "²", "~"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(4000)]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for size in (5, 100_000):
+        own.kept = packing.Kept(size)
+        got = []
+        for at in range(0, len(texts), 50):
+            got += own.encode([t.encode() for t in texts[at : at + 50]])
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == want
 
 
 def test_language_id_on_held_out_documents(spark, docs, empty):
