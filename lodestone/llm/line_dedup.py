@@ -31,12 +31,15 @@ from .common import LARGE, components, forget, pick, sieved, texts_of, written
 from .words import buffers, mixed, words_of
 
 NUMERATOR = 75
-BUCKETS, PARTS = 1 << 20, 64
+BUCKETS, PARTS = 1 << 21, 64
 HOT = 20_000
+LONG = 56
+#: The largest size and place that a row tells; larger ones count as these, which lets more candidates through.
+SIZE, PLACE = (1 << 24) - 1, (1 << 15) - 1
 #: Classes of a group that meet with as many others at once.
-BLOCK = 1024
-#: Pairs that are looked at together, and rows of words and of whole sets.
-CHUNK, ROWS, SETS = 1_000_000, 200_000, 20_000
+BLOCK = 4096
+#: Pairs (or words of them) that are looked at together, and rows of words and of whole sets.
+CHUNK, ROWS, SETS = 1_000_000, 200_000, 8_000
 LINES = "doc_id long, line int, class long, check long, n int, counts binary"
 
 
@@ -65,20 +68,23 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Lines
             w = words_of(texts)
             if not len(w.hashes):
                 continue
-            order = np.lexsort((w.hashes, w.line))
+            # by line, then by hash; the bits that the line's number leaves tell words of one line apart
+            room = np.uint64(64 - max(20, int(w.line[-1]).bit_length()))
+            order = np.argsort(w.line.astype(np.uint64) << room | w.hashes >> np.uint64(64) - room)
             h, line = w.hashes[order], w.line[order]
             keep = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
             text, h, line = w.text[order][keep], h[keep], line[keep]
             starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
             n = np.diff(np.r_[starts, len(line)])
-            # a set's 128 bits: two sums of its words', mixed
-            of, check = (mixed(np.add.reduceat(mixed(h ^ np.uint64(k)), starts) + n.astype(np.uint64)).view(np.int64) for k in (0, 0x5BD1E995))
+            # a set's 112 bits: two sums of its words', mixed; the class has 48 of them, since it stands in many rows
+            of, check = (mixed(np.add.reduceat(mixed(h ^ np.uint64(k)), starts) + n.astype(np.uint64)) for k in (0, 0x5BD1E995))
+            of, check = (of >> np.uint64(16)).view(np.int64), check.view(np.int64)
             text = text[starts]
             yield batch.column("doc_id").slice(low, len(texts)), Lines(text, line[starts] - w.first_line[text], of, check, n, h)
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(44)).astype(np.int64)
+    return (words >> np.uint64(43)).astype(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +93,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, kind) if c is not None else pa.nulls(len(columns[1]), kind) for c, (_, kind) in zip(columns, kinds, strict=True)], names=[k for k, _ in kinds])
     counts = np.zeros(BUCKETS, dtype=np.uint32)
     for ids, part in _tokens(batches):
-        counts += np.bincount(_bucket(part.words), minlength=BUCKETS).astype(np.uint32)
+        np.add.at(counts, _bucket(part.words), np.uint32(1))
         yield row(ids.take(pa.array(part.row)), part.line.astype(np.int32), part.of, part.check, part.n.astype(np.int32), None)
     if counts.any():
         blobs = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(PARTS, -1)]
@@ -130,9 +136,11 @@ def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
 
 
-def _bits(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A parity bitmap of each set: each of its words turns one of 64 bits over."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << ((words >> np.uint64(37)) & np.uint64(63)), starts)
+def _bits(words: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A parity bitmap of each set: each of its words turns one bit over, of 128 for sets of more than LONG words and else of the first 64."""
+    bit = np.uint64(1) << ((words >> np.uint64(37)) & np.uint64(63))
+    other = ((words >> np.uint64(36)) & np.uint64(1)).astype(bool) & np.repeat(n > LONG, n)
+    return np.bitwise_xor.reduceat(np.where(other, np.uint64(0), bit), starts), np.bitwise_xor.reduceat(np.where(other, bit, np.uint64(0)), starts)
 
 
 def _prefixes(rarity: np.ndarray):
@@ -142,9 +150,9 @@ def _prefixes(rarity: np.ndarray):
             if not len(part.n):
                 continue
             words, n, starts = part.words, part.n, part.starts
-            bits, count = _bits(words, starts), rarity[_bucket(words)]
+            (bits, more), count = _bits(words, starts, n), rarity[_bucket(words)]
             row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((words, count, row))
+            order = np.argsort(row << 32 | count, kind="stable")  # equal counts stay in the order of their hashes
             words, count = words[order], count[order]
             place = np.arange(len(words)) - starts[row]
             size = (n - -(-NUMERATOR * n // 100) + 1)[row]
@@ -154,16 +162,20 @@ def _prefixes(rarity: np.ndarray):
             later = size[hot] - place[hot]  # words after it in the prefix that is one longer
             first = np.repeat(hot, later)
             second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
-            key = np.r_[words[single], mixed(words[first] ^ mixed(words[second]))].view(np.int64)
+            # 40 bits of a key: words that share them meet to no end, and rows are shorter
+            key = np.r_[words[single], mixed(words[first] ^ mixed(words[second]))] >> np.uint64(24) << np.uint64(24)
             at = np.r_[single, first]
             row = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, part.of[row], n[row] << 32 | place[at], bits[row].view(np.int64))], names=["word", "class", "at", "bits"])
+            key = key.view(np.int64) | np.minimum(n[row], SIZE)
+            ref = np.minimum(place[at], PLACE) << 48 | part.of[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ref, bits[row].view(np.int64), more[row].view(np.int64))], names=["key", "ref", "bits", "more"])
 
     return run
 
 
-def _pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray, more_bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, of rows sorted by key, then n, that have one key and pass the length filter and the bitmaps; CHUNK at once."""
+    folded, long = bits ^ more_bits, n > LONG
     group = np.cumsum(np.r_[0, key[1:] != key[:-1]]) << 32
     more = np.searchsorted(group + n, group + n * 100 // NUMERATOR, side="right") - np.arange(len(key)) - 1
     upto, low = np.cumsum(more), 0
@@ -173,14 +185,16 @@ def _pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[n
         i = np.repeat(np.arange(low, high), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         low = high
-        ok = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * _need(n[i], n[j])
+        wide = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(more_bits[i] ^ more_bits[j])
+        apart = np.where(long[i] & long[j], wide, np.bitwise_count(folded[i] ^ folded[j]))
+        ok = apart <= n[i] + n[j] - 2 * _need(n[i], n[j])
         yield i[ok], j[ok]
 
 
-def _hanging(key: np.ndarray, of: np.ndarray, at: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _hanging(key: np.ndarray, ref: np.ndarray, bits: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(a, b) of classes, enough to hold together those that candidate pairs connect."""
-    n, place = at >> 32, at & 0xFFFFFFFF
-    for i, j in _pairs(key, n, bits.view(np.uint64)):
+    n, place, of = key & SIZE, ref >> 48, ref & ((1 << 48) - 1)
+    for i, j in _pairs(key >> 24, n, bits.view(np.uint64), more.view(np.uint64)):
         room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
         ok = (room >= _need(n[i], n[j])) & (of[i] != of[j])
         i, j = i[ok], j[ok]
@@ -198,11 +212,12 @@ def _hanging(key: np.ndarray, of: np.ndarray, at: np.ndarray, bits: np.ndarray)
                 break
             low = new
         a, b = of[rows], of[rows[low]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[a != b]) for x in (a, b)], names=["a", "b"])
+        both = np.unique(np.column_stack([a, b])[a != b], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=["a", "b"])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """Rows that come sorted by a key, in tables of some number or more, none of which cuts the rows of one key."""
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int, shift: int = 0) -> Iterator[pa.Table]:
+    """Rows that come sorted by a key (without its last bits), in tables of some number or more, none of which cuts the rows of one key."""
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -211,7 +226,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator
         size += batch.num_rows
         if size >= rows:
             whole = pa.Table.from_batches(held)
-            keys = whole.column(key).to_numpy()
+            keys = whole.column(key).to_numpy() >> shift
             cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
             if cut:
                 yield whole.slice(0, cut)
@@ -222,9 +237,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What hangs together in the rows of each word; they come sorted by word, then size and place, then class."""
-    for some in _grouped(batches, "word", ROWS):
-        rows = [some.column(c).to_numpy() for c in ("word", "class", "at", "bits")]
+    """What hangs together in the rows of each word; they come sorted by word and size, then place and class."""
+    for some in _grouped(batches, "key", ROWS, 24):
+        rows = [some.column(c).to_numpy() for c in ("key", "ref", "bits", "more")]
         new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]  # repeats of a class by other tasks go
         yield from _hanging(*(x[new] for x in rows))
 
@@ -237,29 +252,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lists.flatten().to_numpy().view(np.uint64)
         n, starts = n.astype(np.int64), np.cumsum(n) - n
         # each row's words by small numbers, in order, under the row's number
-        _, small = np.unique(words, return_inverse=True)
+        _, small, count = np.unique(words, return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(n)), n)
-        inside = row << 32 | small
-        inside = inside[np.argsort(inside, kind="stable")]
+        inside = np.sort(row << 32 | small)
         links, early = np.zeros(len(n), dtype=np.int64), np.full(len(n), len(n))
         order = np.lexsort((line, doc_id))
         rank = np.empty(len(n), dtype=np.int64)
         rank[order] = np.arange(len(n))
-        for i, j in _pairs(unit, n, _bits(words, starts)):
-            ok = (side[i] != side[j]) | (side[i] == 2)
-            i, j = i[ok], j[ok]
-            for low in range(0, len(i), 50_000):
-                a, b = i[low : low + 50_000], j[low : low + 50_000]
-                c = n[a]
-                at = np.arange(c.sum()) + np.repeat(starts[a] - np.cumsum(c) + c, c)
-                wanted = np.repeat(b, c) << 32 | (inside[at] & 0xFFFFFFFF)
-                place = np.minimum(np.searchsorted(inside, wanted), len(inside) - 1)
-                both = np.add.reduceat(inside[place] == wanted, np.cumsum(c) - c, dtype=np.int64)
-                ok = 100 * both >= NUMERATOR * (n[a] + n[b] - both)
-                a, b = a[ok], b[ok]
-                links += np.bincount(a, minlength=len(n)) + np.bincount(b, minlength=len(n))
-                np.minimum.at(early, a, rank[b])
-                np.minimum.at(early, b, rank[a])
+        # the prefixes again, by rarity among these rows
+        small = inside & 0xFFFFFFFF
+        small = small[np.argsort(row << 32 | count[small], kind="stable")]
+        place = np.arange(len(small)) - starts[row]
+        keep = (place < (n - -(-NUMERATOR * n // 100) + 1)[row]) & (count[small] > 1)
+        own, place, key = row[keep], place[keep], np.cumsum(np.r_[0, unit[1:] != unit[:-1]])[row[keep]] << 32 | small[keep]
+        sort = np.lexsort((n[own], key))
+        own, place, key = own[sort], place[sort], key[sort]
+        low_bits, high_bits = _bits(words, starts, n)
+        found = [np.empty(0, dtype=np.int64)]
+        for i, j in _pairs(key, n[own], low_bits[own], high_bits[own]):
+            a, b = own[i], own[j]
+            ok = (side[a] != side[b]) | (side[a] == 2)
+            ok &= 1 + np.minimum(n[a] - place[i] - 1, n[b] - place[j] - 1) >= _need(n[a], n[b])
+            found.append(np.unique(np.minimum(a[ok], b[ok]) << 32 | np.maximum(a[ok], b[ok])))
+        found = np.unique(np.concatenate(found))
+        i, j = found >> 32, found & 0xFFFFFFFF
+        upto, low = np.cumsum(n[i]), 0
+        while low < len(i):  # some CHUNK words at once
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + CHUNK, side="right")))
+            a, b = i[low:high], j[low:high]
+            low, c = high, n[a]
+            at = np.arange(c.sum()) + np.repeat(starts[a] - np.cumsum(c) + c, c)
+            wanted = np.repeat(b, c) << 32 | (inside[at] & 0xFFFFFFFF)
+            where = np.minimum(np.searchsorted(inside, wanted), len(inside) - 1)
+            both = np.add.reduceat(inside[where] == wanted, np.cumsum(c) - c, dtype=np.int64)
+            ok = 100 * both >= NUMERATOR * (n[a] + n[b] - both)
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, minlength=len(n)) + np.bincount(b, minlength=len(n))
+            np.minimum.at(early, a, rank[b])
+            np.minimum.at(early, b, rank[a])
         has = np.flatnonzero(links)
         first = order[early[has]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[has], check[has], links[has], doc_id[first], line[first])], names=["class", "check", "links", "doc_id", "line"])
@@ -276,23 +306,26 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         rarity.reshape(PARTS, -1)[r["doc_id"]] = np.frombuffer(r["counts"], dtype=np.uint32)
     firsts = written(lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-classes")
 
-    prefixes = found.mapInArrow(_prefixes(rarity), "word long, class long, at long, bits long")
-    dealt = prefixes.repartition("word").sortWithinPartitions("word", "at", "class")
+    prefixes = found.mapInArrow(_prefixes(rarity), "key long, ref long, bits long, more long")
+    dealt = prefixes.repartition(F.shiftright("key", 24)).sortWithinPartitions("key", "ref")
     hanging = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates", LARGE)
     groups = components(hanging)
-    sets = sieved(found.mapInArrow(_sets, "id long, check long, words array<long>"), groups.select("id")).dropDuplicates(["id", "check"])
-    known = sets.join(groups, "id").withColumnRenamed("id", "class").join(firsts, ["class", "check"])
-    known = written(known.select("class", "check", "words", F.size("words").alias("n"), "component", "first.doc_id", "first.line"), "line-sets")
-
-    sizes = known.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    units = known.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("class", "check"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # what is to be known of the classes of groups, without their sets: those travel twice only
+    inside = sieved(firsts.withColumnRenamed("class", "id"), groups.select("id")).join(groups, "id").withColumnRenamed("id", "class")
+    inside = written(inside.select("class", "check", "component", "first.doc_id", "first.line"), "line-groups")
+    sizes = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    known = inside.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("class", "check"), F.col("blocks")).cast("int"))
+    # only texts that may hold the first line of such a class are read once more
+    holding = sieved(found.withColumnRenamed("doc_id", "id"), inside.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id")
+    sets = sieved(holding.mapInArrow(_sets, "id long, check long, words array<long>"), groups.select("id")).withColumnRenamed("id", "class")
+    units = sets.join(known, ["class", "check"]).dropDuplicates(["class", "check"])
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("n", F.size("words"))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     units = units.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "n", side.alias("side"), "class", "check", "doc_id", "line", "words")
     told = units.repartition("unit").sortWithinPartitions("unit", "n").mapInArrow(_verified, "class long, check long, links long, doc_id long, line int")
     links = told.groupBy("class", "check").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "line")).alias("other"))
     links = written(links, "line-links")
-    for old in (hanging, known, groups):
+    for old in (hanging, inside, groups):
         forget(old)
     return lines, firsts, links
 

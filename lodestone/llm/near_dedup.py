@@ -16,8 +16,8 @@ least DEPTH leading hashes are candidates:
 Pairs whose signatures agree on too few places to be similar (below MIN_AGREE, 4.4 standard
 deviations under what a similarity of 0.75 gives) are left out, and so are pairs of sets of too different sizes. The rest are confirmed on full sets,
 in two rounds: first each class with its best candidate, then, of the other candidates, only
-those between different components of the first round; the pairs of dense runs follow in two rounds of the
-same kind. The links' components are the groups.
+those between different components of the first round; then the pairs of dense runs, inside the tasks in which they
+meet. The links' components are the groups.
 
 At a similarity of exactly 0.75 a pair shares no prefix of DEPTH in any of the TREES orders with
 probability (1 - 0.75 ** 3) ** 20 = 2e-5, however many others share it.
@@ -50,7 +50,8 @@ RUN, NEXT = 24, 4
 MIN_AGREE = 30
 ROWS_A_TASK = 20_000
 LABEL = 8 + HASHES + 4  # bytes of a label
-BLOCK = 4096  # classes of a dense run that are compared with as many others at once
+#: Classes of a dense run that are compared with as many others at once, by signatures and by texts; shingles that a task keeps.
+BLOCK, SET_BLOCK, SETS_HELD = 4096, 512, 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -236,68 +237,129 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(ids, TREES), type=pa.int64())], names=["id", "class"])
 
 
-def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components from two blocks of a run, or within one; rows come sorted by unit and side."""
-
-    def pack(a: list, b: list, agree: list) -> pa.RecordBatch:
-        a, b, agree = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b, agree))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
-
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, ids, part, size = (rows.column(c).to_numpy() for c in ("side", "class", "component", "n"))
-        m = (np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES) & np.uint32(0xFF)).astype(np.uint8)
-        within = bool((side == 2).all())
-        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-        left, right = left[np.argsort(part[left], kind="stable")], right[np.argsort(part[right], kind="stable")]
-        columns, right_part, right_ids, right_size = np.ascontiguousarray(m[right].T), part[right], ids[right], size[right]
-        a: list = []
-        b: list = []
-        agree: list = []
-        n = 0
-        for i in left:
-            low, high = np.searchsorted(right_part, part[i], "left"), np.searchsorted(right_part, part[i], "right")
-            for s, e in ((high, len(right)),) if within else ((0, low), (high, len(right))):
-                if s < e:
-                    found = (columns[:, s:e] == m[i][:, None]).sum(axis=0, dtype=np.uint8)
-                    at = np.flatnonzero(_may(found, size[i], right_size[s:e]))
-                    a.append(np.full(len(at), ids[i]))
-                    b.append(right_ids[s + at])
-                    agree.append(found[at])
-                    n += len(at)
-            if n > 100_000:
-                yield pack(a, b, agree)
-                a, b, agree, n = [], [], [], 0
-        yield pack(a, b, agree)
-
-    held = None
+def _comparable(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a unit's rows that are of two sides or of side 2, in different components, and may be similar."""
+    side, part, size = (rows.column(c).to_numpy() for c in ("side", "component", "n"))
+    m = (np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES) & np.uint32(0xFF)).astype(np.uint8)
+    within = bool((side == 2).all())
+    left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+    left, right = left[np.argsort(part[left], kind="stable")], right[np.argsort(part[right], kind="stable")]
+    columns, right_part, right_size = np.ascontiguousarray(m[right].T), part[right], size[right]
+    for i in left:
+        low, high = np.searchsorted(right_part, part[i], "left"), np.searchsorted(right_part, part[i], "right")
+        for s, e in ((high, len(right)),) if within else ((0, low), (high, len(right))):
+            if s < e:
+                found = (columns[:, s:e] == m[i][:, None]).sum(axis=0, dtype=np.uint8)
+                at = right[s + np.flatnonzero(_may(found, size[i], right_size[s:e]))]
+                if len(at):
+                    yield np.full(len(at), i), at
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit; they come sorted by unit."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        unit = held.column("unit").to_numpy()
-        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            yield from compare(held.slice(s, e - s))
-        held = held.slice(starts[-1])
-    if held is not None:
-        yield from compare(held)
-
-
-def crowded(classes: DataFrame, keys: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, agree) of all pairs that share a run of keys (id) and are in different components of parts (id, component)."""
+        while batch.num_rows:
+            unit = batch.column("unit").to_numpy()
+            if held and held[0].column("unit")[0].as_py() != unit[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            end = int(np.searchsorted(unit, unit[0], "right"))
+            held.append(batch.slice(0, end))
+            batch = batch.slice(end)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _root(up: list[int], i: int) -> int:
+    while up[i] != i:
+        up[i] = i = up[up[i]]
+    return i
+
+
+def _told(rows: pa.Table, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ids = rows.column("class").to_numpy()
+    a, b = (ids[[p[k] for p in pairs]] if pairs else np.empty(0, dtype=np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _hanging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a unit's comparable pairs, enough to hold together what they connect."""
+    for rows in _units(batches):
+        up, kept = list(range(rows.num_rows)), []
+        for left, right in _comparable(rows):
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                x, y = _root(up, i), _root(up, j)
+                if x != y:
+                    up[x] = y
+                    kept.append((i, j))
+        yield _told(rows, kept)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a unit's comparable pairs, the confirmed ones, as far as they join components that others don't."""
+    for rows in _units(batches):
+        parts = {p: k for k, p in enumerate(dict.fromkeys(rows.column("component").to_pylist()))}
+        of, packed = [parts[p] for p in rows.column("component").to_pylist()], rows.column("packed").to_pylist()
+        up, kept, sets, held = list(range(len(parts))), [], {}, 0
+        for left, right in _comparable(rows):
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                x, y = _root(up, of[i]), _root(up, of[j])
+                if x == y:
+                    continue
+                if held > SETS_HELD:
+                    sets, held = {}, 0
+                for k in (i, j):
+                    if k not in sets:
+                        (sets[k],) = shingle_sets([zlib.decompress(packed[k])])
+                        held += len(sets[k])
+                if _similar(sets[i], sets[j]):
+                    up[x] = y
+                    kept.append((i, j))
+        yield _told(rows, kept)
+
+
+def crowded(docs: DataFrame, classes: DataFrame, keys: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different components of parts (id, component) among the classes that share a run of keys (id), written.
+
+    All pairs of a run are compared on their signatures, but no pair is listed: tasks tell what hangs together, and
+    what does meets once more with its texts, in blocks, to be confirmed on full sets.
+    """
     inside = sieved(classes.select("id", "signature").mapInArrow(_keys, "id long, class long"), keys).join(keys, "id", "left_semi")
     inside = inside.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select("id", "class", F.coalesce("component", "class").alias("component"))
     inside = written(inside, "crowded")
     runs = inside.groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = inside.join(runs.select("id", blocks.alias("blocks")), "id").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _in_blocks(inside.join(runs.select("id", F.col("n").alias("size")), "id"), block)
+    dealt = dealt.join(classes.select(F.col("id").alias("class"), "n", "signature"), "class").select("unit", "side", "class", "component", "n", "signature")
+    found = written(dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hanging, "a long, b long").distinct(), "hanging", 10_000)
+    groups = components(found)
+    ends = groups.select("id")
+    texts = sieved(texts_of(docs).withColumnRenamed("doc_id", "id"), ends).mapInArrow(_packed, "id long, packed binary").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    members = groups.join(sizes, "component").select(F.col("id").alias("class"), F.col("component").alias("id"), "size")
+    members = members.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    members = members.join(classes.select(F.col("id").alias("class"), "n", "signature"), "class").join(texts.withColumnRenamed("id", "class"), "class")
+    dealt = _in_blocks(members, SET_BLOCK).select("unit", "side", "class", "component", "n", "signature", "packed")
+    links = written(dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_joining, "a long, b long"), "links")
+    for old in (inside, found, groups):
+        forget(old)
+    return links
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (id, class, size, any others) with (unit, side): of a group id of more than block classes, blocks meet each other two by two."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    dealt = dealt.select("class", "component", side.alias("side"), F.struct("id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
-    dealt = dealt.join(classes.select(F.col("id").alias("class"), "n", "signature"), "class").select(F.xxhash64("unit").alias("unit"), "side", "class", "component", "n", "signature")
-    found = dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_pairs_of_blocks, "a long, b long, agree int")
-    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return rows.withColumn("side", side).withColumn("unit", F.xxhash64("id", F.least("own", "other"), F.greatest("own", "other")))
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,20 +382,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 sets += shingle_sets(part)
             full = dict(zip(blobs, sets, strict=True))
             for x, y in zip(*some, strict=True):
-                x, y = full[x], full[y]
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                out.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
+                out.append(_similar(full[x], full[y]))
         return pd.Series(out, dtype="bool")
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
     return joined.filter(similar("left", "right")).select("a", "b")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The confirmed links (a, b) of pairs (a, b, agree) and the known ones, as far as they join components; and (id, component)."""
+def _linked(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The confirmed links (a, b) of pairs (a, b, agree), as far as they join components; and (id, component)."""
     both = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = written(both.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("back"))).alias("best")), "best")
     # every class with a candidate has one best one; texts of other classes are sieved out before they travel
@@ -342,7 +399,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None) -> tuple
     packed = written(texts.mapInArrow(_packed, "id long, packed binary").join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     first = best.select(F.least("a", -F.col("best.back")).alias("x"), F.greatest("a", -F.col("best.back")).alias("y")).distinct().toDF("a", "b")
-    links = written(confirmed(first, packed) if known is None else confirmed(first, packed).unionByName(known), "links")
+    links = written(confirmed(first, packed), "links")
     so_far = components(links)
     label = so_far.select("id", "component")
     rest = (
@@ -373,11 +430,11 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = written(known.join(firsts, (known["set_digest"] == firsts["set_digest"]) & (known["doc_id"] == firsts["id"])).select("id", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["id"]), "classes")
     compared = written(candidates(classes), "candidates", LARGE)
     pairs = compared.filter("b IS NOT NULL").select("a", "b", "agree")
-    links, parts = _linked(docs, pairs, None)
+    links, parts = _linked(docs, pairs)
     keys = written(compared.filter(F.col("b").isNull() & ((F.col("size") > RUN) | (F.col("parts") > 1))).select(F.col("a").alias("id")), "runs")
-    more = written(crowded(classes, keys, parts), "candidates", 10_000)
+    more = crowded(docs, classes, keys, parts)
     if not more.isEmpty():
-        _, parts = _linked(docs, more, links)
+        parts = components(links.unionByName(more))
     for old in (more, keys, compared, classes):
         forget(old)
 

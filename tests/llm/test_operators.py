@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -116,12 +117,11 @@ def brute_groups(rows):
     for i, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    alike = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     root = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
+    while any(root[a] != root[b] for a, b in alike):
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
     return sorted((i, len(sets[i]), root[i], i == root[i]) for i in sets)
 
 
@@ -168,20 +168,39 @@ def test_near_dedup_of_a_crowded_run(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
 
 
-def test_pairs_of_crowded_runs_as_brute_force(spark):
+def test_near_dedup_loses_no_link_into_a_dense_group(spark, monkeypatch):
+    """Hundreds of near copies, and documents with few links each into the group; in one block and in many."""
+    random.seed(10)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in random.sample(range(60), random.randint(1, 2)):
+            w[k] = f"e{i}x{k}"
+        if i >= 200:  # few of the copies are near enough
+            for k in random.sample(range(60), 2):
+                w[k] = f"f{i}x{k}"
+        rows.append((i, " ".join(w)))
+    want = {r[0]: r[2] for r in brute_groups(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (512, 40):
+        monkeypatch.setattr(near_dedup, "SET_BLOCK", block)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
+
+
+def test_comparable_pairs_as_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 32, near_dedup.HASHES, dtype=np.uint32)
     sig = np.where(rng.random((300, near_dedup.HASHES)) < rng.uniform(0.5, 0.9, (300, 1)), base, rng.integers(0, 1 << 32, (300, near_dedup.HASHES), dtype=np.uint32)).astype(np.uint32)
-    part = rng.integers(0, 40, 300) * 1000
-    classes = spark.createDataFrame([(i, 100, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, n long, signature binary")
-    parts = spark.createDataFrame([(i, int(p)) for i, p in enumerate(part)], "id long, component long")
-    run = [near_dedup._keys_of(sig, t) for t in range(near_dedup.TREES)]
-    key = spark.createDataFrame([(int(k),) for t in run for k in np.unique(t.view(np.int64))], "id long")
+    part, size = rng.integers(0, 40, 300) * 1000, rng.integers(80, 120, 300)
     low = (sig & 0xFF).astype(np.uint8)
-    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if part[a] != part[b] and any(t[a] == t[b] for t in run) and (low[a] == low[b]).sum() >= near_dedup.MIN_AGREE}
-    assert len(want) > 1000
-    for block in (4096, 50):
-        assert {(r.a, r.b) for r in near_dedup.crowded(classes, key, parts, block).collect()} == want
+    may = {(a, b) for a in range(300) for b in range(300) if a != b and part[a] != part[b] and 100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]) and (low[a] == low[b]).sum() >= near_dedup.MIN_AGREE}
+    assert len(may) > 1000
+    for side in (np.full(300, 2), rng.integers(0, 2, 300)):
+        rows = pa.table({"side": side, "component": part, "n": size, "signature": [s.tobytes() for s in sig]})
+        got = [(int(i), int(j)) for x, y in near_dedup._comparable(rows) for i, j in zip(x, y)]
+        want = {frozenset(p) for p in may if side[p[0]] == 2 or side[p[0]] != side[p[1]]}
+        assert len(got) == len(want) and {frozenset(p) for p in got} == want
 
 
 def test_components_of_a_chain(spark):
