@@ -57,17 +57,6 @@ def epoch_or_iso(text: Column) -> Column:
     return F.coalesce(F.timestamp_millis(text.try_cast("long")), text.try_cast("timestamp"))
 
 
-def millis(number: Column, kind: Column) -> Column:
-    """A date-time value, or a 64-bit number in the range that milliseconds of our time have."""
-    return F.when((kind == "datetime") | ((kind == "int64") & (number > 10**12) & (number < 10**13)), F.timestamp_millis(number))
-
-
-def int32(value: Column, kind: Column) -> Column:
-    """Strict: 32-bit and clamped 64-bit numbers, truncated doubles in range; null for other types."""
-    whole = value.try_cast("long")
-    return F.when(kind.isin("int32", "int64"), F.least(F.greatest(whole, F.lit(-(2**31))), F.lit(2**31 - 1)).cast("int")).when(kind == "double", value.try_cast("double").try_cast("int"))
-
-
 def matches(query: str, *fields: Column) -> Column:
     """Whether one of the fields holds the query, whatever the case; an empty query is held by all."""
     if not query:

@@ -25,6 +25,12 @@ def node_id(kind: str, key: Column) -> Column:
     return F.concat(F.lit(kind + ":"), key.cast("string"))
 
 
+def sortable(key: Column) -> Column:
+    """A key as text that sorts as the key does, whole: shorter ones first, so that numbers follow each other."""
+    text = key.cast("string")
+    return F.concat(F.lpad(F.length(text).cast("string"), 3, "0"), F.lit("."), text)
+
+
 def nodes(levels: Sequence[Level]) -> DataFrame:
     """(node_id, parent_id, kind, title, depth, path_key, has_raw): levels joined from the top down.
 
@@ -34,7 +40,7 @@ def nodes(levels: Sequence[Level]) -> DataFrame:
     for depth, level in enumerate(levels):
         key = F.col(level.key)
         own = level.rows.select(key.alias("_key"), (F.col(level.parent) if level.parent else F.lit(None)).alias("_parent"), node_id(level.kind, key).alias("node_id"), level.title.alias("title"))
-        step = F.concat(F.lit("/" + level.kind + ":"), F.lpad(F.col("_key").cast("string"), 12, "0"))
+        step = F.concat(F.lit("/" + level.kind + ":"), sortable(F.col("_key")))
         if above is None:
             placed = own.select("_key", "node_id", F.lit(None).cast("string").alias("parent_id"), "title", step.alias("path_key"))
         else:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import export, ordered, redact, tree
+from lodestone.operators import backup_tree, export, ordered, redact, tree
+from lodestone.sources import backup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,14 +32,18 @@ def _levels(t) -> list[tree.Level]:
     ]
 
 
-NODES = """
+def _key_sql(c: str) -> str:
+    return f"lpad(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR), 3, '0') || '.' || {c}"
+
+
+NODES = f"""
 SELECT 'region:' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'region' AS kind, r_name AS title, 0 AS depth,
-       '/region:' || lpad(CAST(r_regionkey AS VARCHAR), 12, '0') AS path_key, false AS has_raw FROM region
+       '/region:' || {_key_sql("r_regionkey")} AS path_key, false AS has_raw FROM region
 UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || r_regionkey, 'nation', n_name, 1,
-       '/region:' || lpad(CAST(r_regionkey AS VARCHAR), 12, '0') || '/nation:' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0'), false
+       '/region:' || {_key_sql("r_regionkey")} || '/nation:' || {_key_sql("n_nationkey")}, false
   FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || n_nationkey, 'customer', c_name, 2,
-       '/region:' || lpad(CAST(r_regionkey AS VARCHAR), 12, '0') || '/nation:' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0') || '/customer:' || lpad(CAST(c_custkey AS VARCHAR), 12, '0'), true
+       '/region:' || {_key_sql("r_regionkey")} || '/nation:' || {_key_sql("n_nationkey")} || '/customer:' || {_key_sql("c_custkey")}, true
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
 
@@ -63,13 +68,13 @@ def node_lookup(t):
     return tree.nodes(_levels(t)).filter("node_id = 'nation:7'").select("node_id", "kind", "title", "path_key")
 
 
-@query(f"SELECT node_id FROM ({NODES}) WHERE path_key LIKE '/region:000000000001/%' OR node_id = 'region:1' OR node_id = 'region:2'")
+@query(f"SELECT node_id FROM ({NODES}) WHERE path_key LIKE '/region:001.1/%' OR node_id = 'region:1' OR node_id = 'region:2'")
 def toggle_descendants(t):
     nodes = tree.nodes(_levels(t))
     return tree.toggled(nodes.filter("node_id = 'region:2'").select("node_id"), nodes, "region:1", True)
 
 
-@query(f"SELECT node_id FROM ({NODES}) WHERE kind = 'nation' AND path_key NOT LIKE '/region:000000000001/%'")
+@query(f"SELECT node_id FROM ({NODES}) WHERE kind = 'nation' AND path_key NOT LIKE '/region:001.1/%'")
 def toggle_off(t):
     nodes = tree.nodes(_levels(t))
     return tree.toggled(nodes.filter("kind = 'nation'").select("node_id"), nodes, "region:1", False)
@@ -259,7 +264,8 @@ def markdown_headings(t):
     return export.export(_sections(t), "markdown", "gpt")
 
 
-@query()
+@query("""SELECT c_custkey AS ord, '{' || chr(10) || '  "fields" : [ {' || chr(10) || '    "key" : "c_nationkey",' || chr(10) || '    "value" : "' || c_nationkey || '"' || chr(10) || '  }, {' || chr(10)
+  || '    "key" : "c_mktsegment",' || chr(10) || '    "value" : "' || c_mktsegment || '"' || chr(10) || '  } ],' || chr(10) || '  "kind" : "customer",' || chr(10) || '  "title" : "' || c_name || '"' || chr(10) || '}' AS body FROM customer""")
 def json_sections(t):
     return export.export(_sections(t), "json")
 
@@ -348,8 +354,16 @@ def node_table(t):
     return nations.unionByName(t("part").select(F.lit("opaque").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit(True).alias("has_raw")))
 
 
+#: Customers of one archive, at most.
+PART = 10_000
+_PATH = f"'nation-' || c_nationkey || '-' || (c_custkey // {PART})"
+_SITE = "lpad(lower(to_hex(c_nationkey + 1)), 24, '0')"
+_WLANS = "FROM customer WHERE c_custkey % 10 = 0"
+_ARCHIVES = f"(SELECT DISTINCT {_PATH} AS path, c_nationkey, {_SITE} AS site FROM customer)"
+
+
 def _backups(t) -> DataFrame:
-    """An archive for each nation, with its customers as a stream of documents behind a marker."""
+    """Archives of PART customers of a nation at most: streams of documents behind markers."""
     import gzip
     import io
     import zipfile
@@ -358,29 +372,176 @@ def _backups(t) -> DataFrame:
 
     from lodestone.sources import bson
 
+    def some(**fields) -> dict:
+        return {("_id" if k == "id" else k): v for k, v in fields.items() if v is not None}
+
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        nation = int(part["c_nationkey"].iloc[0])
-        stream = bson.encode({"collection": "user"}) + b"".join(bson.encode({"_id": str(k), "name": n, "site_id": str(nation), "balance": float(b)}) for k, n, b in zip(part["c_custkey"], part["c_name"], part["c_acctbal"], strict=True))
+        nation, first = int(part["c_nationkey"].iloc[0]), int(part["c_custkey"].iloc[0])
+        site = bson.Typed("objectId", f"{nation + 1:024x}")
+        rows = [(int(k), n) for k, n in zip(part["c_custkey"], part["c_name"], strict=True)]
+        found = {
+            "site": [some(id=site, name=f"nation-{nation}", desc=f"Nation {nation}" if nation % 2 == 0 else None)],
+            "wlangroup": [some(id="g0", site_id=site, name="G0"), some(id="g1", site_id=site)],
+            "admin": [some(id="root", name="root", x_shadow="s", time_created=bson.Typed("int64", 1_700_000_000_000 + nation))],
+            "user": [some(id=str(k), name=n if k % 3 else None, hostname=f"h{k}", mac=f"m{k}" if k % 5 == 0 else None, site_id=site if k % 7 else "nowhere") for k, n in rows],
+            "wlanconf": [some(id=str(k), site_id=site, name=n, x_passphrase=f"p{k}", vlan=k, wlangroup_id="g0" if k % 20 == 0 else "none", more={"x_password": "s", "list": [{"secret": "t", "k": 1}]}, tags=["a", k]) for k, n in rows if k % 10 == 0],
+            "extra": [{"k": nation}],
+        }
+        stream = b"".join(bson.encode({"collection": c}) + b"".join(map(bson.encode, docs)) for c, docs in found.items())
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("version", "1")
-            z.writestr("db.gz", gzip.compress(stream + bson.encode({"collection": "extra"}) + bson.encode({"k": nation})))
-        return pd.DataFrame({"path": [f"nation-{nation}"], "content": [out.getvalue()]})
+            for name, data in {"version": "9.5.21\r\n", "format": "8", "timestamp": "1713600000000", "system.properties": "dir=/opt/Service/data", "db.gz": gzip.compress(stream)}.items():
+                z.writestr(name, data)
+        return pd.DataFrame({"path": [f"nation-{nation}-{first // PART}"], "content": [out.getvalue()]})
+
+    return t("customer").withColumn("part", F.expr(f"c_custkey div {PART}")).groupBy("c_nationkey", "part").applyInPandas(pack, "path string, content binary")
+
+
+def _contained(t) -> DataFrame:
+    """The same archives, each inside an outer one."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def wrap(batches):
+        for batch in batches:
+            blobs = []
+            for content in batch["content"]:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("readme", "x")
+                    z.writestr("net/Backup.UNF", bytes(content))
+                blobs.append(out.getvalue())
+            yield pd.DataFrame({"path": batch["path"], "content": blobs})
 
-    return t("customer").groupBy("c_nationkey").applyInPandas(pack, "path string, content binary")
+    return _backups(t).mapInPandas(wrap, "path string, content binary")
 
 
-@query("SELECT 'nation-' || c_nationkey AS path, CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS site_id, c_name AS name FROM customer")
+def _documents(t) -> DataFrame:
+    return backup.documents(backup.entries(backup.archives(_backups(t))))
+
+
+@query(f"""SELECT {_PATH} AS path, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' ELSE {_SITE} END AS site_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name,
+  'h' || c_custkey AS hostname, CASE WHEN c_custkey % 5 = 0 THEN 'm' || c_custkey END AS mac FROM customer""")
 def backup_end_to_end(t):
     """Archives of customers, read back: entries, stream, markers, typed records."""
-    from lodestone.sources import backup
+    return backup.typed(_documents(t), "user").select("path", "id", "site_id", "name", "hostname", "mac")
 
-    docs = backup.documents(backup.entries(backup.archives(_backups(t))))
-    return backup.typed(docs, "user").select("path", "id", "site_id", "name")
 
-
-@query("SELECT 'nation-' || c_nationkey AS path, 'extra' AS collection, 1 AS n FROM customer GROUP BY c_nationkey")
+@query(f"SELECT path, 'extra' AS collection, 1 AS n FROM {_ARCHIVES}")
 def backup_opaque(t):
-    from lodestone.sources import backup
+    return backup.opaque(_documents(t)).select("path", "collection", "n")
+
+
+@query(f"SELECT path, 'extra' AS collection, '' AS id, '{{\"k\": ' || c_nationkey || '}}' AS body FROM {_ARCHIVES}")
+def backup_opaque_records(t):
+    return backup.opaque_records(_documents(t))
+
+
+@query(f"SELECT path, 'extra(1)' AS summary FROM {_ARCHIVES}")
+def backup_opaque_summary(t):
+    return backup.opaque_summary(_documents(t))
+
+
+@query(f"SELECT {_PATH} AS path, CAST(c_custkey AS VARCHAR) AS id, {_SITE} AS site_id, c_name AS name, 'p' || c_custkey AS x_passphrase, CAST(c_custkey AS INTEGER) AS vlan, CASE WHEN c_custkey % 20 = 0 THEN 'g0' ELSE 'none' END AS wlangroup_id {_WLANS}")
+def backup_wlans(t):
+    return backup.typed(_documents(t), "wlanconf").select("path", "id", "site_id", "name", "x_passphrase", "vlan", "wlangroup_id")
+
+
+@query(f"SELECT path, site AS id, 'nation-' || c_nationkey AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'Nation ' || c_nationkey END AS desc_text, CASE WHEN c_nationkey % 2 = 0 THEN 'Nation ' ELSE 'nation-' END || c_nationkey AS title FROM {_ARCHIVES}")
+def backup_sites(t):
+    return backup.typed(_documents(t), "site").select("path", "id", "name", F.col("desc").alias("desc_text"), "title")
+
+
+@query(f"SELECT path, 'root' AS name, 1700000000000 + c_nationkey AS created FROM {_ARCHIVES}")
+def backup_admins(t):
+    return backup.typed(_documents(t), "admin").select("path", "name", F.unix_millis("time_created").alias("created"))
+
+
+@query(f"""SELECT path, 'admin' AS collection, 'x_shadow' AS secret, 1 AS n FROM {_ARCHIVES}
+  UNION ALL SELECT {_PATH}, 'wlanconf', s, count(*) {_WLANS.replace("WHERE", "CROSS JOIN (VALUES ('x_passphrase'), ('more.x_password'), ('more.list.secret')) v(s) WHERE")} GROUP BY 1, 2, 3""")
+def backup_secrets(t):
+    """Secret fields at any depth of the documents, counted by path."""
+    return backup.secret_counts(_documents(t))
+
+
+@query(f"""SELECT {_PATH} AS path, CAST(c_custkey AS VARCHAR) AS id, '{{"_id": "' || c_custkey || '", "more": {{"list": [{{"k": 1, "secret": "<redacted>"}}], "x_password": "<redacted>"}}, "name": "' || c_name || '", "site_id": {{"$oid": "' || {_SITE} || '"}}, "tags": ["a", ' || c_custkey
+  || '], "vlan": ' || c_custkey || ', "wlangroup_id": "' || CASE WHEN c_custkey % 20 = 0 THEN 'g0' ELSE 'none' END || '", "x_passphrase": "<redacted>"}}' AS body {_WLANS}""")
+def backup_redacted(t):
+    return backup.typed(_documents(t), "wlanconf").select("path", "id", F.col("body_redacted").alias("body"))
+
+
+@query(f"SELECT path, '9.5.21' AS version, '8' AS format, '2024-04-20T08:00:00' AS stamp, 'settingsOnly' AS kind, 'service' AS origin FROM {_ARCHIVES}")
+def backup_identity(t):
+    found = backup.entries(backup.archives(_backups(t)))
+    told = backup.identity(found, backup.documents(found), [("/data/service", "appliance"), ("/opt/service", "service")])
+    return told.select("path", "version", "format", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), "kind", "origin")
+
+
+@query(f"SELECT path, 1 AS infos, 0 AS problems, 0 AS worst FROM {_ARCHIVES}")
+def backup_badges(t):
+    found = backup.archives(_backups(t))
+    unpacked = backup.entries(found)
+    return backup.severity_badge(backup.diagnostics(found, unpacked, backup.documents(unpacked)))
+
+
+@query(f"SELECT path, '- [info] `unknownCollection` extra(1)' AS line FROM {_ARCHIVES}")
+def backup_report(t):
+    found = backup.archives(_backups(t))
+    unpacked = backup.entries(found)
+    return backup.report(backup.diagnostics(found, unpacked, backup.documents(unpacked)), infos=True)
+
+
+@query(f"SELECT {_PATH} AS path, count(*) AS users FROM customer GROUP BY 1")
+def backup_container(t):
+    """Backups inside outer archives."""
+    return backup.typed(backup.documents(backup.opened(_contained(t))), "user").groupBy("path").agg(F.count("*").alias("users"))
+
+
+@query(f"SELECT path, name FROM {_ARCHIVES}, (VALUES ('version'), ('format'), ('timestamp'), ('system.properties'), ('db.gz')) v(name)")
+def backup_entries(t):
+    return backup.inventory(backup.entries(backup.archives(_backups(t)))).select("path", "name")
+
+
+@query(f"""SELECT {_PATH} AS path, 1 AS sites, 0 AS devices, count(*) FILTER (c_custkey % 10 = 0) AS wlans, 0 AS networks, 0 AS rules, 1 AS admins, 1 + 3 * count(*) FILTER (c_custkey % 10 = 0) AS secrets FROM customer GROUP BY 1""")
+def backup_overview(t):
+    return backup.overview(_documents(t))
+
+
+_TREE = f"""
+SELECT path, 'cat:' || c AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'category' AS kind, n AS title FROM {_ARCHIVES}, (VALUES ('sites', 'Sites'), ('admins', 'Admins'), ('opaque', 'Other Collections')) v(c, n)
+UNION ALL SELECT path, 'site:' || site, 'cat:sites', 'site', CASE WHEN c_nationkey % 2 = 0 THEN 'Nation ' ELSE 'nation-' END || c_nationkey FROM {_ARCHIVES}
+UNION ALL SELECT path, 'sitechild:' || site || ':wlans', 'site:' || site, 'siteChildCategory', 'wlans' FROM {_ARCHIVES}
+UNION ALL SELECT DISTINCT {_PATH}, 'sitechild:' || {_SITE} || ':clients', 'site:' || {_SITE}, 'siteChildCategory', 'clients' FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT path, 'wlangroup:' || g, 'sitechild:' || site || ':wlans', 'wlanGroup', n FROM {_ARCHIVES}, (VALUES ('g0', 'G0'), ('g1', 'Group')) v(g, n)
+UNION ALL SELECT {_PATH}, 'wlan:' || c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'wlangroup:g0' ELSE 'sitechild:' || {_SITE} || ':wlans' END, 'wlan', c_name {_WLANS}
+UNION ALL SELECT {_PATH}, 'client:' || c_custkey, 'sitechild:' || {_SITE} || ':clients', 'client',
+  concat_ws(' \u00b7 ', CASE WHEN c_custkey % 3 <> 0 THEN c_name END, 'h' || c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'm' || c_custkey END) FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT path, 'admin:root', 'cat:admins', 'admin', 'root' FROM {_ARCHIVES}
+UNION ALL SELECT path, 'opcoll:extra', 'cat:opaque', 'opaqueCollection', 'extra' FROM {_ARCHIVES}
+UNION ALL SELECT path, 'oprec:extra:', 'opcoll:extra', 'opaqueRecord', '(no id)' FROM {_ARCHIVES}
+"""
+
+
+@query(_TREE)
+def backup_nodes(t):
+    return backup_tree.nodes(_documents(t)).select("path", "node_id", "parent_id", "kind", "title")
+
+
+@query(f"SELECT path, substr(parent_id, 5) AS category, count(*) AS badge FROM ({_TREE}) WHERE parent_id LIKE 'cat:%' GROUP BY 1, 2")
+def backup_category_badges(t):
+    return backup_tree.badges(backup_tree.nodes(_documents(t)))
+
+
+@query(f"""SELECT {_PATH} AS path, 'wlan:' || c_custkey AS ord, 'WLAN: ' || c_name || chr(10) || '  _id: ' || c_custkey || chr(10) || '  site_id: ' || {_SITE} || chr(10) || '  name: ' || c_name || chr(10) || '  x_passphrase: <redacted>' || chr(10) || '  vlan: ' || c_custkey
+  || chr(10) || '  wlangroup_id: ' || CASE WHEN c_custkey % 20 = 0 THEN 'g0' ELSE 'none' END || chr(10) || '  more: {{x_password, list}}' || chr(10) || '  tags: [a, ' || c_custkey || ']' AS body {_WLANS}""")
+def backup_text(t):
+    """Sections of a backup's nodes as text, secrets replaced."""
+    found = backup_tree.sections(backup_tree.nodes(_documents(t))).filter("tag = 'wlan'")
+    return export.as_text(found.withColumn("ord", F.struct("path", "node_id"))).select("ord.path", F.col("ord.node_id").alias("ord"), "body")
+
 
-    return backup.opaque(backup.documents(backup.entries(backup.archives(_backups(t))))).select("path", "collection", "n")
+@query(f"SELECT path, count(*) AS selected FROM ({_TREE}) WHERE kind NOT IN ('category', 'siteChildCategory', 'wlanGroup', 'opaqueCollection') GROUP BY 1")
+def backup_selection_count(t):
+    return backup_tree.sections(backup_tree.nodes(_documents(t))).groupBy("path").agg(F.count("*").alias("selected"))

@@ -9,19 +9,26 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from lodestone.operators.ordered import UNCATEGORIZED, forward_fill
+from lodestone.functions.text import REDACTED, epoch_or_iso, first_rule, sanitise
+from lodestone.operators.ordered import UNCATEGORIZED, pick_first
+from lodestone.operators.redact import SECRET_FIELDS
 from lodestone.sources import bson
 
 ZIP = b"PK\x03\x04"
-ENTRIES = "path string, seq int, name string, data binary, code string"
-DOCUMENTS = "path string, entry string, offset long, id string, marker string, fields array<struct<pos:int,key:string,type:string,display:string>>, body string, error string"
+ENTRIES = "path string, seq int, name string, data binary, code string, by_file boolean, streamed boolean"
+FIELDS = "array<struct<pos:int,key:string,type:string,display:string,pretty:string>>"
+DOCUMENTS = f"path string, entry string, collection string, offset long, id string, fields {FIELDS}, body string, body_redacted string, secrets array<string>, error string"
+#: Documents that a task hands over at once.
+BATCH = 500
 #: Collections that only a load of statistics reads.
 STATISTICS = "^(stat_|event_archive|rogue)"
 
@@ -89,18 +96,53 @@ def _entries(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
         at = after
 
 
+def _is_bson(name: str | None) -> bool:
+    return bool(name) and name.endswith(".bson") and not name.startswith("__MACOSX")
+
+
 def entries(found: DataFrame) -> DataFrame:
-    """(path, seq, name, data, code) of archives (path, content); of repeated names the last stays."""
+    """(path, seq, name, data, code, by_file, streamed) of archives (path, content); of repeated names the last stays.
+
+    by_file and streamed tell of each archive whether it has a file for each collection, and a stream of all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, i, *e) for i, e in enumerate(_entries(bytes(content)))]
-                yield pd.DataFrame(rows or [(path, 0, None, None, "zipUnreadable")], columns=["path", "seq", "name", "data", "code"])
+                last = {e[0]: (i, *e) for i, e in enumerate(_entries(bytes(content)))}
+                told = any(map(_is_bson, last)), "db.gz" in last
+                rows = [(path, *e, *told) for e in last.values()]
+                yield pd.DataFrame(rows or [(path, 0, None, None, "zipUnreadable", False, False)], columns=["path", "seq", "name", "data", "code", "by_file", "streamed"])
+
+    return found.filter("content IS NOT NULL").select("path", "content").mapInPandas(run, ENTRIES)
+
+
+def embedded(found: DataFrame, key: bytes | None = None, iv: bytes | None = None) -> DataFrame:
+    """(path, content) of the backup inside each archive of entries that has no payload of its own.
+
+    First a name that ends .unf, the smallest; then one with "network" of whole cipher blocks, the smallest; then, by
+    size from the largest, what decrypts to an archive. Archives without any give no row.
+    """
+    size, name = F.length("data"), F.lower("name")
+    whole = (size % 16 == 0) & ~is_zip(F.col("data"))
+    tier = F.when(name.endswith(".unf"), 1).when(name.contains("network") & (size >= 16) & whole, 2)
+    if key is not None:
+        tier = tier.when((size >= 64) & whole & is_zip(decrypted("data", key, iv)), 3)
+    inner = found.filter("NOT by_file AND NOT streamed AND data IS NOT NULL").withColumn("tier", tier).filter("tier IS NOT NULL")
+    best = pick_first(inner, ["path"], [F.col("tier"), F.when(F.col("tier") < 3, F.col("name")), F.desc(size), F.col("name")])
+    return best.select("path", F.col("data").alias("content"))
 
-    rows = found.filter("content IS NOT NULL").select("path", "content").mapInPandas(run, ENTRIES)
-    last = rows.groupBy(F.col("path").alias("_path"), F.col("name").alias("_name")).agg(F.max("seq").alias("_seq"))
-    return rows.join(last, (F.col("path") == F.col("_path")) & F.col("name").eqNullSafe(F.col("_name")) & (F.col("seq") == F.col("_seq"))).drop("_path", "_name", "_seq")
+
+def opened(blobs: DataFrame, key: bytes | None = None, iv: bytes | None = None) -> DataFrame:
+    """The entries of blobs (path, content), those of an embedded backup in place of its container's."""
+    outer = entries(archives(blobs, key, iv))
+    inner = entries(archives(embedded(outer, key, iv), key, iv))
+    return outer.filter("by_file OR streamed OR code = 'zipUnreadable'").unionByName(inner)
+
+
+def inventory(found: DataFrame) -> DataFrame:
+    """(path, name, bytes) of entries."""
+    return found.filter("name IS NOT NULL").select("path", "name", F.length("data").cast("long").alias("bytes"))
 
 
 @F.pandas_udf(BinaryType())
@@ -131,49 +173,108 @@ def _marker(fields: list) -> str | None:
     return None
 
 
-def documents(found: DataFrame, statistics: bool = False) -> DataFrame:
-    """(path, collection, offset, id, fields, body, error) of entries.
+def documents(found: DataFrame, statistics: bool = False, secrets: frozenset[str] = frozenset(SECRET_FIELDS)) -> DataFrame:
+    """(path, entry, collection, offset, id, fields, body, body_redacted, secrets, error) of entries.
 
     A path with .bson entries is read by its files, and their names are the collections; else db.gz
     is one stream in which markers name the collection of what follows, and db_stat.gz another, if
-    statistics are asked for. What follows an error in a stream isn't read.
+    statistics are asked for. What follows an error in a stream isn't read. A stream is decoded in its order by
+    one task, which hands over BATCH documents at once.
     """
-    name = F.col("name")
+    name, base = F.col("name"), F.regexp_replace("name", r"^.*/|\.[^.]+$", "")
     is_bson = name.endswith(".bson") & ~name.startswith("__MACOSX")
-    layout = found.groupBy(F.col("path").alias("_path")).agg(F.bool_or(is_bson).alias("by_file"))
-    base = F.regexp_replace(name, r"^.*/|\.[^.]+$", "")
     wanted = F.when(F.col("by_file"), is_bson & (F.lit(statistics) | ~base.rlike(STATISTICS))).otherwise((name == "db.gz") | (F.lit(statistics) & (name == "db_stat.gz")))
-    rows = found.join(layout, F.col("path") == F.col("_path")).filter(wanted).select("path", name.alias("entry"), gunzip("data").alias("data"), "by_file")
+    rows = found.filter(wanted).select("path", name.alias("entry"), gunzip("data").alias("data"), F.when(F.col("by_file"), base).alias("base"))
+    columns = [x.split()[0] for x in DOCUMENTS.replace(FIELDS, "f").split(", ")]
+
+    def read(path, entry, data, base) -> Iterator[tuple]:
+        collection = base or UNCATEGORIZED
+        for at, fields, error in [(0, None, "decompressionFailed")] if data is None else bson.documents(bytes(data)):
+            if fields is None:
+                yield path, entry, collection, at, None, None, None, None, None, error
+                continue
+            marker = _marker(fields) if base is None else None
+            if marker is not None:
+                collection = marker
+                continue
+            own = next((bson.display(t, v) for k, t, v in reversed(fields) if k == "_id"), "") if [t for k, t, _ in fields if k == "_id"][-1:] in (["objectId"], ["string"], ["int32"], ["int64"]) else ""
+            shown = [{"pos": i, "key": k, "type": t, "display": bson.display(t, v), "pretty": bson.pretty(t, v)} for i, (k, t, v) in enumerate(fields)]
+            safe = bson.redacted(fields, secrets, REDACTED)
+            yield path, entry, collection, at, own, shown, bson.as_json(fields), bson.as_json(safe), bson.named_paths(fields, secrets), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, entry, data in zip(batch["path"], batch["entry"], batch["data"], strict=True):
-                out = []
-                for at, fields, error in [(0, None, "decompressionFailed")] if data is None else bson.documents(bytes(data)):
-                    if fields is None:
-                        out.append((path, entry, at, None, None, None, None, error))
-                    else:
-                        own = next((bson.display(t, v) for k, t, v in reversed(fields) if k == "_id" and t in ("objectId", "string", "int32", "int64")), "")
-                        shown = [{"pos": i, "key": k, "type": t, "display": bson.display(t, v)} for i, (k, t, v) in enumerate(fields)]
-                        out.append((path, entry, at, own, _marker(fields), shown, bson.as_json(fields), None))
-                yield pd.DataFrame(out, columns=["path", "entry", "offset", "id", "marker", "fields", "body", "error"])
-
-    decoded = rows.select("path", "entry", "data").mapInPandas(run, DOCUMENTS)
-    by_file = F.col("entry").endswith(".bson")
-    filled = forward_fill(decoded, ["path", "entry"], ["offset"], F.when(~by_file, F.col("marker")), "collection", UNCATEGORIZED)
-    named = filled.withColumn("collection", F.when(by_file, F.regexp_replace("entry", r"^.*/|\.[^.]+$", "")).otherwise(F.col("collection")))
-    return named.filter(by_file | F.col("marker").isNull()).select("path", "entry", "collection", "offset", "id", "fields", "body", "error")
+            for row in batch.itertuples(index=False):
+                some = read(row.path, row.entry, row.data, row.base)
+                while part := list(islice(some, BATCH)):
+                    yield pd.DataFrame(part, columns=columns)
+
+    return rows.mapInPandas(run, DOCUMENTS)
+
+
+#: Severity of each code that diagnostics() gives.
+SEVERITIES = {"info": 0, "warning": 1, "error": 2}
 
 
 def diagnostics(found: DataFrame, unpacked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(path, severity, code, message, position) of all that went wrong in files, entries and documents."""
-    row = lambda s, c, m, p: [F.lit(s).alias("severity"), c.alias("code"), m.alias("message"), p.cast("long").alias("position")]
+    """(path, severity, code, message, position, collection) of all that went wrong in files, entries and documents.
+
+    An archive with neither .bson entries nor db.gz has no configuration database; records before the first marker are
+    orphans, told once for a stream; collections without a typed record are summed up.
+    """
     none = F.lit(None)
-    return (
-        found.filter("status <> 'ok'").select("path", *row("error", F.col("status"), F.lit("not readable as a backup"), none))
-        .unionByName(unpacked.filter("code IS NOT NULL").select("path", *row("warning", F.col("code"), F.coalesce("name", F.lit("no entries")), none)))
-        .unionByName(docs.filter("error IS NOT NULL").select("path", *row("error", F.lit("bsonMalformed"), F.concat("entry", F.lit(": "), F.col("error")), F.col("offset"))))
-    )
+
+    def row(rows: DataFrame, severity: str, code: Column, message: Column, position: Column = none, collection: Column = none) -> DataFrame:
+        return rows.select("path", F.lit(severity).alias("severity"), code.alias("code"), message.alias("message"), position.cast("long").alias("position"), collection.cast("string").alias("collection"))
+
+    bare = unpacked.filter("name IS NOT NULL AND NOT by_file AND NOT streamed").select("path").distinct()
+    orphans = docs.filter((F.col("collection") == UNCATEGORIZED) & F.col("error").isNull()).groupBy("path", "entry").agg(F.count("*").alias("n"), F.min("offset").alias("offset"))
+    parts = [
+        row(found.filter("status <> 'ok'"), "error", F.col("status"), F.lit("not readable as a backup")),
+        row(bare, "error", F.lit("configurationDatabaseMissing"), F.lit("neither .bson entries nor db.gz")),
+        row(unpacked.filter("code IS NOT NULL"), "warning", F.col("code"), F.coalesce("name", F.lit("no entries"))),
+        row(docs.filter("error IS NOT NULL AND entry = 'db_stat.gz' AND error = 'decompressionFailed'"), "warning", F.lit("truncatedStatsStream"), F.col("entry")),
+        row(docs.filter("error IS NOT NULL AND entry LIKE '%.bson'"), "warning", F.lit("bsonMalformedDocument"), F.concat("entry", F.lit(": "), F.col("error")), F.col("offset"), F.col("collection")),
+        row(docs.filter("error IS NOT NULL AND NOT entry LIKE '%.bson' AND NOT (entry = 'db_stat.gz' AND error = 'decompressionFailed')"), "error", F.lit("bsonMalformedDocument"), F.concat("entry", F.lit(": "), F.col("error")), F.col("offset"), F.col("collection")),
+        row(orphans, "warning", F.lit("orphanedRecord"), F.concat(F.col("n").cast("string"), F.lit(" before the first marker of "), F.col("entry")), F.col("offset"), F.lit(UNCATEGORIZED)),
+        row(opaque_summary(docs), "info", F.lit("unknownCollection"), F.col("summary")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def severity_badge(told: DataFrame) -> DataFrame:
+    """(path, infos, problems, worst) of diagnostics: worst is the rank of the highest severity."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair]), F.col("severity"))
+    return told.groupBy("path").agg(F.count_if(F.col("severity") == "info").alias("infos"), F.count_if(F.col("severity") != "info").alias("problems"), F.max(rank).alias("worst"))
+
+
+def report(told: DataFrame, infos: bool = False) -> DataFrame:
+    """(path, line) of diagnostics as bullets; without infos unless they are asked for."""
+    parts = [F.lit("- ["), F.col("severity"), F.lit("] `"), F.col("code"), F.lit("` "), F.col("message")]
+    extra = [F.coalesce(F.concat(F.lit(" (collection "), F.col("collection"), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(" at offset "), F.col("position").cast("string")), F.lit(""))]
+    return told.filter(F.lit(infos) | (F.col("severity") != "info")).select("path", F.concat(*parts, *extra).alias("line"))
+
+
+def secret_counts(docs: DataFrame) -> DataFrame:
+    """(path, collection, secret, n): how often each secret path stands in the documents."""
+    return docs.select("path", "collection", F.explode("secrets").alias("secret")).groupBy("path", "collection", "secret").agg(F.count("*").alias("n"))
+
+
+def identity(found: DataFrame, docs: DataFrame, origins: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(path, version, format, timestamp, kind, origin) of each archive of entries.
+
+    origins are (substring, origin) rules for the properties entry, first match wins. Text that isn't UTF-8 counts as missing.
+    """
+    text = F.when(F.is_valid_utf8(F.col("data").cast("string")), F.col("data").cast("string"))
+    of = lambda name: F.max(F.when(F.col("name") == name, text))
+    clean = lambda c: F.nullif(sanitise(F.col(c)), F.lit(""))
+    files = found.groupBy("path").agg(*[of(n).alias(n.rpartition(".")[2]) for n in ("version", "format", "timestamp", "system.properties")], F.bool_or(F.col("name").endswith("db_stat.gz")).alias("stats"))
+    has = lambda c: F.coalesce(F.bool_or(F.col("collection") == c), F.lit(False)).alias(c)
+    seen = docs.filter("error IS NULL").groupBy(F.col("path").alias("_path")).agg(*[has(c) for c in ("site", "admin", "account")])
+    rows = files.join(seen, F.col("path") == F.col("_path"), "left")
+    kind = F.when(F.expr("site AND NOT admin AND NOT account"), "siteExport").when(F.expr("site AND NOT coalesce(stats, false)"), "settingsOnly").when(F.col("site"), "full").otherwise("unknown")
+    origin = first_rule(F.coalesce("properties", F.lit("")), origins, "unknown")
+    return rows.select("path", clean("version").alias("version"), clean("format").alias("format"), epoch_or_iso(sanitise(F.col("timestamp"))).alias("timestamp"), kind.alias("kind"), origin.alias("origin"))
 
 
 def field(name: str, *types: str) -> Column:
@@ -196,12 +297,19 @@ def _strings(name: str) -> Column:
     return F.coalesce(F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string")), F.array().cast("array<string>"))
 
 
+def _time(name: str) -> Column:
+    """A date-time, or a 64-bit integer in the range that milliseconds of our time have."""
+    number = field(name, "int64").try_cast("long")
+    return F.coalesce(field(name, "datetime").try_cast("timestamp"), F.when((number > 10**12) & (number < 10**13), F.timestamp_millis(number)))
+
+
 _TYPES = {
     "string": lambda name: field(name, "string"),
     "id": lambda name: field(name, "objectId", "string"),
+    "text": lambda name: F.coalesce(field(name, "string"), F.lit("")),
     "bool": lambda name: field(name, "bool").try_cast("boolean"),
     "int": _whole,
-    "time": lambda name: field(name, "datetime").try_cast("timestamp"),
+    "time": _time,
     "strings": _strings,
 }
 
@@ -215,9 +323,9 @@ def _spec(text: str = "", /, site: bool = True, **kinds: str) -> list[tuple[str,
 
 #: Collections that have a typed record: column, field names in order of preference, type. Field names are fixed values of the format.
 SPECS: dict[str, list[tuple[str, tuple[str, ...], str]]] = {
-    "site": [*_spec("name desc attr_hidden_id", site=False, bool="attr_no_delete"), ("title", ("desc", "name"), "string")],
+    "site": [*_spec("desc attr_hidden_id", site=False, text="name", bool="attr_no_delete"), ("title", ("desc", "name"), "string")],
     "device": _spec("mac name model type version serial", bool="adopted"),
-    "user": [*_spec("mac hostname fixed_ip", bool="is_guest is_wired noted", id="usergroup_id network_id"), ("name", ("name", "hostname"), "string")],
+    "user": [*_spec("mac hostname name fixed_ip", bool="is_guest is_wired noted", id="usergroup_id network_id"), ("title", ("name", "hostname"), "string")],
     "wlanconf": _spec("name security wpa_mode x_passphrase", int="vlan", bool="enabled is_guest", id="wlangroup_id usergroup_id"),
     "wlangroup": _spec("name"),
     "networkconf": _spec("name purpose ip_subnet domain_name", int="vlan", bool="is_nat"),
@@ -241,9 +349,26 @@ def register_collection(name: str, spec: list[tuple[str, tuple[str, ...], str]])
 def typed(docs: DataFrame, collection: str) -> DataFrame:
     """The records of a collection by its spec, with their raw body."""
     columns = [F.coalesce(*[_TYPES[kind](f) for f in names]).alias(c) for c, names, kind in SPECS[collection]]
-    return docs.filter((F.col("collection") == collection) & F.col("error").isNull()).select("path", "id", *columns, "body")
+    return docs.filter((F.col("collection") == collection) & F.col("error").isNull()).select("path", "id", *columns, "body", "body_redacted", "fields", "entry", "offset")
 
 
 def opaque(docs: DataFrame) -> DataFrame:
     """(path, collection, n, first_seen) of the collections without a typed record."""
     return docs.filter(~F.col("collection").isin(*SPECS) & F.col("error").isNull()).groupBy("path", "collection").agg(F.count("*").alias("n"), F.min("offset").alias("first_seen"))
+
+
+def opaque_records(docs: DataFrame) -> DataFrame:
+    """(path, collection, id, body) of the records of collections without a typed record."""
+    return docs.filter(~F.col("collection").isin(*SPECS) & F.col("error").isNull()).select("path", "collection", "id", "body")
+
+
+def opaque_summary(docs: DataFrame) -> DataFrame:
+    """(path, summary): name(count) of those collections, in the order in which they are met."""
+    listed = F.sort_array(F.collect_list(F.struct("first_seen", F.concat("collection", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("s"))))  # a row for each collection
+    return opaque(docs).groupBy("path").agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("summary"))
+
+
+def overview(docs: DataFrame) -> DataFrame:
+    """A row for each path: how many records of the main collections it has, and how many secrets in all."""
+    named = {"sites": "site", "devices": "device", "wlans": "wlanconf", "networks": "networkconf", "rules": "firewallrule", "admins": "admin"}
+    return docs.filter("error IS NULL").groupBy("path").agg(*[F.count_if(F.col("collection") == c).alias(k) for k, c in named.items()], F.sum(F.size("secrets").cast("long")).alias("secrets"))

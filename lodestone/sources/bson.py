@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import NamedTuple
 
-#: A document's bytes, at most.
-LIMIT = 16 << 20
+#: A document's bytes, and documents inside one another, at most.
+LIMIT, DEPTH = 16 << 20, 100
 
 
 class Malformed(ValueError):
@@ -30,7 +32,7 @@ def _unpack(kind: str, data: bytes, at: int, end: int) -> tuple[tuple, int]:
     return struct.unpack_from(kind, data, at), at + size
 
 
-def _value(tag: int, data: bytes, at: int, end: int) -> tuple[str, object, int]:
+def _value(tag: int, data: bytes, at: int, end: int, depth: int) -> tuple[str, object, int]:
     """(type, value, place after it); documents and arrays hold fields as document() yields them."""
     if tag == 0x01:
         (v,), at = _unpack("<d", data, at, end)
@@ -41,7 +43,7 @@ def _value(tag: int, data: bytes, at: int, end: int) -> tuple[str, object, int]:
             raise Malformed("bad string length", at)
         return "string", data[at : at + n - 1].decode("utf-8", "replace"), at + n
     if tag in (0x03, 0x04):
-        fields, at = document(data, at, end)
+        fields, at = document(data, at, end, depth + 1)
         return ("document", fields, at) if tag == 0x03 else ("array", [(k, v) for _, k, v in fields], at)
     if tag == 0x05:
         (n, sub), at = _unpack("<iB", data, at, end)
@@ -75,9 +77,11 @@ def _value(tag: int, data: bytes, at: int, end: int) -> tuple[str, object, int]:
     raise Malformed(f"unsupported type 0x{tag:02x}", at)
 
 
-def document(data: bytes, at: int = 0, end: int | None = None) -> tuple[list[tuple[str, str, object]], int]:
+def document(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> tuple[list[tuple[str, str, object]], int]:
     """The (name, type, value) fields of the document at a place, in order, and the place after it."""
     end = len(data) if end is None else end
+    if depth > DEPTH:
+        raise Malformed("nested too deep", at)
     (size,), body = _unpack("<i", data, at, end)
     if not 5 <= size <= LIMIT or at + size > end:
         raise Malformed("bad document length", at)
@@ -89,7 +93,7 @@ def document(data: bytes, at: int = 0, end: int | None = None) -> tuple[list[tup
                 raise Malformed("document ends early", body)
             return fields, stop
         name, body = _cstring(data, body, stop)
-        kind, value, body = _value(tag, data, body, stop)
+        kind, value, body = _value(tag, data, body, stop, depth)
         fields.append((name, kind, value))
 
 
@@ -140,19 +144,88 @@ def plain(kind: str, value):
         return {"$date": display(kind, value)}
     if kind == "double":
         return value if value == value and abs(value) != float("inf") else None
-    return value if kind in ("string", "bool", "null", "int32", "int64") else display(kind, value)
+    if kind == "binary":
+        return {"$binary": base64.b64encode(value[1]).decode(), "$subtype": value[0]}
+    if kind == "regex":
+        return {"$regex": value[0], "$options": value[1]}
+    if kind == "timestamp":
+        return {"$timestamp": {"t": value[0], "i": value[1]}}
+    return value
 
 
 def as_json(fields: list) -> str:
     return json.dumps(plain("document", fields), ensure_ascii=False, sort_keys=True)
 
 
+def pretty(kind: str, value, most: int = 8) -> str:
+    """As display(), with arrays of a few items in full."""
+    if kind == "array" and len(value) <= most:
+        return "[" + ", ".join(pretty(t, v, most) for t, v in value) + "]"
+    return display(kind, value)
+
+
+def redacted(fields: list, names: frozenset[str], mark: str) -> list:
+    """The fields with each value whose name is one of the names replaced, at any depth of documents and arrays."""
+
+    def inside(kind: str, value) -> tuple[str, object]:
+        if kind == "document":
+            return kind, redacted(value, names, mark)
+        return (kind, [inside(t, v) for t, v in value]) if kind == "array" else (kind, value)
+
+    return [(k, "string", mark) if k in names else (k, *inside(t, v)) for k, t, v in fields]
+
+
+def named_paths(fields: list, names: frozenset[str], above: str = "") -> list[str]:
+    """The dotted paths of fields with one of the names, in order; array items have their array's path."""
+    out: list[str] = []
+
+    def inside(kind: str, value, path: str) -> None:
+        if kind == "document":
+            out.extend(named_paths(value, names, path + "."))
+        elif kind == "array":
+            for t, v in value:
+                inside(t, v, path)
+
+    for k, t, v in fields:
+        if k in names:
+            out.append(above + k)
+        else:
+            inside(t, v, above + k)
+    return out
+
+
+class Typed(NamedTuple):
+    """A value of a type that Python's own values don't tell, as document() yields them."""
+
+    kind: str
+    value: object
+
+
+def _typed(kind: str, v) -> tuple[int, bytes]:
+    if kind == "objectId":
+        return 0x07, bytes.fromhex(v)
+    if kind == "datetime":
+        return 0x09, struct.pack("<q", v)
+    if kind == "int64":
+        return 0x12, struct.pack("<q", v)
+    if kind == "regex":
+        return 0x0B, b"".join(x.encode() + b"\0" for x in v)
+    if kind == "timestamp":
+        return 0x11, struct.pack("<II", v[1], v[0])
+    if kind == "binary":
+        return 0x05, struct.pack("<iB", len(v[1]), v[0]) + v[1]
+    raise ValueError(f"no type {kind}")
+
+
 def encode(fields: dict) -> bytes:
-    """A document of strings, numbers, booleans, nulls, lists and dictionaries."""
+    """A document of strings, numbers, booleans, nulls, bytes, lists, dictionaries and Typed values."""
     out = b""
     for name, v in fields.items():
         key = name.encode() + b"\0"
-        if v is None:
+        if isinstance(v, Typed):
+            tag, raw = _typed(*v)
+            out += bytes([tag]) + key + raw
+        elif v is None:
             out += b"\x0a" + key
         elif isinstance(v, bool):
             out += b"\x08" + key + bytes([v])

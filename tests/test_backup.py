@@ -1,7 +1,11 @@
 import gzip
 import io
+import json
 import zipfile
 
+from pyspark.sql import functions as F
+
+from lodestone.operators import tree
 from lodestone.sources import backup, bson
 
 
@@ -28,8 +32,8 @@ def test_stream_markers_and_cut_off(spark):
     got = {(r.collection, r.id, r.error is not None) for r in docs.collect()}
     assert got == {("_uncategorized", "", False), ("site", "s", False), ("user", "u", False), ("user", None, True)}
     assert [r.title for r in backup.typed(docs, "site").collect()] == ["d"]
-    assert [r.name for r in backup.typed(docs, "user").collect()] == ["h"]
-    assert {r.code for r in backup.diagnostics(found, unpacked, docs).collect()} == {"notZip", "bsonMalformed"}
+    assert [(r.name, r.title) for r in backup.typed(docs, "user").collect()] == [(None, "h")]
+    assert {r.code for r in backup.diagnostics(found, unpacked, docs).collect()} == {"notZip", "bsonMalformedDocument", "orphanedRecord", "unknownCollection"}
 
 
 def test_files_win_and_statistics_are_pruned(spark):
@@ -65,3 +69,47 @@ def test_typed_records_are_strict(spark):
     for name in backup.SPECS:
         assert backup.typed(read, name).count() == (name in docs)
     assert backup.opaque(read).count() == 0
+
+
+def test_redaction_at_any_depth(spark):
+    doc = {"_id": "a", "x_shadow": "h", "nested": {"x_password": "p", "keep": 1}, "list": [{"secret": "s", "n": 2}, 3]}
+    read = backup.documents(backup.entries(backup.archives(spark.createDataFrame([("p", archive({"site.bson": bson.encode(doc)}))], "path string, content binary"))))
+    row = read.first()
+    assert row.secrets == ["x_shadow", "nested.x_password", "list.secret"]
+    assert json.loads(row.body_redacted) == {"_id": "a", "x_shadow": "<redacted>", "nested": {"x_password": "<redacted>", "keep": 1}, "list": [{"secret": "<redacted>", "n": 2}, 3]}
+    assert json.loads(row.body)["nested"]["x_password"] == "p"
+
+
+def test_types_round_trip_and_deep_nesting(spark):
+    doc = {"o": bson.Typed("objectId", "00" * 12), "d": bson.Typed("datetime", 0), "r": bson.Typed("regex", ("a", "i")), "t": bson.Typed("timestamp", (5, 6)), "b": bson.Typed("binary", (0, b"xy"))}
+    fields, _ = bson.document(bson.encode(doc))
+    assert bson.plain("document", fields) == {"o": {"$oid": "00" * 12}, "d": {"$date": "1970-01-01T00:00:00.000Z"}, "r": {"$regex": "a", "$options": "i"}, "t": {"$timestamp": {"t": 5, "i": 6}}, "b": {"$binary": "eHk=", "$subtype": 0}}
+    deep: dict = {}
+    for _ in range(150):
+        deep = {"a": deep}
+    files = {"a.bson": bson.encode({"_id": "x"}) + bson.encode(deep), "b.bson": bson.encode({"_id": "y"})}
+    read = backup.documents(backup.entries(backup.archives(spark.createDataFrame([("p", archive(files))], "path string, content binary"))))
+    assert sorted((r.entry, r.id, r.error) for r in read.collect() if r.error is None) == [("a.bson", "x", None), ("b.bson", "y", None)]
+    assert [r.error for r in read.filter("error IS NOT NULL").collect()] == ["nested too deep"]
+
+
+def test_containers_by_name_path_and_trial(spark):
+    key, iv = b"0123456789abcdef", b"fedcba9876543210"
+    inner = archive({"db.gz": gzip.compress(bson.encode({"collection": "site"}) + bson.encode({"_id": "s"}))})
+    inner += b"\0" * (-len(inner) % 16)
+    secret = bytes(spark.createDataFrame([(inner,)], "c binary").selectExpr(f"substring(aes_encrypt(c, X'{key.hex()}', 'CBC', 'PKCS', X'{iv.hex()}'), 17, length(c)) AS c").first().c)
+    files = {"name": {"z.UNF": secret, "a": b"x"}, "path": {"d/network.x": secret, "b": b"0" * 64}, "trial": {"d/blob": secret, "other": b"0" * 640}, "none": {"a": b"x"}, "own": {"site.bson": bson.encode({"_id": "o"})}}
+    blobs = spark.createDataFrame([(k, archive(v)) for k, v in files.items()], "path string, content binary")
+    found = backup.opened(blobs, key, iv)
+    assert {(r.path, r.id) for r in backup.typed(backup.documents(found), "site").collect()} == {("name", "s"), ("path", "s"), ("trial", "s"), ("own", "o")}
+    outer = backup.archives(blobs, key, iv)
+    told = backup.diagnostics(outer, backup.entries(outer), backup.documents(backup.entries(outer)))
+    assert "none" in {r.path for r in told.filter("code = 'configurationDatabaseMissing'").collect()}
+
+
+def test_keys_of_paths_stay_whole(spark):
+    ids = ["0" * 20 + "0001", "0" * 20 + "0002"]
+    top = spark.createDataFrame([(i,) for i in ids], "id string")
+    below = spark.createDataFrame([("c" + i[-1], i) for i in ids], "id string, up string")
+    found = tree.nodes([tree.Level("a", top, "id", None, F.col("id")), tree.Level("b", below, "id", "up", F.col("id"))])
+    assert {r.node_id for r in tree.descendants(found, "a:" + ids[0]).collect()} == {"b:c1"}
