@@ -95,19 +95,31 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sieved(rows: DataFrame, ids: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
-    """The rows (id, any others) whose id may be among ids (id); a join that follows makes it exact.
+def _marked(rows: DataFrame, id: Column, ids: DataFrame, max_bits: int) -> DataFrame:
+    """rows with _may: whether their id may be among ids (id); never null.
 
     A Bloom filter of one hash, as bitmaps that are broadcast: 16 bits for each id, in a power of two, at
-    most max_bits. Beyond that many ids it fills and lets more rows through. Null ids go.
+    most max_bits. Beyond that many ids it fills and lets more rows through.
     """
     bits = min(max_bits, 1 << max(15, math.ceil(math.log2(16 * max(1, ids.count())))))
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    at = F.bitmap_bit_position(slot)
-    maps = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = F.bitmap_bit_position(slot(id))
+    maps = ids.select(slot(F.col("id")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
     byte = F.conv(F.hex(F.substring("_bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.filter("id IS NOT NULL").join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_bucket"))
-    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(id)) == F.col("_bucket"), "left")
+    return found.withColumn("_may", id.isNotNull() & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bitmap")
+
+
+def sieved(rows: DataFrame, ids: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows (id, any others) whose id may be among ids (id), as _marked() tells; a join that follows makes it exact. Null ids go."""
+    return _marked(rows, F.col("id"), ids, max_bits).filter("_may").drop("_may")
+
+
+def without(rows: DataFrame, id: Column, gone: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows whose id isn't among gone (id): only rows that may be are shuffled, the rest pass straight through. Null ids stay."""
+    marked = _marked(rows, id, gone, max_bits)
+    stay = marked.filter("_may").join(gone.select(F.col("id").alias("_gone")), id == F.col("_gone"), "left_anti")
+    return marked.filter("NOT _may").unionByName(stay).drop("_may")
 
 
 def components(edges: DataFrame, nodes_name: str = "id", rounds: int = 60) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGE, components, forget, hidden, shown, sieved, texts_of, written
+from .common import LARGE, components, forget, hidden, shown, sieved, texts_of, without, written
 from .words import buffers, mixed, words_of
 
 WORDS = 5
@@ -452,6 +452,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one document of each group."""
-    gone = near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct()
     plain, names, where = hidden(docs)
-    return shown(plain.join(gone, F.col(where["doc_id"]).cast("long") == F.col("_gone"), "left_anti"), names)
+    return shown(without(plain, F.col(where["doc_id"]).cast("long"), written(gone, "near-copies")), names)
