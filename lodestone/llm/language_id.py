@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hidden, pick, shown, small_batches, written
+from .common import hidden, pick, shown, small_batches, without, written
 
 BUCKETS = 1 << 15
 #: Documents of the training sample at most; all their languages are told apart.
@@ -208,5 +208,5 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.to_json(F.struct(F.col(where["doc_id"]).cast("string").alias("a"), F.xxhash64(text).alias("b"), said.alias("c"), source.alias("d"))))
     rows = plain.select(key.alias("key"), F.coalesce(source, F.lit("")).alias("host"), F.lit("").alias("domain"), F.lit("").alias("suffix"), F.coalesce(said, F.lit("")).alias("declared"), _likelihoods(languages, table)(text).alias("_text"))
     rows = rows.select("key", "host", "domain", "suffix", "declared", "_text.letters", "_text.loglik", "_text.soft")
-    gone = fuse(rows, languages).filter("NOT accepted").select(F.col("key").alias("_gone")).distinct()
-    return shown(plain.withColumn("_key", key).join(written(gone, "rejected"), F.col("_key") == F.col("_gone"), "left_anti"), names)
+    gone = fuse(rows, languages).filter("NOT accepted").select(F.col("key").alias("id")).distinct()
+    return shown(without(plain.withColumn("_key", key), F.col("_key"), written(gone, "rejected")), names)
