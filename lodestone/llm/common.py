@@ -8,6 +8,7 @@ a lost executor then costs a task and not the lineage.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -53,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = spark.conf.get("lodestone.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("lodestone.shared.dir", place)
     return f"{place.rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
