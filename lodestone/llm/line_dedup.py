@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,13 @@ from .words import buffers, mixed, words_of
 NUMERATOR = 75
 BUCKETS, PARTS = 1 << 21, 64
 HOT = 20_000
-LONG = 56
+LONG, WIDEST = 56, 8
 #: The largest size and place that a row tells; larger ones count as these, which lets more candidates through.
 SIZE, PLACE = (1 << 24) - 1, (1 << 15) - 1
 #: Classes of a group that meet with as many others at once.
 BLOCK = 4096
 #: Pairs (or words of them) that are looked at together, and rows of words and of whole sets.
-CHUNK, ROWS, SETS = 1_000_000, 200_000, 8_000
+CHUNK, ROWS, SETS = 1 << 18, 200_000, 8_000
 LINES = "doc_id long, line int, class long, check long, n int, counts binary"
 
 
@@ -136,11 +137,52 @@ def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
 
 
-def _bits(words: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A parity bitmap of each set: each of its words turns one bit over, of 128 for sets of more than LONG words and else of the first 64."""
-    bit = np.uint64(1) << ((words >> np.uint64(37)) & np.uint64(63))
-    other = ((words >> np.uint64(36)) & np.uint64(1)).astype(bool) & np.repeat(n > LONG, n)
-    return np.bitwise_xor.reduceat(np.where(other, np.uint64(0), bit), starts), np.bitwise_xor.reduceat(np.where(other, bit, np.uint64(0)), starts)
+class Bitmaps(NamedTuple):
+    """A parity bitmap of each row's set, whose words turn over one bit each; longer sets have more bits, up to WIDEST times 64.
+
+    A bitmap of one width becomes that of half the width by laying its halves upon each other, so that any two can be compared.
+    """
+
+    width: np.ndarray
+    folded: np.ndarray
+    #: The whole bitmaps of those wider than 64 bits, filled up with zeros, and where each row's is among them.
+    slot: np.ndarray
+    wide: np.ndarray
+
+    @staticmethod
+    def laid(width: np.ndarray, flat: np.ndarray) -> Bitmaps:
+        """From the widths and the bitmaps one after another."""
+        starts = np.cumsum(width) - width
+        long = width > 1
+        slot, own = np.cumsum(long) - 1, np.repeat(long, width)
+        wide = np.zeros((int(long.sum()), WIDEST), dtype=np.uint64)
+        wide[np.repeat(slot, width)[own], (np.arange(len(flat)) - np.repeat(starts, width))[own]] = flat[own]
+        return Bitmaps(width, np.bitwise_xor.reduceat(flat, starts), slot, wide)
+
+    def only(self, rows: np.ndarray) -> Bitmaps:
+        """Those of rows, by number or mask."""
+        return Bitmaps(self.width[rows], self.folded[rows], self.slot[rows], self.wide)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many words, at least, the sets of two wide rows differ; 0 if one isn't wide."""
+        width, found = np.minimum(self.width[i], self.width[j]), np.zeros(len(i), dtype=np.int64)
+        for k in (2 << x for x in range(WIDEST.bit_length() - 1)):
+            at = np.flatnonzero(width == k)
+            if len(at):
+                a, b = (np.bitwise_xor.reduce(self.wide[self.slot[rows[at]]].reshape(-1, WIDEST // k, k), axis=1) for rows in (i, j))
+                found[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return found
+
+
+def _bits(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The widths of the sets' bitmaps, in 64 bits, and the bitmaps one after another."""
+    width = np.ones(len(n), dtype=np.int64)
+    for k in range(WIDEST.bit_length() - 1):
+        width[n > LONG << k] = 2 << k
+    part = (words >> np.uint64(34)).astype(np.int64) & np.repeat(width - 1, n)
+    at = (np.repeat(np.cumsum(width) - width, n) + part) << 6 | ((words >> np.uint64(37)).astype(np.int64) & 63)
+    odd = (np.bincount(at, minlength=64 * int(width.sum())) & 1).astype(np.uint8)
+    return width, np.packbits(odd, bitorder="little").view(np.uint64)
 
 
 def _prefixes(rarity: np.ndarray):
@@ -150,7 +192,9 @@ def _prefixes(rarity: np.ndarray):
             if not len(part.n):
                 continue
             words, n, starts = part.words, part.n, part.starts
-            (bits, more), count = _bits(words, starts, n), rarity[_bucket(words)]
+            (width, flat), count = _bits(words, n), rarity[_bucket(words)]
+            ends = np.r_[0, np.cumsum(8 * width)].astype(np.int32)
+            bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
             row = np.repeat(np.arange(len(n)), n)
             order = np.argsort(row << 32 | count, kind="stable")  # equal counts stay in the order of their hashes
             words, count = words[order], count[order]
@@ -168,14 +212,13 @@ def _prefixes(rarity: np.ndarray):
             row = row[at]
             key = key.view(np.int64) | np.minimum(n[row], SIZE)
             ref = np.minimum(place[at], PLACE) << 48 | part.of[row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ref, bits[row].view(np.int64), more[row].view(np.int64))], names=["key", "ref", "bits", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ref), bits.take(pa.array(row))], names=["key", "ref", "bits"])
 
     return run
 
 
-def _pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray, more_bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(key: np.ndarray, n: np.ndarray, bits: Bitmaps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, of rows sorted by key, then n, that have one key and pass the length filter and the bitmaps; CHUNK at once."""
-    folded, long = bits ^ more_bits, n > LONG
     group = np.cumsum(np.r_[0, key[1:] != key[:-1]]) << 32
     more = np.searchsorted(group + n, group + n * 100 // NUMERATOR, side="right") - np.arange(len(key)) - 1
     upto, low = np.cumsum(more), 0
@@ -185,16 +228,18 @@ def _pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray, more_bits: np.ndarr
         i = np.repeat(np.arange(low, high), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         low = high
-        wide = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(more_bits[i] ^ more_bits[j])
-        apart = np.where(long[i] & long[j], wide, np.bitwise_count(folded[i] ^ folded[j]))
-        ok = apart <= n[i] + n[j] - 2 * _need(n[i], n[j])
+        both = n[i] + n[j]
+        room = both - 2 * _need(both, 0)
+        ok = np.bitwise_count(bits.folded[i] ^ bits.folded[j]) <= room
+        i, j, room = i[ok], j[ok], room[ok]
+        ok = bits.apart(i, j) <= room
         yield i[ok], j[ok]
 
 
-def _hanging(key: np.ndarray, ref: np.ndarray, bits: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _hanging(key: np.ndarray, ref: np.ndarray, bits: Bitmaps) -> Iterator[pa.RecordBatch]:
     """(a, b) of classes, enough to hold together those that candidate pairs connect."""
     n, place, of = key & SIZE, ref >> 48, ref & ((1 << 48) - 1)
-    for i, j in _pairs(key >> 24, n, bits.view(np.uint64), more.view(np.uint64)):
+    for i, j in _pairs(key >> 24, n, bits):
         room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
         ok = (room >= _need(n[i], n[j])) & (of[i] != of[j])
         i, j = i[ok], j[ok]
@@ -239,9 +284,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int, shift: int
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What hangs together in the rows of each word; they come sorted by word and size, then place and class."""
     for some in _grouped(batches, "key", ROWS, 24):
-        rows = [some.column(c).to_numpy() for c in ("key", "ref", "bits", "more")]
-        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]  # repeats of a class by other tasks go
-        yield from _hanging(*(x[new] for x in rows))
+        key, ref = some.column("key").to_numpy(), some.column("ref").to_numpy()
+        new = np.r_[True, (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])]  # repeats of a class by other tasks go
+        bits = some.column("bits").filter(pa.array(new)).combine_chunks()  # a new array, whose buffer begins with its first value
+        width = pc.binary_length(bits).to_numpy().astype(np.int64) >> 3
+        flat = np.frombuffer(bits.buffers()[2], dtype=np.uint64, count=int(width.sum()))
+        yield from _hanging(key[new], ref[new], Bitmaps.laid(width, flat))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +315,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, place, key = row[keep], place[keep], np.cumsum(np.r_[0, unit[1:] != unit[:-1]])[row[keep]] << 32 | small[keep]
         sort = np.lexsort((n[own], key))
         own, place, key = own[sort], place[sort], key[sort]
-        low_bits, high_bits = _bits(words, starts, n)
+        bits = Bitmaps.laid(*_bits(words, n)).only(own)
         found = [np.empty(0, dtype=np.int64)]
-        for i, j in _pairs(key, n[own], low_bits[own], high_bits[own]):
+        for i, j in _pairs(key, n[own], bits):
             a, b = own[i], own[j]
             ok = (side[a] != side[b]) | (side[a] == 2)
             ok &= 1 + np.minimum(n[a] - place[i] - 1, n[b] - place[j] - 1) >= _need(n[a], n[b])
@@ -306,7 +354,7 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         rarity.reshape(PARTS, -1)[r["doc_id"]] = np.frombuffer(r["counts"], dtype=np.uint32)
     firsts = written(lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-classes")
 
-    prefixes = found.mapInArrow(_prefixes(rarity), "key long, ref long, bits long, more long")
+    prefixes = found.mapInArrow(_prefixes(rarity), "key long, ref long, bits binary")
     dealt = prefixes.repartition(F.shiftright("key", 24)).sortWithinPartitions("key", "ref")
     hanging = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates", LARGE)
     groups = components(hanging)

@@ -292,6 +292,26 @@ def test_line_dedup_as_brute_force(spark, empty, monkeypatch, hot, block):
     assert all(len([x for x in left[i].split("\n") if x.split()]) == want[i][0] - want[i][1] for i in range(60))
 
 
+def test_bitmaps_of_lines_bound_their_difference():
+    """Never more than the words in which two sets differ, whatever their widths, and by chance not much less."""
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    n = rng.choice([1, 5, 56, 57, 112, 113, 224, 225, 300, 900], 60)
+    sets = [set(pool[rng.choice(len(pool) if i % 2 else 1000, k, replace=False)].tolist()) for i, k in enumerate(n)]
+    width, flat = line_dedup._bits(np.concatenate([np.array([*x], dtype=np.uint64) for x in sets]), n)
+    assert {(int(k), int(w)) for k, w in zip(n, width, strict=True)} <= {(1, 1), (5, 1), (56, 1), (57, 2), (112, 2), (113, 4), (224, 4), (225, 8), (300, 8), (900, 8)}
+    maps = line_dedup.Bitmaps.laid(width, flat)
+    i, j = np.triu_indices(len(n), 1)
+    true = np.array([len(sets[a] ^ sets[b]) for a, b in zip(i, j, strict=True)])
+    apart, folded = maps.apart(i, j), np.bitwise_count(maps.folded[i] ^ maps.folded[j])
+    assert (apart <= true).all() and (folded <= true).all()
+    both = (width[i] > 1) & (width[j] > 1)
+    assert (apart[~both] == 0).all() and (apart[both] >= folded[both]).all()
+    assert (apart[(n[i] == 300) & (n[j] == 300)] > 150).all()
+    some = np.flatnonzero(n > 100)
+    assert (maps.only(some).apart(np.arange(len(some) - 1), np.arange(1, len(some))) == maps.apart(some[:-1], some[1:])).all()
+
+
 def whole_pieces(rows, capacity):
     """(doc_id, piece, start, length, ids_crc32) by the library on whole texts."""
     lib, out = Tokenizer.from_file(WORDS), []
