@@ -98,7 +98,7 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _marked(rows: DataFrame, id: Column, ids: DataFrame, max_bits: int) -> DataFrame:
+def marked_by(rows: DataFrame, id: Column, ids: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
     """rows with _may: whether their id may be among ids (id); never null.
 
     A Bloom filter of one hash, as bitmaps that are broadcast: 16 bits for each id, in a power of two, at
@@ -114,13 +114,13 @@ def _marked(rows: DataFrame, id: Column, ids: DataFrame, max_bits: int) -> DataF
 
 
 def sieved(rows: DataFrame, ids: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
-    """The rows (id, any others) whose id may be among ids (id), as _marked() tells; a join that follows makes it exact. Null ids go."""
-    return _marked(rows, F.col("id"), ids, max_bits).filter("_may").drop("_may")
+    """The rows (id, any others) whose id may be among ids (id), as marked_by() tells; a join that follows makes it exact. Null ids go."""
+    return marked_by(rows, F.col("id"), ids, max_bits).filter("_may").drop("_may")
 
 
 def without(rows: DataFrame, id: Column, gone: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
     """The rows whose id isn't among gone (id): only rows that may be are shuffled, the rest pass straight through. Null ids stay."""
-    marked = _marked(rows, id, gone, max_bits)
+    marked = marked_by(rows, id, gone, max_bits)
     stay = marked.filter("_may").join(gone.select(F.col("id").alias("_gone")), id == F.col("_gone"), "left_anti")
     return marked.filter("NOT _may").unionByName(stay).drop("_may")
 

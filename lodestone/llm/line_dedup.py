@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGE, components, forget, pick, sieved, texts_of, written
+from .common import LARGE, components, forget, marked_by, pick, sieved, texts_of, written
 from .words import buffers, mixed, words_of
 
 NUMERATOR = 75
@@ -344,7 +344,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """lines (doc_id, line, class, check, n); the first line of each class; and, of classes with matches, (class, check, links, other): all written."""
+    """lines (doc_id, line, class, check, n); the first line of each class and how many there are; and, of classes with matches, (class, check, links, other): all written."""
     found = texts_of(docs).filter("doc_id IS NOT NULL")
     both = written(found.mapInArrow(_lines, LINES), "lines")
     lines = both.filter("counts IS NULL").drop("counts")
@@ -352,7 +352,8 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sums = both.filter("counts IS NOT NULL").select("doc_id", "counts").repartition(PARTS, "doc_id").mapInArrow(_summed, "doc_id long, counts binary")
     for r in sums.collect():  # PARTS rows, BUCKETS counts
         rarity.reshape(PARTS, -1)[r["doc_id"]] = np.frombuffer(r["counts"], dtype=np.uint32)
-    firsts = written(lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-classes")
+    firsts = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"))
+    firsts = written(firsts, "line-classes")
 
     prefixes = found.mapInArrow(_prefixes(rarity), "key long, ref long, bits binary")
     dealt = prefixes.repartition(F.shiftright("key", 24)).sortWithinPartitions("key", "ref")
@@ -379,10 +380,20 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def decided(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, links, removed) of each line that has words."""
+    """(doc_id, line, links, removed) of each line that has words.
+
+    Only lines of classes that repeat or have matches are to be removed or to count; the others needn't travel.
+    """
     lines, firsts, links = matched(docs)
-    early = firsts.join(links, ["class", "check"], "left").select("class", "check", F.least("first", F.coalesce("other", "first")).alias("early"), F.coalesce("links", F.lit(0)).alias("links"))
-    return lines.join(early, ["class", "check"]).select("doc_id", "line", "links", (F.struct("doc_id", "line") != F.col("early")).alias("removed"))
+    early = firsts.filter("times > 1").select("class", "check", F.lit(0).cast("long").alias("links"), F.col("first").alias("early"))
+    early = early.unionByName(links.withColumnRenamed("other", "early")).groupBy("class", "check").agg(F.sum("links").alias("links"), F.min("early").alias("early"))
+    early = written(early, "line-early")
+    marked = marked_by(lines, F.col("class"), early.select(F.col("class").alias("id")))
+    told = marked.filter("_may").join(early, ["class", "check"], "left")
+    removed = F.coalesce(F.struct("doc_id", "line") > F.col("early"), F.lit(False))
+    told = told.select("doc_id", "line", F.coalesce("links", F.lit(0)).cast("long").alias("links"), removed.alias("removed"))
+    rest = marked.filter("NOT _may").select("doc_id", "line", F.lit(0).cast("long").alias("links"), F.lit(False).alias("removed"))
+    return told.unionByName(rest)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
