@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, neighbours, packing, toxicity, url_filter, warc
+from . import byte_bpe, conversation_repair, exact_dedup, language_id, line_dedup, near_dedup, neighbours, packing, prefix_trie, sentence_piece, toxicity, url_filter, warc
 from .common import table
 
 
@@ -49,5 +49,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op6_line_dedup, op7_exact_dedup, op8_packing, op9_language_id, op10_toxicity)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op6_line_dedup, op7_exact_dedup, op8_packing, op9_language_id, op10_toxicity, op11_prefix_trie, op12_conversation_repair, op13_sentence_piece)}
 ORACLES = {"op7_exact_dedup": exact_dedup.SQL}
