@@ -53,8 +53,16 @@ def array_text(values: Column, most: int = 8) -> Column:
 
 
 def epoch_or_iso(text: Column) -> Column:
-    """A time from epoch milliseconds or ISO 8601 text; null if it is neither."""
-    return F.coalesce(F.timestamp_millis(text.try_cast("long")), text.try_cast("timestamp"))
+    """A time from epoch milliseconds or an ISO 8601 date and time with its zone; null if it is neither or lies outside the years 1 to 9999."""
+    number = text.try_cast("long")
+    millis = F.when(number.between(-62_135_596_800_000, 253_402_300_799_999), number)
+    iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)$"), text.try_cast("timestamp"))
+    return F.coalesce(F.timestamp_millis(millis), iso)
+
+
+def graphemes(text: Column) -> Column:
+    """The length of a text in the characters that a reader sees: marks and joined signs count with what they stand on."""
+    return F.regexp_count(text, F.lit("\\X"))
 
 
 def matches(query: str, *fields: Column) -> Column:

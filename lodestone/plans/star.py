@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import backup_tree, export, ordered, redact, tree
 from lodestone.sources import backup
+from lodestone.sources.store import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -419,7 +420,7 @@ def _contained(t) -> DataFrame:
 
 
 def _documents(t) -> DataFrame:
-    return backup.documents(backup.entries(backup.archives(_backups(t))))
+    return backup.documents(backup.scanned(backup.archives(_backups(t))))
 
 
 @query(f"""SELECT {_PATH} AS path, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' ELSE {_SITE} END AS site_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name,
@@ -474,34 +475,34 @@ def backup_redacted(t):
 
 @query(f"SELECT path, '9.5.21' AS version, '8' AS format, '2024-04-20T08:00:00' AS stamp, 'settingsOnly' AS kind, 'service' AS origin FROM {_ARCHIVES}")
 def backup_identity(t):
-    found = backup.entries(backup.archives(_backups(t)))
-    told = backup.identity(found, backup.documents(found), [("/data/service", "appliance"), ("/opt/service", "service")])
+    told = backup.identity(backup.scanned(backup.archives(_backups(t))), [("/data/service", "appliance"), ("/opt/service", "service")])
     return told.select("path", "version", "format", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), "kind", "origin")
 
 
-@query(f"SELECT path, 1 AS infos, 0 AS problems, 0 AS worst FROM {_ARCHIVES}")
+def _diagnostics(t) -> DataFrame:
+    found = stored(backup.archives(_backups(t)), "archives")
+    return backup.diagnostics(found, stored(backup.scanned(found), "scan"))
+
+
+@query(f"SELECT path, 2 AS infos, 0 AS problems, 0 AS worst FROM {_ARCHIVES}")
 def backup_badges(t):
-    found = backup.archives(_backups(t))
-    unpacked = backup.entries(found)
-    return backup.severity_badge(backup.diagnostics(found, unpacked, backup.documents(unpacked)))
+    return backup.severity_badge(_diagnostics(t))
 
 
-@query(f"SELECT path, '- [info] `unknownCollection` extra(1)' AS line FROM {_ARCHIVES}")
+@query(f"SELECT path, unnest(['- [info] `unknownCollection` extra(1)', '- [info] `settingsOnlyDetected` no statistics']) AS line FROM {_ARCHIVES}")
 def backup_report(t):
-    found = backup.archives(_backups(t))
-    unpacked = backup.entries(found)
-    return backup.report(backup.diagnostics(found, unpacked, backup.documents(unpacked)), infos=True)
+    return backup.report(_diagnostics(t), infos=True)
 
 
 @query(f"SELECT {_PATH} AS path, count(*) AS users FROM customer GROUP BY 1")
 def backup_container(t):
     """Backups inside outer archives."""
-    return backup.typed(backup.documents(backup.opened(_contained(t))), "user").groupBy("path").agg(F.count("*").alias("users"))
+    return backup.typed(backup.documents(backup.scanned(backup.opened(_contained(t)))), "user").groupBy("path").agg(F.count("*").alias("users"))
 
 
 @query(f"SELECT path, name FROM {_ARCHIVES}, (VALUES ('version'), ('format'), ('timestamp'), ('system.properties'), ('db.gz')) v(name)")
 def backup_entries(t):
-    return backup.inventory(backup.entries(backup.archives(_backups(t)))).select("path", "name")
+    return backup.inventory(backup.scanned(backup.archives(_backups(t)))).select("path", "name")
 
 
 @query(f"""SELECT {_PATH} AS path, 1 AS sites, 0 AS devices, count(*) FILTER (c_custkey % 10 = 0) AS wlans, 0 AS networks, 0 AS rules, 1 AS admins, 1 + 3 * count(*) FILTER (c_custkey % 10 = 0) AS secrets FROM customer GROUP BY 1""")
@@ -512,8 +513,8 @@ def backup_overview(t):
 _TREE = f"""
 SELECT path, 'cat:' || c AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'category' AS kind, n AS title FROM {_ARCHIVES}, (VALUES ('sites', 'Sites'), ('admins', 'Admins'), ('opaque', 'Other Collections')) v(c, n)
 UNION ALL SELECT path, 'site:' || site, 'cat:sites', 'site', CASE WHEN c_nationkey % 2 = 0 THEN 'Nation ' ELSE 'nation-' END || c_nationkey FROM {_ARCHIVES}
-UNION ALL SELECT path, 'sitechild:' || site || ':wlans', 'site:' || site, 'siteChildCategory', 'wlans' FROM {_ARCHIVES}
-UNION ALL SELECT DISTINCT {_PATH}, 'sitechild:' || {_SITE} || ':clients', 'site:' || {_SITE}, 'siteChildCategory', 'clients' FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT path, 'sitechild:' || site || ':wlans', 'site:' || site, 'siteChildCategory', 'WLANs' FROM {_ARCHIVES}
+UNION ALL SELECT DISTINCT {_PATH}, 'sitechild:' || {_SITE} || ':clients', 'site:' || {_SITE}, 'siteChildCategory', 'Clients' FROM customer WHERE c_custkey % 7 <> 0
 UNION ALL SELECT path, 'wlangroup:' || g, 'sitechild:' || site || ':wlans', 'wlanGroup', n FROM {_ARCHIVES}, (VALUES ('g0', 'G0'), ('g1', 'Group')) v(g, n)
 UNION ALL SELECT {_PATH}, 'wlan:' || c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'wlangroup:g0' ELSE 'sitechild:' || {_SITE} || ':wlans' END, 'wlan', c_name {_WLANS}
 UNION ALL SELECT {_PATH}, 'client:' || c_custkey, 'sitechild:' || {_SITE} || ':clients', 'client',

@@ -1,36 +1,38 @@
 """Backups: encrypted or plain archives of document streams, read file by file in parallel.
 
-files -> entries -> documents, each a DataFrame; what is wrong with a file or an entry is a row
-of diagnostics and never fails the job. Decryption, layout, pruning, collections and the cut-off at an
-error are Spark expressions; tasks run Python only to inflate and to decode documents.
+files -> archives -> one scan of each -> entries, documents and what is wrong, all of them rows. A scan inflates and
+decodes chunk by chunk: a task holds an archive's packed bytes, a chunk, and BATCH documents. What is wrong with a file, an entry
+or a document is a row of diagnostics and never fails the job. Decryption, layout, collections, identity and
+typed records are Spark expressions; tasks run Python only to inflate and to decode.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from lodestone.functions.text import REDACTED, epoch_or_iso, first_rule, sanitise
 from lodestone.operators.ordered import UNCATEGORIZED, pick_first
 from lodestone.operators.redact import SECRET_FIELDS
 from lodestone.sources import bson
+from lodestone.sources.archive import ZIP, Member, gunzipped, members
 
-ZIP = b"PK\x03\x04"
-ENTRIES = "path string, seq int, name string, data binary, code string, by_file boolean, streamed boolean"
-FIELDS = "array<struct<pos:int,key:string,type:string,display:string,pretty:string>>"
-DOCUMENTS = f"path string, entry string, collection string, offset long, id string, fields {FIELDS}, body string, body_redacted string, secrets array<string>, error string"
-#: Documents that a task hands over at once.
+FIELDS = "array<struct<pos:int,key:string,type:string,display:string,pretty:string,secret:boolean>>"
+#: What a scan gives: a row for each entry, document and problem.
+SCAN = f"path string, kind string, entry string, seq int, collection string, offset long, id string, fields {FIELDS}, body string, body_redacted string, secrets array<string>, digest string, bytes long, data binary, severity string, code string, message string"
+DOCUMENTS = ("path", "entry", "seq", "collection", "offset", "id", "fields", "body", "body_redacted", "secrets", "digest")
+#: Rows that a task hands over at once.
 BATCH = 500
 #: Collections that only a load of statistics reads.
-STATISTICS = "^(stat_|event_archive|rogue)"
+STATISTICS = ("stat_", "event_archive", "rogue")
+#: Entries whose content a scan keeps, to tell a backup's identity.
+IDENTITY = ("version", "format", "timestamp", "system.properties")
+#: Documents before the first marker whose keys are told, and how many keys.
+SAMPLES, KEYS = 2, 8
 
 
 def files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -51,6 +53,13 @@ def decrypted(content: str, key: bytes, iv: bytes) -> Column:
     return F.expr(f"CASE WHEN length({content}) > 0 AND length({content}) % 16 = 0 THEN try_aes_decrypt(concat({v}, {content}, {pad}), {k}, 'CBC', 'PKCS') END")
 
 
+def encrypted(content: str, key: bytes, iv: bytes) -> Column:
+    """What decrypted() undoes: content, filled up with zeros to whole blocks, without padding."""
+    k, v = f"X'{key.hex()}'", f"X'{iv.hex()}'"
+    whole = f"concat({content}, substring(X'{'00' * 15}', 1, CAST(pmod(-length({content}), 16) AS INT)))"
+    return F.expr(f"substring(aes_encrypt({whole}, {k}, 'CBC', 'PKCS', {v}), 17, length({whole}))")
+
+
 def archives(blobs: DataFrame, key: bytes | None = None, iv: bytes | None = None) -> DataFrame:
     """(path, content, status): archives in the clear; status is ok, notZip or truncatedAtBlockBoundary."""
     plain = F.when(is_zip(F.col("content")), F.col("content"))
@@ -61,105 +70,41 @@ def archives(blobs: DataFrame, key: bytes | None = None, iv: bytes | None = None
     return rows.select("path", F.when(is_zip(F.col("plain")), F.col("plain")).alias("content"), status.alias("status"))
 
 
-def _entries(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """(name, data, diagnostic) of each local header, in order; the directory at the end isn't read."""
-    at = 0
-    while data[at : at + 4] == ZIP and at + 30 <= len(data):
-        flags, method, packed, n, extra = struct.unpack_from("<6xHH8xI4xHH", data, at)
-        name = data[at + 30 : at + 30 + n].decode("utf-8" if flags & 0x800 else "latin-1", "replace")
-        body = at + 30 + n + extra
-        streamed = flags & 8 and not packed
-        got, code, after = None, None, body + packed
-        if method == 8:
-            z = zlib.decompressobj(-15)
-            try:
-                got = z.decompress(data[body:] if streamed else data[body : body + packed]) + z.flush()
-                if not z.eof:
-                    got, code = None, "zipEntryTruncated"
-            except zlib.error:
-                code = "zipEntryUnreadable"
-            after = len(data) - len(z.unused_data) if streamed and z.eof else after
-        elif method == 0 and not streamed:
-            got = data[body : body + packed]
-        else:
-            code = "zipMethodUnsupported"
-        if streamed:
-            if code:  # its end can't be told: the next header is
-                after = data.find(ZIP, body)
-                after = len(data) if after < 0 else after
-            elif data[after : after + 4] == b"PK\x07\x08":
-                after += 16
-            else:
-                after += 12
-        if not name.endswith("/"):
-            yield name, got, code
-        at = after
-
-
-def _is_bson(name: str | None) -> bool:
-    return bool(name) and name.endswith(".bson") and not name.startswith("__MACOSX")
+def _last(data: memoryview) -> dict[str, Member]:
+    """The entries that can be read by name; of repeated names the last."""
+    return {m.name: m for m in members(data) if m.problem is None}
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """(path, seq, name, data, code, by_file, streamed) of archives (path, content); of repeated names the last stays.
+def embedded(blobs: DataFrame, key: bytes | None = None, iv: bytes | None = None) -> DataFrame:
+    """(path, content) of the backup inside each container of blobs, which are archives in the clear.
 
-    by_file and streamed tell of each archive whether it has a file for each collection, and a stream of all.
+    First a name that ends .unf, the smallest; then one with "network" of whole cipher blocks, the smallest; then, by
+    size from the largest, what decrypts to an archive. Containers without any give no row. Entries that can't be one aren't unpacked.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                last = {e[0]: (i, *e) for i, e in enumerate(_entries(bytes(content)))}
-                told = any(map(_is_bson, last)), "db.gz" in last
-                rows = [(path, *e, *told) for e in last.values()]
-                yield pd.DataFrame(rows or [(path, 0, None, None, "zipUnreadable", False, False)], columns=["path", "seq", "name", "data", "code", "by_file", "streamed"])
-
-    return found.filter("content IS NOT NULL").select("path", "content").mapInPandas(run, ENTRIES)
-
+                data = memoryview(bytes(content))
+                for name, m in _last(data).items():
+                    if name.lower().endswith(".unf") or m.size >= 16 and m.size % 16 == 0:
+                        yield pd.DataFrame({"path": [path], "name": [name], "data": [b"".join(m.chunks(data))]})
 
-def embedded(found: DataFrame, key: bytes | None = None, iv: bytes | None = None) -> DataFrame:
-    """(path, content) of the backup inside each archive of entries that has no payload of its own.
-
-    First a name that ends .unf, the smallest; then one with "network" of whole cipher blocks, the smallest; then, by
-    size from the largest, what decrypts to an archive. Archives without any give no row.
-    """
+    found = blobs.filter(is_zip(F.col("content"))).select("path", "content").mapInPandas(run, "path string, name string, data binary")
     size, name = F.length("data"), F.lower("name")
     whole = (size % 16 == 0) & ~is_zip(F.col("data"))
     tier = F.when(name.endswith(".unf"), 1).when(name.contains("network") & (size >= 16) & whole, 2)
     if key is not None:
         tier = tier.when((size >= 64) & whole & is_zip(decrypted("data", key, iv)), 3)
-    inner = found.filter("NOT by_file AND NOT streamed AND data IS NOT NULL").withColumn("tier", tier).filter("tier IS NOT NULL")
+    inner = found.withColumn("tier", tier).filter("tier IS NOT NULL")
     best = pick_first(inner, ["path"], [F.col("tier"), F.when(F.col("tier") < 3, F.col("name")), F.desc(size), F.col("name")])
     return best.select("path", F.col("data").alias("content"))
 
 
 def opened(blobs: DataFrame, key: bytes | None = None, iv: bytes | None = None) -> DataFrame:
-    """The entries of blobs (path, content), those of an embedded backup in place of its container's."""
-    outer = entries(archives(blobs, key, iv))
-    inner = entries(archives(embedded(outer, key, iv), key, iv))
-    return outer.filter("by_file OR streamed OR code = 'zipUnreadable'").unionByName(inner)
-
-
-def inventory(found: DataFrame) -> DataFrame:
-    """(path, name, bytes) of entries."""
-    return found.filter("name IS NOT NULL").select("path", "name", F.length("data").cast("long").alias("bytes"))
-
-
-@F.pandas_udf(BinaryType())
-def gunzip(data: pd.Series) -> pd.Series:
-    """The content of a gzip stream; other data as it is; null if it is broken."""
-
-    def one(x):
-        if x is None or bytes(x[:2]) != b"\x1f\x8b":
-            return x
-        z = zlib.decompressobj(31)
-        try:
-            out = z.decompress(bytes(x))
-        except zlib.error:
-            return None
-        return out if z.eof else None
-
-    return data.map(one)
+    """(path, content, status) of blobs (path, content): as archives(), but of a container the backup inside it, if that can be read, before its own payload."""
+    inner = archives(embedded(blobs, key, iv), key, iv).filter("status = 'ok'")
+    return archives(blobs, key, iv).join(inner.select("path"), "path", "left_anti").unionByName(inner)
 
 
 def _marker(fields: list) -> str | None:
@@ -173,71 +118,133 @@ def _marker(fields: list) -> str | None:
     return None
 
 
-def documents(found: DataFrame, statistics: bool = False, secrets: frozenset[str] = frozenset(SECRET_FIELDS)) -> DataFrame:
-    """(path, entry, collection, offset, id, fields, body, body_redacted, secrets, error) of entries.
+def _base(name: str) -> str:
+    """An entry's name without folders and its last extension."""
+    name = name.rpartition("/")[2]
+    return name.rpartition(".")[0] if "." in name[1:] else name
 
-    A path with .bson entries is read by its files, and their names are the collections; else db.gz
+
+def _document(fields: list, secrets: frozenset[str]) -> dict:
+    ids = [(t, v) for k, t, v in fields if k == "_id"][-1:]
+    own = bson.display(*ids[0]) if ids and ids[0][0] in ("objectId", "string", "int32", "int64") else ""
+    shown = [{"pos": i, "key": k, "type": t, "display": bson.display(t, v), "pretty": REDACTED if k in secrets else bson.pretty(t, v), "secret": k in secrets} for i, (k, t, v) in enumerate(fields)]
+    paths = bson.named_paths(fields, secrets)
+    body = bson.as_json(fields)
+    return {"id": own, "fields": shown, "body": body, "body_redacted": bson.as_json(bson.redacted(fields, secrets, REDACTED)) if paths else body, "secrets": paths, "digest": bson.fingerprint(fields)}
+
+
+def _scan(content: bytes, statistics: bool, secrets: frozenset[str]) -> Iterator[dict]:
+    """The rows of SCAN of one archive."""
+    data, last, problems = memoryview(content), {}, []
+    for m in members(data):
+        if m.problem:
+            problems.append(m)
+        else:
+            last[m.name] = m
+    problem = lambda severity, code, message, **more: {"kind": "problem", "severity": severity, "code": code, "message": message} | more
+    if problems and last:
+        yield problem("info", "zipRecoveryMode", f"read by its local headers, with {len(problems)} warnings")
+    yield from (problem("warning", "zipEntryUnreadable", m.problem, offset=m.at) for m in problems)
+    if not last:
+        yield problem("error", "zipUnreadable", "no entry can be read")
+        return
+    names = sorted(last)
+    for seq, name in enumerate(names):
+        kept = b"".join(last[name].chunks(data)) if name in IDENTITY else None
+        yield {"kind": "entry", "entry": name, "seq": seq, "bytes": last[name].size, "data": kept}
+    by_file = [n for n in names if n.endswith(".bson") and not n.startswith("__MACOSX")]
+    wanted = [n for n in by_file if statistics or not _base(n).startswith(STATISTICS)] if by_file else [n for n in names if n == "db.gz" or statistics and n == "db_stat.gz"]
+    if not by_file and "db.gz" not in last:
+        yield problem("error", "configurationDatabaseMissing", "neither .bson entries nor db.gz")
+    bases: dict[str, str] = {}
+    for name in wanted:
+        told: list[str] = []
+        base = _base(name) if by_file else None
+        if base in bases:
+            yield problem("warning", "other", f"{name} has the collection of {bases[base]}, too", entry=name, collection=base)
+        bases.setdefault(base or "", name)
+        collection, orphans, n = base or UNCATEGORIZED, 0, 0
+        here = {"entry": name, "seq": names.index(name)}
+        for offset, fields, error in bson.stream(gunzipped(last[name].chunks(data), told)):
+            at = here | {"offset": offset, "collection": collection}
+            if error:
+                severity = "warning" if by_file or error == "nested too deep" else "error"
+                if not (told and error == "unexpected end"):  # a gzip stream that is cut tells that itself
+                    yield problem(severity, "bsonMalformedDocument", f"{name}: {error}", **at)
+                continue
+            if not by_file:
+                marker = _marker(fields)
+                if marker is not None:
+                    collection = marker
+                    continue
+                if collection == UNCATEGORIZED:
+                    if orphans == 0:
+                        yield problem("warning", "orphanedRecord", f"documents before the first marker of {name}", **at)
+                    if orphans < SAMPLES:
+                        yield problem("info", "other", f"keys of a document before the first marker: {','.join([k for k, _, _ in fields][:KEYS])}{',…' if len(fields) > KEYS else ''}", **at)
+                    orphans += 1
+            n += 1
+            yield at | _document(fields, secrets) | {"kind": "document"}
+        for message in told:
+            code = "truncatedStatsStream" if name == "db_stat.gz" else "configurationDatabaseMissing" if name == "db.gz" and not n else "zipEntryUnreadable"
+            yield problem("error" if code == "configurationDatabaseMissing" else "warning", code, f"{name}: {message}, after {n} documents", **here)
+
+
+def scanned(found: DataFrame, statistics: bool = False, secrets: frozenset[str] = frozenset(SECRET_FIELDS)) -> DataFrame:
+    """Rows of SCAN of archives (path, content): their entries, documents and problems, in one pass.
+
+    An archive with .bson entries is read by its files, and their names are the collections; else db.gz
     is one stream in which markers name the collection of what follows, and db_stat.gz another, if
-    statistics are asked for. What follows an error in a stream isn't read. A stream is decoded in its order by
-    one task, which hands over BATCH documents at once.
+    statistics are asked for. What follows an error in a stream isn't read, but for a document that is too deep,
+    which is left out alone. seq is an entry's place by name; (seq, offset) is a document's place in its archive.
     """
-    name, base = F.col("name"), F.regexp_replace("name", r"^.*/|\.[^.]+$", "")
-    is_bson = name.endswith(".bson") & ~name.startswith("__MACOSX")
-    wanted = F.when(F.col("by_file"), is_bson & (F.lit(statistics) | ~base.rlike(STATISTICS))).otherwise((name == "db.gz") | (F.lit(statistics) & (name == "db_stat.gz")))
-    rows = found.filter(wanted).select("path", name.alias("entry"), gunzip("data").alias("data"), F.when(F.col("by_file"), base).alias("base"))
-    columns = [x.split()[0] for x in DOCUMENTS.replace(FIELDS, "f").split(", ")]
-
-    def read(path, entry, data, base) -> Iterator[tuple]:
-        collection = base or UNCATEGORIZED
-        for at, fields, error in [(0, None, "decompressionFailed")] if data is None else bson.documents(bytes(data)):
-            if fields is None:
-                yield path, entry, collection, at, None, None, None, None, None, error
-                continue
-            marker = _marker(fields) if base is None else None
-            if marker is not None:
-                collection = marker
-                continue
-            own = next((bson.display(t, v) for k, t, v in reversed(fields) if k == "_id"), "") if [t for k, t, _ in fields if k == "_id"][-1:] in (["objectId"], ["string"], ["int32"], ["int64"]) else ""
-            shown = [{"pos": i, "key": k, "type": t, "display": bson.display(t, v), "pretty": bson.pretty(t, v)} for i, (k, t, v) in enumerate(fields)]
-            safe = bson.redacted(fields, secrets, REDACTED)
-            yield path, entry, collection, at, own, shown, bson.as_json(fields), bson.as_json(safe), bson.named_paths(fields, secrets), None
+    columns = [x.split()[0] for x in SCAN.replace(FIELDS, "f").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                some = read(row.path, row.entry, row.data, row.base)
-                while part := list(islice(some, BATCH)):
-                    yield pd.DataFrame(part, columns=columns)
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows = []
+                for row in _scan(bytes(content), statistics, secrets):
+                    rows.append([path if c == "path" else row.get(c) for c in columns])
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return found.filter("content IS NOT NULL").select("path", "content").mapInPandas(run, SCAN)
+
+
+def documents(scan: DataFrame) -> DataFrame:
+    """The documents of a scan, with the columns of DOCUMENTS."""
+    return scan.filter("kind = 'document'").select(*DOCUMENTS)
 
-    return rows.mapInPandas(run, DOCUMENTS)
+
+def inventory(scan: DataFrame) -> DataFrame:
+    """(path, name, bytes) of the entries that can be read."""
+    return scan.filter("kind = 'entry'").select("path", F.col("entry").alias("name"), "bytes")
 
 
 #: Severity of each code that diagnostics() gives.
 SEVERITIES = {"info": 0, "warning": 1, "error": 2}
 
 
-def diagnostics(found: DataFrame, unpacked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(path, severity, code, message, position, collection) of all that went wrong in files, entries and documents.
+def diagnostics(found: DataFrame, scan: DataFrame) -> DataFrame:
+    """(path, severity, code, message, position, collection) of all that went wrong in archives (path, status) and their scan.
 
-    An archive with neither .bson entries nor db.gz has no configuration database; records before the first marker are
-    orphans, told once for a stream; collections without a typed record are summed up.
+    Documents before the first marker are orphans, told once for a stream, with the keys of the first SAMPLES of them;
+    collections without a typed record are summed up; identity() tells what it can't read and which kind a backup is.
     """
     none = F.lit(None)
 
-    def row(rows: DataFrame, severity: str, code: Column, message: Column, position: Column = none, collection: Column = none) -> DataFrame:
-        return rows.select("path", F.lit(severity).alias("severity"), code.alias("code"), message.alias("message"), position.cast("long").alias("position"), collection.cast("string").alias("collection"))
+    def row(rows: DataFrame, severity: Column, code: Column, message: Column, position: Column = none, collection: Column = none) -> DataFrame:
+        return rows.select("path", severity.alias("severity"), code.alias("code"), message.alias("message"), position.cast("long").alias("position"), collection.cast("string").alias("collection"))
 
-    bare = unpacked.filter("name IS NOT NULL AND NOT by_file AND NOT streamed").select("path").distinct()
-    orphans = docs.filter((F.col("collection") == UNCATEGORIZED) & F.col("error").isNull()).groupBy("path", "entry").agg(F.count("*").alias("n"), F.min("offset").alias("offset"))
+    told = identity(scan).select("path", F.explode("told").alias("t"))
     parts = [
-        row(found.filter("status <> 'ok'"), "error", F.col("status"), F.lit("not readable as a backup")),
-        row(bare, "error", F.lit("configurationDatabaseMissing"), F.lit("neither .bson entries nor db.gz")),
-        row(unpacked.filter("code IS NOT NULL"), "warning", F.col("code"), F.coalesce("name", F.lit("no entries"))),
-        row(docs.filter("error IS NOT NULL AND entry = 'db_stat.gz' AND error = 'decompressionFailed'"), "warning", F.lit("truncatedStatsStream"), F.col("entry")),
-        row(docs.filter("error IS NOT NULL AND entry LIKE '%.bson'"), "warning", F.lit("bsonMalformedDocument"), F.concat("entry", F.lit(": "), F.col("error")), F.col("offset"), F.col("collection")),
-        row(docs.filter("error IS NOT NULL AND NOT entry LIKE '%.bson' AND NOT (entry = 'db_stat.gz' AND error = 'decompressionFailed')"), "error", F.lit("bsonMalformedDocument"), F.concat("entry", F.lit(": "), F.col("error")), F.col("offset"), F.col("collection")),
-        row(orphans, "warning", F.lit("orphanedRecord"), F.concat(F.col("n").cast("string"), F.lit(" before the first marker of "), F.col("entry")), F.col("offset"), F.lit(UNCATEGORIZED)),
-        row(opaque_summary(docs), "info", F.lit("unknownCollection"), F.col("summary")),
+        row(found.filter("status <> 'ok'"), F.lit("error"), F.col("status"), F.lit("not readable as a backup")),
+        row(scan.filter("kind = 'problem'"), F.col("severity"), F.col("code"), F.col("message"), F.col("offset"), F.col("collection")),
+        row(told, F.col("t.severity"), F.col("t.code"), F.col("t.message")),
+        row(opaque_summary(documents(scan)), F.lit("info"), F.lit("unknownCollection"), F.col("summary")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -260,21 +267,32 @@ def secret_counts(docs: DataFrame) -> DataFrame:
     return docs.select("path", "collection", F.explode("secrets").alias("secret")).groupBy("path", "collection", "secret").agg(F.count("*").alias("n"))
 
 
-def identity(found: DataFrame, docs: DataFrame, origins: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """(path, version, format, timestamp, kind, origin) of each archive of entries.
+def identity(scan: DataFrame, origins: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(path, version, format, timestamp, kind, origin, told) of each archive of a scan, in one grouping.
 
-    origins are (substring, origin) rules for the properties entry, first match wins. Text that isn't UTF-8 counts as missing.
+    origins are (substring, origin) rules for the properties entry, first match wins. Text that isn't UTF-8, and a
+    timestamp that is neither a number of milliseconds nor ISO 8601, counts as missing; told (severity, code, message) says so, and which kind
+    of part a backup is.
     """
-    text = F.when(F.is_valid_utf8(F.col("data").cast("string")), F.col("data").cast("string"))
-    of = lambda name: F.max(F.when(F.col("name") == name, text))
+    raw = F.col("data").cast("string")
+    entry = lambda name: (F.col("kind") == "entry") & (F.col("entry") == name)
+    of = lambda name: F.max(F.when(entry(name) & F.is_valid_utf8(raw), raw))
+    bad = lambda name: F.coalesce(F.bool_or(entry(name) & ~F.is_valid_utf8(raw)), F.lit(False)).alias(f"bad_{name}")
+    has = lambda c: F.coalesce(F.bool_or((F.col("kind") == "document") & (F.col("collection") == c)), F.lit(False)).alias(c)
+    stats = F.coalesce(F.bool_or((F.col("kind") == "entry") & F.col("entry").endswith("db_stat.gz")), F.lit(False))
+    named = [of(n).alias(n.rpartition(".")[2]) for n in IDENTITY]
+    rows = scan.groupBy("path").agg(*named, *[bad(n) for n in IDENTITY[:3]], *[has(c) for c in ("site", "admin", "account")], stats.alias("stats"))
     clean = lambda c: F.nullif(sanitise(F.col(c)), F.lit(""))
-    files = found.groupBy("path").agg(*[of(n).alias(n.rpartition(".")[2]) for n in ("version", "format", "timestamp", "system.properties")], F.bool_or(F.col("name").endswith("db_stat.gz")).alias("stats"))
-    has = lambda c: F.coalesce(F.bool_or(F.col("collection") == c), F.lit(False)).alias(c)
-    seen = docs.filter("error IS NULL").groupBy(F.col("path").alias("_path")).agg(*[has(c) for c in ("site", "admin", "account")])
-    rows = files.join(seen, F.col("path") == F.col("_path"), "left")
-    kind = F.when(F.expr("site AND NOT admin AND NOT account"), "siteExport").when(F.expr("site AND NOT coalesce(stats, false)"), "settingsOnly").when(F.col("site"), "full").otherwise("unknown")
+    rows = rows.withColumns({"version": clean("version"), "format": clean("format"), "stamp": sanitise(F.col("timestamp"))}).withColumn("timestamp", epoch_or_iso(F.col("stamp")))
+    kind = F.when(F.expr("site AND NOT admin AND NOT account"), "siteExport").when(F.expr("site AND NOT stats"), "settingsOnly").when(F.col("site"), "full").otherwise("unknown")
+    rows = rows.withColumn("kind", kind)
+    note = lambda when, severity, code, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message")))
+    told = [note(F.col(f"bad_{n}"), "warning", f"{n}Unparseable", F.lit(f"{n} is no UTF-8")) for n in IDENTITY[:3]]
+    told.append(note(F.col("stamp").isNotNull() & F.col("timestamp").isNull(), "warning", "timestampUnparseable", F.concat(F.lit("timestamp is neither milliseconds nor ISO 8601: "), "stamp")))
+    told.append(note(F.col("kind") == "siteExport", "info", "siteExportDetected", F.lit("one site, without the collections of the whole")))
+    told.append(note(F.col("kind") == "settingsOnly", "info", "settingsOnlyDetected", F.lit("no statistics")))
     origin = first_rule(F.coalesce("properties", F.lit("")), origins, "unknown")
-    return rows.select("path", clean("version").alias("version"), clean("format").alias("format"), epoch_or_iso(sanitise(F.col("timestamp"))).alias("timestamp"), kind.alias("kind"), origin.alias("origin"))
+    return rows.select("path", "version", "format", "timestamp", "kind", origin.alias("origin"), F.array_compact(F.array(*told)).alias("told"))
 
 
 def field(name: str, *types: str) -> Column:
@@ -284,6 +302,49 @@ def field(name: str, *types: str) -> Column:
     return F.when(last["type"].isin(*types), last["display"])
 
 
+def field_text(name: str) -> Column:
+    """The last field of a name, if it is a string."""
+    return field(name, "string")
+
+
+def field_type(name: str) -> Column:
+    """The type of the last field of a name; null if there is none."""
+    return F.try_element_at(F.filter("fields", lambda f: f["key"] == name), F.lit(-1))["type"]
+
+
+def int64_value(name: str) -> Column:
+    """A number as a 64-bit integer: doubles cut, those outside null."""
+    return F.coalesce(field(name, "int32", "int64").try_cast("long"), field(name, "double").try_cast("double").try_cast("long"))
+
+
+def double_value(name: str) -> Column:
+    return field(name, "double", "int32", "int64").try_cast("double")
+
+
+def variant_value(path: str, kind: str = "variant") -> Column:
+    """What stands at a path of a document, as a variant or a type; null if it isn't there or is no such value."""
+    return F.try_variant_get(F.try_parse_json("body"), f"$.{path}", kind)
+
+
+def document_keys(name: str) -> Column:
+    """The names of a nested document's fields in their order of JSON; null if the field is none."""
+    return F.when(field_type(name) == "document", F.json_object_keys(F.to_json(variant_value(name))))
+
+
+def array_size(name: str) -> Column:
+    return F.when(field_type(name) == "array", F.size(variant_value(name, "array<variant>")))
+
+
+def with_field(name: str, kind: str, display: Column) -> Column:
+    """The fields with the last one of a name replaced, one added at the end if there is none, or the last one taken out if display is null."""
+    at = F.array_max(F.transform(F.filter("fields", lambda f: f["key"] == name), lambda f: f["pos"]))
+    new = lambda pos: F.struct(pos.cast("int").alias("pos"), F.lit(name).alias("key"), F.lit(kind).alias("type"), display.alias("display"), display.alias("pretty"), F.lit(name in SECRET_FIELDS).alias("secret"))
+    changed = F.transform("fields", lambda f: F.when(f["pos"] == at, new(f["pos"])).otherwise(f))
+    more = F.concat("fields", F.array(new(F.size("fields"))))
+    gone = F.coalesce(F.filter("fields", lambda f: f["pos"] != at), F.col("fields"))
+    return F.when(display.isNull(), F.when(at.isNull(), F.col("fields")).otherwise(gone)).when(at.isNull(), more).otherwise(changed)
+
+
 def _whole(name: str) -> Column:
     """A field as a 32-bit integer: wide integers at the nearest bound, doubles cut; what lies outside is null."""
     wide = field(name, "int32", "int64").try_cast("long")
@@ -349,17 +410,17 @@ def register_collection(name: str, spec: list[tuple[str, tuple[str, ...], str]])
 def typed(docs: DataFrame, collection: str) -> DataFrame:
     """The records of a collection by its spec, with their raw body."""
     columns = [F.coalesce(*[_TYPES[kind](f) for f in names]).alias(c) for c, names, kind in SPECS[collection]]
-    return docs.filter((F.col("collection") == collection) & F.col("error").isNull()).select("path", "id", *columns, "body", "body_redacted", "fields", "entry", "offset")
+    return docs.filter((F.col("collection") == collection)).select("path", "id", *columns, "body", "body_redacted", "fields", "entry", "seq", "offset")
 
 
 def opaque(docs: DataFrame) -> DataFrame:
     """(path, collection, n, first_seen) of the collections without a typed record."""
-    return docs.filter(~F.col("collection").isin(*SPECS) & F.col("error").isNull()).groupBy("path", "collection").agg(F.count("*").alias("n"), F.min("offset").alias("first_seen"))
+    return docs.filter(~F.col("collection").isin(*SPECS)).groupBy("path", "collection").agg(F.count("*").alias("n"), F.min(F.struct("seq", "offset")).alias("first_seen"))
 
 
 def opaque_records(docs: DataFrame) -> DataFrame:
     """(path, collection, id, body) of the records of collections without a typed record."""
-    return docs.filter(~F.col("collection").isin(*SPECS) & F.col("error").isNull()).select("path", "collection", "id", "body")
+    return docs.filter(~F.col("collection").isin(*SPECS)).select("path", "collection", "id", "body")
 
 
 def opaque_summary(docs: DataFrame) -> DataFrame:
@@ -371,4 +432,4 @@ def opaque_summary(docs: DataFrame) -> DataFrame:
 def overview(docs: DataFrame) -> DataFrame:
     """A row for each path: how many records of the main collections it has, and how many secrets in all."""
     named = {"sites": "site", "devices": "device", "wlans": "wlanconf", "networks": "networkconf", "rules": "firewallrule", "admins": "admin"}
-    return docs.filter("error IS NULL").groupBy("path").agg(*[F.count_if(F.col("collection") == c).alias(k) for k, c in named.items()], F.sum(F.size("secrets").cast("long")).alias("secrets"))
+    return docs.groupBy("path").agg(*[F.count_if(F.col("collection") == c).alias(k) for k, c in named.items()], F.sum(F.size("secrets").cast("long")).alias("secrets"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from typing import NamedTuple
 
-#: A document's bytes, and documents inside one another, at most.
+#: A document's bytes, at most, and how deep documents may lie inside one another; deeper ones are skipped, each by itself.
 LIMIT, DEPTH = 16 << 20, 100
 
 
@@ -18,6 +19,10 @@ class Malformed(ValueError):
     """Bytes that are no document; args: what is wrong, and where."""
 
 
+class TooDeep(Malformed):
+    """A document that is left out, while what follows it can be read."""
+
+
 def _cstring(data: bytes, at: int, end: int) -> tuple[str, int]:
     stop = data.find(b"\0", at, end)
     if stop < 0:
@@ -81,7 +86,7 @@ def document(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -
     """The (name, type, value) fields of the document at a place, in order, and the place after it."""
     end = len(data) if end is None else end
     if depth > DEPTH:
-        raise Malformed("nested too deep", at)
+        raise TooDeep("nested too deep", at)
     (size,), body = _unpack("<i", data, at, end)
     if not 5 <= size <= LIMIT or at + size > end:
         raise Malformed("bad document length", at)
@@ -97,17 +102,43 @@ def document(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -
         fields.append((name, kind, value))
 
 
-def documents(data: bytes) -> Iterator[tuple[int, list | None, str | None]]:
-    """(offset, fields, error) of each document of a stream; the first error ends it."""
-    at = 0
-    while at < len(data):
-        try:
-            fields, after = document(data, at)
-        except Malformed as e:
-            yield at, None, e.args[0]
-            return
-        yield at, fields, None
-        at = after
+def stream(chunks: Iterable[bytes]) -> Iterator[tuple[int, list | None, str | None]]:
+    """(offset, fields, error) of each document of a stream that comes in chunks. An error ends it, but for a document that is too deep.
+
+    What is held is a chunk and the document that it cuts.
+    """
+    held, passed = bytearray(), 0
+    for some in chunks:
+        held += some
+        low = 0
+        while len(held) - low >= 4:
+            (size,) = struct.unpack_from("<i", held, low)
+            if 5 <= size <= LIMIT and len(held) - low < size:
+                break
+            try:
+                yield passed + low, document(bytes(held[low : low + max(size, 5)]))[0], None
+            except Malformed as e:
+                yield passed + low, None, e.args[0]
+                if not isinstance(e, TooDeep):
+                    return
+            low += size
+        del held[:low]
+        passed += low
+    if held:
+        yield passed, None, "unexpected end"
+
+
+def fingerprint(fields: list) -> str:
+    """A digest that documents share if they have the same fields of the same types and values in the same order; -0.0 is 0.0, and one NaN is another."""
+
+    def same(kind: str, value):
+        if kind == "document":
+            return [(k, t, same(t, v)) for k, t, v in value]
+        if kind == "array":
+            return [(t, same(t, v)) for t, v in value]
+        return value + 0.0 if kind == "double" else value
+
+    return hashlib.md5(repr(same("document", fields)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def display(kind: str, value) -> str:
@@ -145,7 +176,7 @@ def plain(kind: str, value):
     if kind == "double":
         return value if value == value and abs(value) != float("inf") else None
     if kind == "binary":
-        return {"$binary": base64.b64encode(value[1]).decode(), "$subtype": value[0]}
+        return {"$binary": base64.b64encode(value[1]).decode(), "$subtype": f"{value[0]:02x}"}
     if kind == "regex":
         return {"$regex": value[0], "$options": value[1]}
     if kind == "timestamp":
