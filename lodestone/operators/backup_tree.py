@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import matches
@@ -61,6 +61,13 @@ REFERENCES = (
     ("privilege", "admin_id", "admin"),
     ("dpigroup", "dpiapp_ids[]", "dpiapp"),
 )
+# The symbols of categories and kinds.
+CATEGORY_SYMBOLS = {"cat:sites": "house", "cat:admins": "person.badge.key", "cat:radius": "key", "cat:hotspot": "ticket", "cat:accounts": "person.crop.circle.badge.questionmark", "cat:opaque": "tray.full"}
+CHILD_SYMBOLS = {"Devices": "antenna.radiowaves.left.and.right", "WLANs": "wifi", "Networks": "network", "Firewall": "shield", "Port Profiles": "rectangle.stack", "Clients": "person.2", "Settings": "slider.horizontal.3"}
+SYMBOLS = {
+    "site": "house", "device": "antenna.radiowaves.left.and.right", "wlanGroup": "wifi.square", "wlan": "wifi", "network": "network", "firewallGroup": "shield.lefthalf.filled", "firewallRule": "shield", "portForward": "arrow.forward.to.line", "portProfile": "rectangle.stack",
+    "routing": "arrow.triangle.branch", "client": "person", "admin": "person.badge.key", "account": "person.crop.circle.badge.questionmark", "radius": "key", "hotspotOp": "ticket", "setting": "slider.horizontal.3", "opaqueCollection": "tray.full", "opaqueRecord": "doc.text",
+}
 COLUMNS = ("path", "key", "depth", "node_id", "parent_id", "kind", "title", "tag", "fields", "body", "body_redacted")
 _NONE = {"tag": "string", "fields": None, "body": "string", "body_redacted": "string"}
 
@@ -150,6 +157,36 @@ def nodes(docs: DataFrame, lone_routes: bool = False) -> DataFrame:
     return out.withColumn("depth", F.length("key") - F.length(F.replace("key", F.lit("/")))).select(*COLUMNS)
 
 
+def symbol() -> Column:
+    """The name of a node's symbol."""
+    return F.when(F.col("kind") == "category", _choice(CATEGORY_SYMBOLS, F.col("node_id"))).when(F.col("kind") == "siteChildCategory", _choice(CHILD_SYMBOLS, F.col("title"))).otherwise(_choice(SYMBOLS, F.col("kind")))
+
+
+def scope(tree: DataFrame, category: str | None = None) -> DataFrame:
+    """The nodes at the top of an outline: the children of one category, or those of all."""
+    return tree.filter((F.col("depth") == 1) & (F.lit(category is None) | (F.col("parent_id") == f"cat:{category}")))
+
+
+def lookup(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each (path, node_id) wanted the first node of that id in the order of the outline, which may stand in several places."""
+    asked = wanted.select(F.col("path").alias("_p"), F.col("node_id").alias("_n")).distinct()
+    hits = tree.join(asked, (F.col("path") == F.col("_p")) & (F.col("node_id") == F.col("_n")), "left_semi")
+    first = hits.groupBy(F.col("path").alias("_p"), F.col("node_id").alias("_n")).agg(F.min("key").alias("_k"))
+    return hits.join(first, (F.col("path") == F.col("_p")) & (F.col("node_id") == F.col("_n")) & (F.col("key") == F.col("_k"))).drop("_p", "_n", "_k")
+
+
+def children(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes right below nodes (path, key), in their order: those whose key has one part more."""
+    up = nodes.select(F.col("path").alias("_p"), F.col("key").alias("_k")).distinct()
+    return tree.join(up, (F.col("path") == F.col("_p")) & (F.regexp_replace("key", "/[^/]*$", "") == F.col("_k")) & (F.col("depth") > 0), "left_semi")
+
+
+def collections(docs: DataFrame) -> DataFrame:
+    """(path, collection, n, place): the collections of each backup in the order in which they are met."""
+    counts = docs.groupBy("path", "collection").agg(F.count("*").alias("n"), F.min(F.struct("seq", "offset")).alias("first"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("first"))).drop("first")
+
+
 def badges(tree: DataFrame) -> DataFrame:
     """(path, category, badge): the direct children of each category at the top."""
     return tree.filter(F.col("parent_id").startswith("cat:")).groupBy("path", F.substring("parent_id", 5, 100).alias("category")).agg(F.count("*").alias("badge"))

@@ -178,6 +178,20 @@ def lengths(parts: DataFrame, preset: str = "claude") -> DataFrame:
     return parts.groupBy("path").agg(F.sum(graphemes(F.col("text")).cast("long")).alias("n")).withColumn("over", F.col("n") > PRESETS[preset].budget)
 
 
+def preview(parts: DataFrame, most: int = 2000) -> DataFrame:
+    """(path, text): the beginning of each export of whole(), of which no more parts are put together than it needs."""
+    size = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("path").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = parts.withColumn("_before", size).filter(F.col("_before") < most)
+    listed = F.sort_array(F.collect_list(F.struct("key", F.substring("text", 1, most).alias("text"))))  # parts are never empty but the last, so there are most at most
+    return some.groupBy("path").agg(F.substring(F.array_join(F.transform(listed, lambda x: x["text"]), ""), 1, most).alias("text"))
+
+
+def hint(parts: DataFrame, preset: str = "claude") -> DataFrame:
+    """(path, hint): what each export of whole() takes of the preset's budget, in words."""
+    p = PRESETS[preset]
+    return lengths(parts, preset).select("path", F.concat(F.lit(f"Budget for {p.title}: ~{p.budget} characters. Current: "), F.col("n").cast("string"), F.lit(" characters.")).alias("hint"))
+
+
 def suggested_name(identity: DataFrame, kind: str, secrets: bool = False, day: Column | None = None, base: str = "backup") -> DataFrame:
     """(path, name): a file name for each archive's export, with the day, the version if it is known, and a warning if it has secrets."""
     stamp = F.date_format(F.current_date() if day is None else day, "yyyy-MM-dd")

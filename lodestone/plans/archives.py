@@ -185,6 +185,53 @@ def backup_selection_sections(t):
     return backup_tree.sections(_selected(nodes)).groupBy("path").agg(F.count("*").alias("selected"))
 
 
+_SYMBOL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in backup_tree.SYMBOLS.items()) + " WHEN 'category' THEN CASE node_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in backup_tree.CATEGORY_SYMBOLS.items()) + " END ELSE CASE title " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in backup_tree.CHILD_SYMBOLS.items()) + " END END"
+
+
+@query(f"SELECT kind, {_SYMBOL} AS symbol, count(*) AS n FROM ({TREE}) GROUP BY 1, 2")
+def backup_symbols(t):
+    """How many nodes each symbol stands for."""
+    return backup_tree.nodes(_documents(t)).groupBy("kind", backup_tree.symbol().alias("symbol")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT path, place, node_id FROM ({TREE}) WHERE depth = 1 AND parent_id = 'cat:admins'")
+def backup_scope(t):
+    """What an outline shows of one category, in its order within the whole."""
+    return backup_tree.scope(_placed(backup_tree.nodes(_documents(t))), "admins").select("path", "place", "node_id")
+
+
+@query(f"SELECT path, node_id, parent_id, title FROM ({TREE}) WHERE parent_id IN ('wlangroup:g0', 'opcoll:zone') OR parent_id LIKE 'sitechild:%:firewall'")
+def backup_children(t):
+    """The children of groups, of an unknown collection and of a site's category."""
+    nodes = stored(backup_tree.nodes(_documents(t)), "tree")
+    return backup_tree.children(nodes, nodes.filter("node_id IN ('wlangroup:g0', 'opcoll:zone') OR node_id LIKE 'sitechild:%:firewall'")).select("path", "node_id", "parent_id", "title")
+
+
+@query(f"SELECT path, node_id, kind, title FROM ({TREE}) WHERE node_id LIKE 'client:%3' OR node_id = 'cat:radius'")
+def backup_lookup(t):
+    """Nodes by their ids, the first of each in the outline."""
+    nodes = stored(backup_tree.nodes(_documents(t)), "tree")
+    wanted = nodes.filter("node_id LIKE 'client:%3' OR node_id = 'cat:radius'").select("path", "node_id")
+    return backup_tree.lookup(nodes, wanted.unionByName(wanted)).select("path", "node_id", "kind", "title")
+
+
+_COLLECTIONS = " UNION ALL ".join([f"SELECT path, '{c}' AS collection, count(*) AS n FROM {_of(c)} GROUP BY 1" for c in KINDS] + [f"SELECT path, 'site', 1 FROM {_ARCHIVES}", f"SELECT path, 'wlangroup', 2 FROM {_ARCHIVES}", f"SELECT {_PATH}, 'user', count(*) FROM customer GROUP BY 1"])
+
+
+@query(f"SELECT path, collection, n, row_number() OVER (PARTITION BY path ORDER BY collection) AS place FROM ({_COLLECTIONS})")
+def backup_collections(t):
+    """The collections of each backup, in the order in which they are met."""
+    return backup_tree.collections(_documents(t)).select("path", "collection", "n", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT path, CAST({_OID} AS VARCHAR) AS id, '_id,site_id,' || CASE WHEN c_custkey % 2 <> 0 THEN 'name,' ELSE '' END || 'mac,model,adopted,port_overrides' AS names, CASE WHEN c_custkey % 2 <> 0 THEN 7 ELSE 6 END AS n, c_custkey % 2 <> 0 AS named, 2 AS items, '[' || '{{portconf_id, n}}, {{portconf_id}}' || ']' AS shown FROM {_of('device')}")
+def backup_fields(t):
+    """The fields of documents in their order: names, how many, whether one is there, and how an array is shown."""
+    docs = _documents(t).filter("collection = 'device'")
+    shown = F.element_at(F.filter("fields", lambda f: f["key"] == "port_overrides"), 1)["pretty"]
+    return docs.select("path", "id", F.array_join(backup.field_names(), ",").alias("names"), F.size("fields").alias("n"), backup.has_field("name").alias("named"), backup.array_size("port_overrides").alias("items"), shown.alias("shown"))
+
+
 _HIT = "kind = 'device' AND lower(title) LIKE '%· m3%'"
 
 
@@ -329,6 +376,18 @@ def backup_export_length(t):
     return export.lengths(_exported(t, "text", "local", True).filter(F.col("key") != export.FOOT), "local")
 
 
+@query(f"SELECT path, substr(text, 1, 2000) AS text FROM ({_TEXT_SQL})")
+def backup_export_preview(t):
+    """The first 2,000 characters of each export."""
+    return export.preview(_exported(t, "text", "gpt", True))
+
+
+@query(f"SELECT path, 'Budget for Gemini (Google): ~800000 characters. Current: ' || length_grapheme(text) || ' characters.' AS hint FROM ({_TEXT_SQL.replace('GPT (OpenAI)', 'Gemini (Google)')})")
+def backup_export_hint(t):
+    """What each export takes of a budget."""
+    return export.hint(_exported(t, "text", "gemini", True), "gemini")
+
+
 @query(f"SELECT 'backup-2024-04-20-v9.5.21' || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS name, sha256, bytes FROM (SELECT path, row_number() OVER (ORDER BY path) AS k, sha256(text) AS sha256, strlen(text) AS bytes FROM ({_MARKDOWN_SQL}))")
 def backup_export_files(t):
     """Exports written to files under their suggested names, and read back from there."""

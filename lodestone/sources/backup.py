@@ -307,6 +307,15 @@ def field_text(name: str) -> Column:
     return field(name, "string")
 
 
+def field_names() -> Column:
+    """The names of a document's fields, in their order."""
+    return F.transform("fields", lambda f: f["key"])
+
+
+def has_field(name: str) -> Column:
+    return F.exists("fields", lambda f: f["key"] == name)
+
+
 def field_type(name: str) -> Column:
     """The type of the last field of a name; null if there is none."""
     return F.try_element_at(F.filter("fields", lambda f: f["key"] == name), F.lit(-1))["type"]
