@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGE, components, forget, hidden, shown, sieved, texts_of, without, written
+from .common import LARGE, components, forget, hidden, marked_by, pick, shown, sieved, texts_of, without, written
 from .words import buffers, mixed, words_of
 
 WORDS = 5
@@ -418,13 +418,50 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, components(links)
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs with a doc_id, written.
+def apart(docs: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs (doc_id, text, any others) with _key: the doc_id, but of ids among twice (id) a number for each of their texts.
+
+    Only rows whose id may be among twice travel; such numbers lie below all ids but the very least.
+    """
+    marked = marked_by(docs, F.col("doc_id"), twice)
+    own = -F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) - F.lit(1 << 62)
+    hit = twice.select(F.col("id").alias("_twice"))
+    found = marked.filter("_may").join(hit, F.col("doc_id") == F.col("_twice"), "left").withColumn("_key", F.when(F.col("_twice").isNotNull(), own).otherwise(F.col("doc_id"))).drop("_twice")
+    return marked.filter("NOT _may").withColumn("_key", F.col("doc_id")).unionByName(found).drop("_may")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(id) of doc_ids that have several texts with different sets, written."""
+    sets = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("set_digest").alias("low"), F.max("set_digest").alias("high"), F.count("set_digest").alias("n"), F.count("*").alias("rows"))
+    return written(sets.filter("low <> high OR n BETWEEN 1 AND rows - 1").select("id"), "repeated-ids", LARGE)
+
 
-    Documents without words (or a null text) are alone. Repeated doc_ids count as documents with that
-    id; null doc_ids are alone and have a null component.
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, n_shingles, component_id) of each row of docs with a doc_id, written; and the ids that apart() divides.
+
+    Documents without words (or a null text) are alone. Rows of one doc_id are one document if their sets are equal, and else
+    documents of their own that share the id; null doc_ids are alone and have a null component.
     """
+    docs = pick(docs, doc_id="long", text="string")
     rows = written(signed(docs), "signatures")
+    twice = _repeated(rows)
+    if twice.isEmpty():
+        return _groups(docs, rows).withColumn("key", F.col("doc_id")), twice
+    forget(rows)
+    docs = apart(docs, twice)
+    names = written(docs.filter("_key <> doc_id").select(F.col("_key").alias("key"), F.col("doc_id").alias("own")).distinct(), "repeated-keys", LARGE)
+    docs = docs.select(F.col("_key").alias("doc_id"), "text")
+    found = _groups(docs, written(signed(docs), "signatures")).withColumnRenamed("doc_id", "key")
+    found = found.join(names, "key", "left").withColumn("doc_id", F.coalesce("own", "key"))
+    # a component with such a document is named by the least of its ids, not of its keys
+    named = found.filter("own IS NOT NULL").select(F.col("component_id").alias("_of")).distinct()
+    least = found.join(named, F.col("component_id") == F.col("_of")).groupBy("_of").agg(F.min("doc_id").alias("_least"))
+    found = found.join(least, F.col("component_id") == F.col("_of"), "left").withColumn("component_id", F.coalesce("_least", "component_id"))
+    return written(found.select("key", "doc_id", "n_shingles", "component_id"), "near-keys", LARGE), twice
+
+
+def _groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents, whose ids tell their sets, and their signatures."""
     known = rows.filter("doc_id IS NOT NULL AND set_digest IS NOT NULL")
     firsts = known.groupBy("set_digest").agg(F.min("doc_id").alias("id"))
     classes = written(known.join(firsts, (known["set_digest"] == firsts["set_digest"]) & (known["doc_id"] == firsts["id"])).select("id", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["id"]), "classes")
@@ -445,13 +482,26 @@ def groups(docs: DataFrame) -> DataFrame:
     return written(grouped.unionByName(alone), "near-groups")
 
 
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs; see keyed()."""
+    return keyed(docs)[0].select("doc_id", "n_shingles", "component_id")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs; see groups()."""
+    """(doc_id, n_shingles, component_id, kept) of each row of docs; see keyed()."""
     return groups(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each group."""
-    gone = near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    """The rows of docs that stay, with all their columns: those of one doc_id of each group.
+
+    Null and empty texts and null doc_ids stay; repeated rows stay or go together; of rows with one doc_id and different
+    texts each stays or goes by its own text. An empty table stays empty.
+    """
+    found, twice = keyed(docs)
+    gone = written(found.filter("doc_id <> component_id").select(F.col("key").alias("id")).distinct(), "near-copies", LARGE)
     plain, names, where = hidden(docs)
-    return shown(without(plain, F.col(where["doc_id"]).cast("long"), written(gone, "near-copies")), names)
+    if twice.isEmpty():
+        return shown(without(plain, F.col(where["doc_id"]).cast("long"), gone), names)
+    plain = apart(plain.withColumns({"doc_id": F.col(where["doc_id"]).cast("long"), "text": F.col(where["text"]).cast("string")}), twice)
+    return shown(without(plain, F.col("_key"), gone), names)

@@ -435,3 +435,16 @@ def test_toxicity_folds_and_spares():
     hit = lambda t: lexicon.features(t, m)[0] > 0
     assert hit("an Idiot") and hit("an 1d10t") and hit("an іdiоt") and hit("IDIOTS!") and hit("ｉｄｉｏｔ")
     assert not hit("a trash can") and not hit("paidiot") and hit("trash canal") and not hit("")
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_near_dedup_of_repeated_ids_with_different_texts(spark, turn):
+    """No link is lost and no text goes with another one of its id, whatever the order of the rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b + " more"), (7, c), (7, None), (8, c + " end"), (9, b + " other"), (9, b + " other"), (2, c + " the end")][::turn]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(clash(docs)).collect())
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 2, False), (7, 7, True), (8, 2, False), (9, 5, False), (9, 5, False), (2, 2, True)])
+    kept = near_dedup.drop_near_copies(clash(docs))
+    assert kept.columns == clash(docs).columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted([(1, a), (5, b), (5, b + " more"), (7, None), (2, c + " the end")], key=repr)
