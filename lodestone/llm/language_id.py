@@ -34,7 +34,8 @@ UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(0x2000)] + [False] * 0x70 + [True] * 0x90)
 _OPENING = re.compile("<html", re.I)
 _CODE = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
+_ELEMENT = re.compile(r"<(script|style)\b", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -64,7 +65,33 @@ def declared_language(html: str) -> str:
 
 
 def visible(html: str) -> str:
-    return html_text.unescape(_HIDDEN.sub(" ", html))
+    """The text of a page: scripts, styles, comments and tags are spaces; what is opened and never closed counts as a tag or as text.
+
+    Each end is looked for from where the last one was, and not again once there is none, so a page takes time by its length.
+    """
+    out, at, low, never = [], 0, 0, set()
+
+    def end_of(what: str, found: int, size: int) -> int | None:
+        if found < 0:
+            never.add(what)
+            return None
+        return found + size
+
+    while (low := html.find("<", low)) >= 0 and len(never) < 4:
+        end = None
+        if (element := _ELEMENT.match(html, low)) and (name := element[1].lower()) not in never:
+            closing = _CLOSING[name].search(html, element.end())
+            end = end_of(name, closing.start() if closing else -1, len(closing[0]) if closing else 0)
+        if end is None and "--" not in never and html.startswith("<!--", low):
+            end = end_of("--", html.find("-->", low + 4), 3)
+        if end is None and ">" not in never:
+            end = end_of(">", html.find(">", low), 1)
+        if end is None:
+            low += 1
+            continue
+        out += [html[at:low], " "]
+        at = low = end
+    return html_text.unescape("".join([*out, html[at:]]))
 
 
 def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:

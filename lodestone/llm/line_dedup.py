@@ -25,7 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LARGE, components, forget, marked_by, pick, sieved, texts_of, written
@@ -39,8 +39,12 @@ LONG, WIDEST = 56, 8
 SIZE, PLACE = (1 << 24) - 1, (1 << 15) - 1
 #: Classes of a group that meet with as many others at once.
 BLOCK = 4096
-#: Pairs (or words of them) that are looked at together, and rows of words and of whole sets.
-CHUNK, ROWS, SETS = 1 << 18, 200_000, 8_000
+#: Words of the classes of a group that meet with as many others at once.
+WORDS = 1 << 20
+#: Rows of one prefix key that one task compares with each other; those of keys with more are dealt anew in blocks of as many.
+HEAVY = 16_000
+#: Pairs (or words of them) that are looked at together, rows of prefixes, and words of sets.
+CHUNK, ROWS, SETS = 1 << 18, 200_000, 1 << 20
 LINES = "doc_id long, line int, class long, check long, n int, counts binary"
 
 
@@ -115,7 +119,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
     """The first line of each class, as far as this task remembers those it has had."""
     done: set[int] = set()
     for _, part in _tokens(batches):
-        of, first = np.unique(part.of, return_index=True)
+        # a task has so many classes that 48 bits wouldn't tell them apart
+        of, first = np.unique(part.of.view(np.uint64) | part.check.view(np.uint64) << np.uint64(48), return_index=True)
         new = np.array([c not in done for c in of.tolist()], dtype=bool)
         keep = np.zeros(len(part.n), dtype=bool)
         keep[first[new]] = True
@@ -236,10 +241,13 @@ def _pairs(key: np.ndarray, n: np.ndarray, bits: Bitmaps) -> Iterator[tuple[np.n
         yield i[ok], j[ok]
 
 
-def _hanging(key: np.ndarray, ref: np.ndarray, bits: Bitmaps) -> Iterator[pa.RecordBatch]:
-    """(a, b) of classes, enough to hold together those that candidate pairs connect."""
+def _hanging(key: np.ndarray, ref: np.ndarray, bits: Bitmaps, unit: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of classes, enough to hold together those that candidate pairs connect; of units only pairs between sides (2 is both)."""
     n, place, of = key & SIZE, ref >> 48, ref & ((1 << 48) - 1)
-    for i, j in _pairs(key >> 24, n, bits):
+    for i, j in _pairs(key >> 24 if unit is None else unit, n, bits):
+        if side is not None:
+            ok = (side[i] != side[j]) | (side[i] == 2)
+            i, j = i[ok], j[ok]
         room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)  # the positional filter
         ok = (room >= _need(n[i], n[j])) & (of[i] != of[j])
         i, j = i[ok], j[ok]
@@ -261,40 +269,99 @@ def _hanging(key: np.ndarray, ref: np.ndarray, bits: Bitmaps) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=["a", "b"])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int, shift: int = 0) -> Iterator[pa.Table]:
-    """Rows that come sorted by a key (without its last bits), in tables of some number or more, none of which cuts the rows of one key."""
-    held, size = [], 0
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, most: int, shift: int = 0, weight: str | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows that come sorted by a key (without its last bits), in tables of most rows (or of a weight of most) or more.
+
+    No table cuts the rows of one key, but for keys of a shift that go beyond one table: those come as they are, told by True.
+    """
+    held, size, long = [], 0, None
+
+    def cut_at_last(whole: pa.Table) -> int:
+        keys = whole.column(key).to_numpy() >> shift
+        return int(np.searchsorted(keys, keys[-1]))
+
     for batch in batches:
         if not batch.num_rows:
             continue
+        if long is not None:  # what still belongs to it passes by
+            keys = batch.column(key).to_numpy() >> shift
+            end = int(np.searchsorted(keys, long, side="right"))
+            if end:
+                yield pa.Table.from_batches([batch.slice(0, end)]), True
+            if end == batch.num_rows:
+                continue
+            long, batch = None, batch.slice(end)
         held.append(batch)
-        size += batch.num_rows
-        if size >= rows:
+        size += int(batch.column(weight).to_numpy().sum()) if weight else batch.num_rows
+        if size >= most:
             whole = pa.Table.from_batches(held)
-            keys = whole.column(key).to_numpy() >> shift
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            cut = cut_at_last(whole)  # the last key may go on
             if cut:
-                yield whole.slice(0, cut)
-                held = whole.slice(cut).to_batches()
-            size = len(keys) - cut if cut else 0  # a long key is looked at again after as many rows
+                yield whole.slice(0, cut), False
+                whole = whole.slice(cut)
+            elif shift:
+                yield whole, True
+                long, whole = int(whole.column(key)[0].as_py()) >> shift, whole.slice(0, 0)
+            held = whole.to_batches()
+            size = (int(whole.column(weight).to_numpy().sum()) if weight else whole.num_rows) if cut else 0  # a long key is looked at again after as many rows
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), False
+
+
+def _bitmaps(bits: pa.Array) -> Bitmaps:
+    width = pc.binary_length(bits).to_numpy().astype(np.int64) >> 3
+    return Bitmaps.laid(width, np.frombuffer(bits.buffers()[2], dtype=np.uint64, count=int(width.sum())))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What hangs together in the rows of each word; they come sorted by word and size, then place and class."""
-    for some in _grouped(batches, "key", ROWS, 24):
-        key, ref = some.column("key").to_numpy(), some.column("ref").to_numpy()
-        new = np.r_[True, (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])]  # repeats of a class by other tasks go
-        bits = some.column("bits").filter(pa.array(new)).combine_chunks()  # a new array, whose buffer begins with its first value
-        width = pc.binary_length(bits).to_numpy().astype(np.int64) >> 3
-        flat = np.frombuffer(bits.buffers()[2], dtype=np.uint64, count=int(width.sum()))
-        yield from _hanging(key[new], ref[new], Bitmaps.laid(width, flat))
+def _candidates(most: int):
+    """(a, b, key, ref, bits): what hangs together in the rows of each key, and the rows themselves of keys that have more than most.
+
+    Rows come sorted by key and size, then place and class.
+    """
+
+    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+        none = lambda c, kind: rows.column(c) if c in rows.schema.names else pa.nulls(rows.num_rows, kind)
+        kinds = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "ref": pa.int64(), "bits": pa.binary()}
+        return pa.RecordBatch.from_arrays([none(c, k) for c, k in kinds.items()], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, more in _grouped(batches, "key", ROWS, 24):
+            key, ref = some.column("key").to_numpy(), some.column("ref").to_numpy()
+            new = np.r_[True, (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])]  # repeats of a class by other tasks go
+            some, key, ref = some.filter(pa.array(new)), key[new], ref[new]
+            _, of, n = np.unique(key >> 24, return_inverse=True, return_counts=True)
+            heavy = (n > most)[of] | more
+            if heavy.any():
+                yield from map(told, some.filter(pa.array(heavy)).combine_chunks().to_batches(max_chunksize=ROWS))
+            if not heavy.all():
+                bits = some.column("bits").filter(pa.array(~heavy)).combine_chunks()  # a new array, whose buffer begins with its first value
+                yield from map(told, _hanging(key[~heavy], ref[~heavy], _bitmaps(bits)))
+
+    return run
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What hangs together between the two sides of each unit of rows of one key, which come sorted by unit and size."""
+    for some, _ in _grouped(batches, "unit", 2 * HEAVY):
+        bits = some.column("bits").filter(pa.array(np.ones(some.num_rows, dtype=bool))).combine_chunks()
+        unit, key, ref, side = (some.column(c).to_numpy() for c in ("unit", "key", "ref", "side"))
+        yield from _hanging(key, ref, _bitmaps(bits), unit, side)
+
+
+def _heavy(rows: DataFrame) -> DataFrame:
+    """(a, b) of what hangs together among rows (key, ref, bits) of keys with many: each key's are dealt in blocks that meet two by two."""
+    part = F.shiftright("key", 24)
+    counts = rows.groupBy(part.alias("_of")).agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("blocks"))
+    rows = rows.join(counts, part == F.col("_of")).withColumn("own", F.pmod(F.xxhash64("ref", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    rows = rows.select(F.xxhash64("_of", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "key", "ref", "bits", side.alias("side"))
+    return rows.repartition("unit").sortWithinPartitions("unit", "key", "ref").mapInArrow(_in_blocks, "a long, b long").distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, check, links, doc_id, line): for each class of a unit its matches there, and the earliest of them. Rows come sorted by unit, then n."""
-    for some in _grouped(batches, "unit", SETS):
+    for some, _ in _grouped(batches, "unit", SETS, weight="n"):
         unit, n, side, of, check, doc_id, line = (some.column(c).to_numpy() for c in ("unit", "n", "side", "class", "check", "doc_id", "line"))
         lists = some.column("words").combine_chunks()
         words = lists.flatten().to_numpy().view(np.uint64)
@@ -352,18 +419,21 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sums = both.filter("counts IS NOT NULL").select("doc_id", "counts").repartition(PARTS, "doc_id").mapInArrow(_summed, "doc_id long, counts binary")
     for r in sums.collect():  # PARTS rows, BUCKETS counts
         rarity.reshape(PARTS, -1)[r["doc_id"]] = np.frombuffer(r["counts"], dtype=np.uint32)
-    firsts = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"))
+    firsts = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"), F.max("n").alias("size"))
     firsts = written(firsts, "line-classes")
 
     prefixes = found.mapInArrow(_prefixes(rarity), "key long, ref long, bits binary")
     dealt = prefixes.repartition(F.shiftright("key", 24)).sortWithinPartitions("key", "ref")
-    hanging = written(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "line-candidates", LARGE)
+    found_once = written(dealt.mapInArrow(_candidates(HEAVY), "a long, b long, key long, ref long, bits binary").distinct(), "line-candidates", LARGE)
+    hanging, heavy = found_once.filter("a IS NOT NULL").select("a", "b"), found_once.filter("key IS NOT NULL").select("key", "ref", "bits")
+    if not heavy.isEmpty():
+        hanging = hanging.unionByName(written(_heavy(heavy), "line-blocks", LARGE))
     groups = components(hanging)
     # what is to be known of the classes of groups, without their sets: those travel twice only
     inside = sieved(firsts.withColumnRenamed("class", "id"), groups.select("id")).join(groups, "id").withColumnRenamed("id", "class")
-    inside = written(inside.select("class", "check", "component", "first.doc_id", "first.line"), "line-groups")
-    sizes = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = inside.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("class", "check"), F.col("blocks")).cast("int"))
+    inside = written(inside.select("class", "check", "component", "first.doc_id", "first.line", "size"), "line-groups")
+    sizes = inside.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / WORDS)).cast("int").alias("blocks"))
+    known = inside.drop("size").join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("class", "check"), F.col("blocks")).cast("int"))
     # only texts that may hold the first line of such a class are read once more
     holding = sieved(found.withColumnRenamed("doc_id", "id"), inside.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id")
     sets = sieved(holding.mapInArrow(_sets, "id long, check long, words array<long>"), groups.select("id")).withColumnRenamed("id", "class")
@@ -374,7 +444,7 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     told = units.repartition("unit").sortWithinPartitions("unit", "n").mapInArrow(_verified, "class long, check long, links long, doc_id long, line int")
     links = told.groupBy("class", "check").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "line")).alias("other"))
     links = written(links, "line-links")
-    for old in (hanging, inside, groups):
+    for old in (found_once, inside, groups):
         forget(old)
     return lines, firsts, links
 
@@ -396,21 +466,42 @@ def decided(docs: DataFrame) -> DataFrame:
     return told.unionByName(rest)
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_links, gone) of the documents with lines, written: gone are the numbers of the lines that go."""
+    gone = F.collect_list(F.when(F.col("removed"), F.col("line"))).alias("gone")
+    sums = decided(docs).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"), gone)
+    return written(sums.withColumnRenamed("doc_id", "_id"), "line-counts", LARGE)
+
+
+def _left(text: Column) -> Column:
+    """A text without its gone lines."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_links) of each row of docs.
+    """(doc_id, n_lines, n_removed, n_links, text_sha256) of each row of docs; text_sha256 is that of the text without its removed lines.
 
     n_lines counts lines with words; n_links sums, over them, the classes of other texts they match.
-    Null texts have no lines; rows without a doc_id are returned with zeros. Repeated doc_ids
-    count as one document's lines.
+    Null texts have no lines and count as empty; rows without a doc_id are returned with zeros and their text as it is. Repeated doc_ids
+    count as one document's lines. Only texts that may lose lines travel, the others' digests do.
     """
-    sums = decided(docs).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"))
-    every = pick(docs, doc_id="long")
-    return every.join(sums.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed", "n_links")))
+    sums = _told(docs)
+    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = marked_by(rows, F.col("doc_id"), sums.filter("n_removed > 0").select(F.col("_id").alias("id")))
+    rows = rows.select("doc_id", F.when(~F.col("_may"), F.sha2("text", 256)).alias("sha"), F.when(F.col("_may"), F.col("text")).alias("text"))
+    found = rows.join(sums, F.col("doc_id") == F.col("_id"), "left")
+    text = F.when(F.col("n_removed") > 0, _left(F.col("text"))).otherwise(F.col("text"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed", "n_links")]
+    return found.select("doc_id", *counts, F.coalesce("sha", F.sha2(text, 256)).alias("text_sha256"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of each row of docs without its removed lines."""
-    gone = decided(docs).filter("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    rows = pick(docs, doc_id="long", text="string").join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    """(doc_id, text) of each row of docs without its removed lines.
+
+    Null texts stay null, rows without a doc_id stay as they are; an empty table stays empty. Only texts that may lose lines travel.
+    """
+    gone = _told(docs).filter("n_removed > 0").select("_id", "gone")
+    rows = marked_by(pick(docs, doc_id="long", text="string"), F.col("doc_id"), gone.select(F.col("_id").alias("id")))
+    some = rows.filter("_may").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    some = some.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_left(F.col("text"))).alias("text"))
+    return rows.filter("NOT _may").select("doc_id", "text").unionByName(some)

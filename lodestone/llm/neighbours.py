@@ -116,9 +116,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK)
     """(query_id, rank, vec_id, score): the k nearest rows of each row whose vec_id is divisible by `every`.
 
     Ties go to the smaller vec_id; with fewer than k other rows all are returned. Of vectors of
-    other dimensions than the query's, none is a candidate. Repeated vec_ids count once.
+    other dimensions than the query's, none is a candidate. Repeated vec_ids count once, with the least of their vectors.
     """
-    rows = written(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+    rows = written(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     blocks, query_blocks = max(1, math.ceil(stats["n"] / block)), max(1, math.ceil(stats["q"] / QUERY_BLOCK))
     norm2 = float(stats["norm2"] or 0.0)

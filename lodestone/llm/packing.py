@@ -212,5 +212,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
+
+    Null and empty texts are one piece of the end id; null doc_ids stay null; repeated rows are documents of their own, each with
+    its pieces; pieces of equal length take slots in any order. An empty table has no pieces.
+    """
     return pack(written(token_pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)

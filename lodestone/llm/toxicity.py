@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -99,7 +101,10 @@ class Lexicon:
                 else:
                     hits.append((start, end, weight))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+            spared.sort()
+            starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            # of the phrases that begin no later than an entry, the one that reaches furthest holds it or none does
+            hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
         total = sum(h[2] for h in hits)
         words = 1 + text.count(" ") + text.count("\n")
         return math.log1p(total), math.log1p(100 * total / words)
@@ -131,12 +136,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexicon:
     """The lexicon of docs (doc_id, text) by labels (doc_id, toxic) of rows that aren't held out.
 
-    Null texts count as empty; null labels and ids are no labels. Without toxic rows the
-    lexicon is empty and every score is near 0.
+    Null texts count as empty; null labels and ids are no labels; of labels that disagree on a doc_id the worst counts.
+    Without toxic rows the lexicon is empty and every score is near 0.
     """
     small_batches(docs.sparkSession)
     known = pick(labels, doc_id="long", toxic="int").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = pick(docs, doc_id="long", text="string")
     # at most max_rows rows of two numbers
     rows = texts.join(F.broadcast(known), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
@@ -196,14 +201,20 @@ def features_udf(lexicon: Lexicon):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs, from its whole text alone."""
+    """(doc_id, held_out, score, predicted) of every row of docs, from its whole text alone.
+
+    Null and empty texts score as texts without entries do; null doc_ids are not held out; repeated rows are each scored.
+    """
     lexicon = learn(docs, labels)
     scored = pick(docs, doc_id="long", text="string").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), features_udf(lexicon)("text").score.alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score under the threshold, with all their columns; no exchange."""
+    """The rows of docs that score under the threshold, with all their columns; no exchange.
+
+    Null and empty texts and null doc_ids stay if texts without entries do; repeated rows stay or go together.
+    """
     plain, names, where = hidden(docs)
     scored = plain.withColumn("_score", features_udf(learn(docs, labels))(F.col(where["text"])).score)
     return shown(scored.filter(F.col("_score") < threshold), names)

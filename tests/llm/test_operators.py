@@ -257,9 +257,10 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.search(df.filter("vec_id < 3")).count() == 2
 
 
-@pytest.mark.parametrize("hot, block", [(20_000, 1024), (20_000, 3), (2, 3)])
-def test_line_dedup_as_brute_force(spark, empty, monkeypatch, hot, block):
-    monkeypatch.setattr(line_dedup, "BLOCK", block)
+@pytest.mark.parametrize("hot, block, heavy, words", [(20_000, 1024, 16_000, 1 << 20), (20_000, 3, 4, 1 << 20), (2, 3, 16_000, 40), (2, 1024, 3, 40)])
+def test_line_dedup_as_brute_force(spark, empty, monkeypatch, hot, block, heavy, words):
+    for name, value in (("BLOCK", block), ("HEAVY", heavy), ("WORDS", words)):
+        monkeypatch.setattr(line_dedup, name, value)
     random.seed(6)
     base = [" ".join(f"w{random.randint(0, 40)}" for _ in range(random.randint(1, 12))) for _ in range(30)]
     base += [" ".join(f"v{random.randint(0, 40)}" for _ in range(60))]
@@ -287,9 +288,16 @@ def test_line_dedup_as_brute_force(spark, empty, monkeypatch, hot, block):
     assert {r.doc_id: [r.n_lines, r.n_removed, r.n_links] for r in line_dedup.line_dedup(clash(docs)).collect()} == want
     if hot == 2 or block == 3:
         return
+    long = " ".join(f"l{i}" for i in range(3000))
+    many = spark.createDataFrame([(i, f"{long} a{i}") for i in range(40)], "doc_id long, text string")
+    assert [r.n_links for r in line_dedup.line_dedup(many).collect()] == [39] * 40
     assert line_dedup.line_dedup(empty).count() == 0
     left = {r.doc_id: r.text for r in line_dedup.cleaned(docs).collect()}
     assert all(len([x for x in left[i].split("\n") if x.split()]) == want[i][0] - want[i][1] for i in range(60))
+    gone = {(i, k) for i, k, s in lines if any((j, m) < (i, k) and alike(s, x) for j, m, x in lines)}
+    whole = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in [*rows, (70, None), (71, " \n\n")]}
+    assert {i: t or "" for i, t in left.items()} == whole and left[70] is None
+    assert {r.doc_id: r.text_sha256 for r in line_dedup.line_dedup(docs).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in whole.items()}
 
 
 def test_bitmaps_of_lines_bound_their_difference():
@@ -448,3 +456,40 @@ def test_near_dedup_of_repeated_ids_with_different_texts(spark, turn):
     kept = near_dedup.drop_near_copies(clash(docs))
     assert kept.columns == clash(docs).columns
     assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted([(1, a), (5, b), (5, b + " more"), (7, None), (2, c + " the end")], key=repr)
+
+
+def test_long_keys_pass_by_in_parts():
+    """Keys that go beyond one table come as they are, all others whole, whatever the batches."""
+    rng = random.Random(12)
+    keys = sorted([1] * 5 + [2] * 90 + [3] * 7 + [4] * 40 + [rng.randrange(5, 60) for _ in range(100)])
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([k << 24 | 5 for k in keys[i : i + size]], pa.int64())], names=["key"]) for i in range(0, len(keys), size)]
+        found = list(line_dedup._grouped(iter(batches), "key", 30, 24))
+        assert [k >> 24 for t, _ in found for k in t.column("key").to_pylist()] == keys
+        whole = [set(k >> 24 for k in t.column("key").to_pylist()) for t, more in found if not more]
+        long = [set(k >> 24 for k in t.column("key").to_pylist()) for t, more in found if more]
+        assert all(len(x) == 1 for x in long) and sum(map(len, whole)) == len(set().union(*whole)) and not set().union(*whole) & set().union(*long)
+
+
+def test_time_grows_with_the_length_of_odd_pages_and_texts():
+    import time
+
+    start = time.time()
+    for part in ("<script>", "<style ", "<!-- ", "< ", "<script></style>"):
+        assert language_id.visible(part * 100_000 + " end").strip().endswith("end")
+    lexicon = toxicity.Lexicon({"trash": 1.0}, ("trash can",))
+    assert lexicon.features("trash can " * 100_000 + "trash", lexicon.matcher())[0] == pytest.approx(np.log1p(1.0))
+    assert time.time() - start < 30
+    assert language_id.visible("a<SCRIPT x>b<c</script >d<!-- e > -->f<g\nh>i &lt; <j") == "a d f i < <j"
+    assert language_id.visible("<script>a<b>c</style>d<!--e") == " a c d<!--e"
+
+
+def test_labels_and_vectors_that_repeat(spark):
+    texts = spark.createDataFrame([(i, ("vile filth " if i % 2 else "fine words ") * 3) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 0) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(texts, labels).collect()}
+    assert got == {i: i % 2 for i in range(200)}  # the worst of labels that disagree
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [-1.0, 0.0]), (3, [1.0, 1.0])]
+    for some in (rows, rows[::-1]):
+        found = neighbours.search(spark.createDataFrame(some, "vec_id long, embedding array<double>")).collect()
+        assert {(r.query_id, r.vec_id, r.score) for r in found} == {(0, 3, 1.0), (0, 20, -1.0), (20, 0, -1.0), (20, 3, -1.0)}
