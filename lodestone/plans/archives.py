@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import backup_tree, export
 from lodestone.sources import backup
-from lodestone.sources.store import folder, stored
+from lodestone.sources.store import folder, save_blobs, stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,7 +35,7 @@ def query(sql: str):
     return add
 
 
-def _backups(t) -> DataFrame:
+def _backups(t, statistics: bool = False) -> DataFrame:
     import gzip
     import io
     import zipfile
@@ -77,6 +77,9 @@ def _backups(t) -> DataFrame:
         else:
             stream = b"".join(bson.encode({"collection": c}) + b"".join(map(bson.encode, docs)) for c, docs in sorted(found.items()) if docs)
             files |= {"db.gz": gzip.compress(stream)}
+        if statistics:
+            hours = b"".join(bson.encode({"_id": k, "n": k * 2}) for k, _ in rows if k % 3 == 0)
+            files |= {"stat_hour.bson": hours} if nation % 2 else {"db_stat.gz": gzip.compress(bson.encode({"collection": "stat_hour"}) + hours)}
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for name, data in files.items():
@@ -185,6 +188,28 @@ def backup_selection_sections(t):
     return backup_tree.sections(_selected(nodes)).groupBy("path").agg(F.count("*").alias("selected"))
 
 
+@query(f"SELECT {_PATH} AS path, 'stat_hour' AS collection, count(*) AS n, CAST(sum(2 * c_custkey) AS BIGINT) AS total FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1")
+def backup_statistics(t):
+    """What statistics add to backups that have been scanned without them."""
+    found = stored(backup.archives(_backups(t, True)), "archives")
+    plain = stored(backup.scanned(found), "scan")
+    docs = backup.documents(backup.with_statistics(found, plain)).join(backup.documents(plain).select("path", "collection").distinct(), ["path", "collection"], "left_anti")
+    return docs.groupBy("path", "collection").agg(F.count("*").alias("n"), F.sum(backup.int64_value("n")).alias("total"))
+
+
+@query(f"SELECT {_PATH} AS path, CASE WHEN c_nationkey % 2 = 0 THEN 'db.gz' ELSE 'db/user.bson' END AS entry, count(*) AS users FROM customer GROUP BY 1, 2")
+def backup_files(t):
+    """Encrypted archives written to files, opened from there and decrypted."""
+    key, iv = b"0123456789abcdef", b"fedcba9876543210"
+    blobs = _backups(t).withColumn("content", backup.encrypted("content", key, iv))
+    spark = blobs.sparkSession
+    at = f"{folder(spark)}/archives-{uuid.uuid4().hex}"
+    save_blobs(blobs, at)
+    found = backup.archives(backup.files(spark, f"{at}/*.bin"), key, iv).withColumn("path", F.regexp_extract("path", r"([^/]*)\.bin$", 1))
+    docs = backup.documents(backup.scanned(found)).filter("collection = 'user'")
+    return docs.groupBy("path", "entry").agg(F.count("*").alias("users"))
+
+
 _SYMBOL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in backup_tree.SYMBOLS.items()) + " WHEN 'category' THEN CASE node_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in backup_tree.CATEGORY_SYMBOLS.items()) + " END ELSE CASE title " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in backup_tree.CHILD_SYMBOLS.items()) + " END END"
 
 

@@ -133,8 +133,8 @@ def _document(fields: list, secrets: frozenset[str]) -> dict:
     return {"id": own, "fields": shown, "body": body, "body_redacted": bson.as_json(bson.redacted(fields, secrets, REDACTED)) if paths else body, "secrets": paths, "digest": bson.fingerprint(fields)}
 
 
-def _scan(content: bytes, statistics: bool, secrets: frozenset[str]) -> Iterator[dict]:
-    """The rows of SCAN of one archive."""
+def _scan(content: bytes, statistics: bool, secrets: frozenset[str], configuration: bool = True) -> Iterator[dict]:
+    """The rows of SCAN of one archive; without configuration those of statistics alone."""
     data, last, problems = memoryview(content), {}, []
     for m in members(data):
         if m.problem:
@@ -142,20 +142,21 @@ def _scan(content: bytes, statistics: bool, secrets: frozenset[str]) -> Iterator
         else:
             last[m.name] = m
     problem = lambda severity, code, message, **more: {"kind": "problem", "severity": severity, "code": code, "message": message} | more
-    if problems and last:
-        yield problem("info", "zipRecoveryMode", f"read by its local headers, with {len(problems)} warnings")
-    yield from (problem("warning", "zipEntryUnreadable", m.problem, offset=m.at) for m in problems)
-    if not last:
-        yield problem("error", "zipUnreadable", "no entry can be read")
-        return
     names = sorted(last)
-    for seq, name in enumerate(names):
-        kept = b"".join(last[name].chunks(data)) if name in IDENTITY else None
-        yield {"kind": "entry", "entry": name, "seq": seq, "bytes": last[name].size, "data": kept}
     by_file = [n for n in names if n.endswith(".bson") and not n.startswith("__MACOSX")]
-    wanted = [n for n in by_file if statistics or not _base(n).startswith(STATISTICS)] if by_file else [n for n in names if n == "db.gz" or statistics and n == "db_stat.gz"]
-    if not by_file and "db.gz" not in last:
-        yield problem("error", "configurationDatabaseMissing", "neither .bson entries nor db.gz")
+    if configuration:
+        if problems and last:
+            yield problem("info", "zipRecoveryMode", f"read by its local headers, with {len(problems)} warnings")
+        yield from (problem("warning", "zipEntryUnreadable", m.problem, offset=m.at) for m in problems)
+        if not last:
+            yield problem("error", "zipUnreadable", "no entry can be read")
+        for seq, name in enumerate(names):
+            kept = b"".join(last[name].chunks(data)) if name in IDENTITY else None
+            yield {"kind": "entry", "entry": name, "seq": seq, "bytes": last[name].size, "data": kept}
+        if last and not by_file and "db.gz" not in last:
+            yield problem("error", "configurationDatabaseMissing", "neither .bson entries nor db.gz")
+    of_statistics = lambda n: _base(n).startswith(STATISTICS) if by_file else n == "db_stat.gz"
+    wanted = [n for n in by_file or ("db.gz", "db_stat.gz") if n in last and (statistics if of_statistics(n) else configuration)]
     bases: dict[str, str] = {}
     for name in wanted:
         told: list[str] = []
@@ -190,7 +191,7 @@ def _scan(content: bytes, statistics: bool, secrets: frozenset[str]) -> Iterator
             yield problem("error" if code == "configurationDatabaseMissing" else "warning", code, f"{name}: {message}, after {n} documents", **here)
 
 
-def scanned(found: DataFrame, statistics: bool = False, secrets: frozenset[str] = frozenset(SECRET_FIELDS)) -> DataFrame:
+def scanned(found: DataFrame, statistics: bool = False, secrets: frozenset[str] = frozenset(SECRET_FIELDS), configuration: bool = True) -> DataFrame:
     """Rows of SCAN of archives (path, content): their entries, documents and problems, in one pass.
 
     An archive with .bson entries is read by its files, and their names are the collections; else db.gz
@@ -204,7 +205,7 @@ def scanned(found: DataFrame, statistics: bool = False, secrets: frozenset[str]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for row in _scan(bytes(content), statistics, secrets):
+                for row in _scan(bytes(content), statistics, secrets, configuration):
                     rows.append([path if c == "path" else row.get(c) for c in columns])
                     if len(rows) == BATCH:
                         yield pd.DataFrame(rows, columns=columns, dtype=object)
@@ -214,6 +215,11 @@ def scanned(found: DataFrame, statistics: bool = False, secrets: frozenset[str]
     return found.filter("content IS NOT NULL").select("path", "content").mapInPandas(run, SCAN)
 
 
+def with_statistics(found: DataFrame, scan: DataFrame, secrets: frozenset[str] = frozenset(SECRET_FIELDS)) -> DataFrame:
+    """A scan without statistics and what those of the same archives add: nothing else is decoded again."""
+    return scan.unionByName(scanned(found, True, secrets, configuration=False))
+
+
 def documents(scan: DataFrame) -> DataFrame:
     """The documents of a scan, with the columns of DOCUMENTS."""
     return scan.filter("kind = 'document'").select(*DOCUMENTS)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -40,9 +40,13 @@ def release(spark: SparkSession) -> None:
     Files(spark, folder(spark)).delete(folder(spark))
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if re.match(r"\w+://", folder) else (pafs.LocalFileSystem(), folder)
+
+
 def opened(folder: str) -> Callable[[str], pa.NativeFile]:
     """Opens files of a folder to be written, for use inside tasks; through Arrow's file systems, so any store that the executors share will do."""
-    store, path = pafs.FileSystem.from_uri(folder) if re.match(r"\w+://", folder) else (pafs.LocalFileSystem(), folder)
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
     return lambda name: store.open_output_stream(f"{path}/{name}")
 
@@ -64,3 +68,23 @@ class Files:
 
     def delete(self, path: str) -> None:
         self.store.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def save_blobs(blobs: DataFrame, folder: str) -> None:
+    """Writes each of blobs (path, content) to a file of folder, path.bin; a file appears whole or not at all, and a repeated attempt writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = _store(folder)
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                draft = f"{at}/_{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                if store.get_file_info(f"{at}/{path}.bin").type == pafs.FileType.NotFound:
+                    store.move(draft, f"{at}/{path}.bin")
+                else:
+                    store.delete_file(draft)
+            yield batch.select(["path"])
+
+    blobs.select("path", "content").mapInArrow(run, "path string").count()
