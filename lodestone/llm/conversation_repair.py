@@ -300,3 +300,48 @@ def repair_damaged(conversations: DataFrame) -> DataFrame:
     every = pick(conversations, conv_id="long").filter("conv_id IS NOT NULL").distinct()
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS]
     return every.join(found, F.col("conv_id") == F.col("_id"), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The contract of repair_damaged over all conversations, for a check by SQL: all states' cheapest and least audits are carried from row to row."""
+    far = 1_000_000
+    ways: list[list[str]] = [[] for _ in range(4)]
+    for state in range(4):
+        to = state
+        for k in range(3):
+            cost, text = f"acc.s[{state + 1}].c + {INSERT * k}", f"acc.s[{state + 1}].a || '{'I' * k}"
+            way = lambda at, when, more, edit, cost=cost, text=text: ways[at].append(f"{{'c': {cost} + CASE WHEN {when} THEN {more} ELSE {far} END, 'a': {text}{edit}'}}")
+            stays = f"CASE WHEN x.f = 2 THEN {STAYS} ELSE 0 END"
+            way(to, "x.f < 9", DELETE, "D")
+            if to == START:
+                way(SYSTEM, "x.f IN (0, 2) AND x.r = 0", stays, "K")
+            way(AFTER[to], f"x.f IN (0, 2) AND x.r = {AFTER[to] - 1}", stays, "K")
+            way(AFTER[to], "x.f IN (0, 2)", f"{ROLE} + {stays}", "R")
+            if to in (START, ASSISTANT):
+                way(START, "x.f = 9", 0, "")
+            to = AFTER[to]
+    step = "{'r': 0, 'f': 0, 's': [" + ", ".join(f"list_min([{', '.join(w)}])" for w in ways) + "]}"
+    none = "CAST([] AS STRUCT(c INTEGER, a VARCHAR)[])"
+    first = "{'r': 0, 'f': 0, 's': [" + ", ".join(f"{{'c': {0 if k == START else far}, 'a': ''}}" for k in range(4)) + "]}"
+    crc = "xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+    told = "CASE WHEN x.e = 'D' THEN acc.out WHEN x.e = 'K' THEN acc.out || chr(10) || x.role || ':' || x.text ELSE acc.out || chr(10) || CASE WHEN acc.st = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN x.e = 'I' THEN '' ELSE x.text END END"
+    state = "CASE WHEN x.e = 'D' THEN acc.st WHEN x.e = 'K' AND left(x.role, 1) = 's' THEN 1 WHEN acc.st = 2 THEN 3 ELSE 2 END"
+    row = "len(replace(left(audit, CAST(i AS INTEGER)), 'I', '')) + 1"
+    events = f"list_transform(range(len(audit)), lambda i: {{'e': substr(audit, CAST(i + 1 AS INTEGER), 1), 'role': coalesce(parts[{row}].role, ''), 'text': coalesce(parts[{row}].text, ''), 'st': 0, 'out': ''}})"
+    return f"""WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS code FROM conversations, crc WHERE conv_id IS NOT NULL),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT * FROM coded WHERE code > 0 UNION ALL SELECT * FROM coded WHERE code = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM damaged),
+faults AS (SELECT *, CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS r, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM numbered),
+convs AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (k > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, list({{'role': role, 'text': text}} ORDER BY k) AS parts,
+  list({{'r': r, 'f': CASE fault WHEN 'blank' THEN 1 WHEN 'duplicate' THEN 1 WHEN 'truncated' THEN 2 ELSE 0 END, 's': {none}}} ORDER BY k) AS rows FROM faults GROUP BY 1),
+solved AS (SELECT *, list_reduce([{first}] || rows || [{{'r': 0, 'f': 9, 's': {none}}}], lambda acc, x: {step}).s[1] AS best FROM convs),
+audits AS (SELECT *, best.a AS audit, CAST(best.c AS BIGINT) AS cost FROM solved),
+texts AS (SELECT *, substr(list_reduce([{{'e': '', 'role': '', 'text': '', 'st': 0, 'out': ''}}] || {events}, lambda acc, x: {{'e': '', 'role': '', 'text': '', 'st': {state}, 'out': {told}}}).out, 2) AS repaired FROM audits)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM coded) LEFT JOIN texts USING (conv_id)"""
+
+
+SQL = _sql()

@@ -350,3 +350,22 @@ def prefix_nodes(conversations: DataFrame) -> DataFrame:
 def rebuilt_nodes(conversations: DataFrame) -> DataFrame:
     """nodes() of rebuilt() conversations."""
     return nodes(rebuilt(strings(conversations)))
+
+
+_CRC = "xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+#: The nodes of rebuilt conversations from all their prefixes, for a check by SQL: each node counts for the prefixes of its smallest member.
+SQL = f"""WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h, n FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1), crc),
+heads AS (SELECT c.conv_id, r AS pos, role, text FROM convs c JOIN turns b ON b.conv_id = c.base AND b.r <= c.h),
+sizes AS (SELECT c.conv_id, h, coalesce(least(h, b.n), 0) AS k FROM convs c LEFT JOIN (SELECT conv_id AS base, n FROM convs) b USING (base)),
+own AS (SELECT t.conv_id, k + r - h AS pos, role, text FROM turns t JOIN sizes USING (conv_id) WHERE r > h),
+rebuilt AS (SELECT conv_id, pos, strlen(text) AS bytes, md5(length(role) || ':' || role || text) AS symbol FROM (SELECT * FROM heads UNION ALL SELECT * FROM own)),
+prefixes AS (SELECT conv_id, pos AS depth, bytes, string_agg(symbol, '') OVER (PARTITION BY conv_id ORDER BY pos) AS key, left(string_agg(symbol, '') OVER (PARTITION BY conv_id ORDER BY pos), CAST(32 * (pos - 1) AS BIGINT)) AS up FROM rebuilt UNION ALL SELECT conv_id, 0, 0, '', NULL FROM convs),
+nodes AS (SELECT key, any_value(up) AS up, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY 1),
+kids AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (key)),
+sums AS (SELECT p.key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w.bytes) AS saved FROM whole w JOIN prefixes p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY 1),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM (SELECT conv_id, arg_max(key, depth) AS key FROM prefixes GROUP BY 1) GROUP BY 1)
+SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, '{NOTHING}') AS ends_sha256
+FROM whole w JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes u ON u.key = w.up"""

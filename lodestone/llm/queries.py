@@ -62,4 +62,4 @@ def op13_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_near_dedup, op4_url_filter, op5_neighbours, op6_line_dedup, op7_exact_dedup, op8_packing, op9_language_id, op10_toxicity, op11_prefix_trie, op12_conversation_repair, op13_sentence_piece)}
-ORACLES = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_warc": warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_conversation_repair": conversation_repair.SQL}

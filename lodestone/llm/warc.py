@@ -214,3 +214,9 @@ def page_records(spark: SparkSession, pages: DataFrame, split_bytes: int = SPLIT
     records = read_archives(write_archives(pages, fresh(spark, "warc")), split_bytes)
     as_id = lambda c: F.expr(f"try_cast(substring({c}, 10) AS long)")  # noqa: E731  after urn:page:
     return records.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+
+
+#: The contract of page_records over all pages, for a check by SQL: digests in base 32 are five bits of SHA-1 after five.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '')"
+SQL = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
