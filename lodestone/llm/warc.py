@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, pick, written
+from .common import LARGE, fresh, marked_by, pick, written
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -60,38 +60,36 @@ def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, wh
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least
     revisit_min_bytes bytes, that with the smallest page_id is a response and the others are
-    revisits of it. A null page_id never becomes the response of others unless all are null.
-    Each task writes one archive under a name of its attempt and renames it, so an attempt that
-    is repeated replaces it whole. An empty table gives no archive.
+    revisits of it; rows that share the smallest page_id are all responses. A null page_id is a revisit of
+    the others, and a response if all are null. Each attempt of a task writes an archive of its own, and the manifest, which Spark
+    commits, names those of the attempts that succeeded: a repeated or late attempt changes nothing that is read. Only payloads that
+    may repeat travel. An empty table gives no archive.
     """
     rows = pick(pages, page_id="long", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "row": F.monotonically_increasing_id()})
-    first = (
-        rows.filter(F.length("payload") >= revisit_min_bytes)
-        .groupBy("digest")
-        .agg(F.min(F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("at"), F.col("row"), F.col("page_id").alias("id"))).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("digest", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
-    )
-    marked = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("row") != F.col("first_row"), F.coalesce(F.col("first_id").cast("string"), F.lit("None"))).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    first = rows.filter(F.length("payload") >= revisit_min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = written(first.filter("n > 1 AND first_id IS NOT NULL").select(F.col("digest").alias("id"), "first_id"), "warc-repeats", LARGE)
+    marked = marked_by(rows, F.col("digest"), first.select("id"))
+    some = marked.filter("_may").join(first, F.col("digest") == F.col("id"), "left")
+    some = some.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id").cast("string")))
+    others = marked.filter("NOT _may").withColumn("refers_to", F.lit(None).cast("string"))
+    marked = others.select("page_id", "url", "payload", "refers_to").unionByName(some.select("page_id", "url", "payload", "refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        name = f"{folder}/part-{task.partitionId():06d}.warc.gz"
+        name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         store, path = _opened(name)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        draft = f"{path}.{task.taskAttemptId()}"
         size = n = 0
         out = None
         for batch in batches:
             for page_id, url, payload, refers_to in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
                 member = _member(None if page_id is None else int(page_id), url, payload, refers_to, when, level)
-                out = out or store.open_output_stream(draft)
+                out = out or store.open_output_stream(path, compression=None)
                 out.write(member)
                 size, n = size + len(member), n + 1
         if out is not None:
             out.close()
-            store.move(draft, path)
             yield pd.DataFrame({"path": [name], "bytes": [size], "records": [n]})
 
     # doubles can't hold every long, so page_id goes to pandas as text
@@ -210,7 +208,10 @@ _COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
 
 
 def page_records(spark: SparkSession, pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Writes pages as archives, reads them back: one row for each page."""
+    """Writes pages as archives, reads them back: one row for each page.
+
+    Null pages are empty, null and repeated page_ids are records of their own; an empty table has none.
+    """
     records = read_archives(write_archives(pages, fresh(spark, "warc")), split_bytes)
     as_id = lambda c: F.expr(f"try_cast(substring({c}, 10) AS long)")  # noqa: E731  after urn:page:
     return records.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))

@@ -62,6 +62,24 @@ def test_warc_round_trip(spark):
     assert warc.page_records(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    rows = [(None, "n", "same"), (2, "a", "same"), (1, "b", "same"), (1, "b", "same"), (None, "x", "alone"), (None, "y", "nulls"), (None, "z", "nulls"), (9, "e", None), (8, "e", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for some in (pages, pages.repartition(3)):
+        got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.page_records(spark, clash(some.drop("Doc_Id"))).collect()), key=repr)
+        assert got == sorted([(None, "revisit", 1, 4), (2, "revisit", 1, 4), (1, "response", None, 4), (1, "response", None, 4), (None, "response", None, 5), (None, "response", None, 5), (None, "response", None, 5), (9, "revisit", 8, 0), (8, "response", None, 0)], key=repr)
+    assert warc.page_records(spark, pages.limit(0)).collect() == []
+
+
+def test_warc_reads_committed_attempts_only(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(50)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/w")
+    names = [x.name for x in (tmp_path / "w").iterdir()]
+    for name in names:  # what attempts that failed or came late leave
+        (tmp_path / "w" / name.replace(".warc", "9.warc")).write_bytes((tmp_path / "w" / name).read_bytes()[:-5])
+    assert warc.read_archives(manifest).count() == 50 and {r.path.rpartition("/")[2] for r in manifest.collect()} == {n for n in names if not n.startswith(".")}
+
+
 def test_warc_split_at_any_place(spark, tmp_path):
     random.seed(1)
     pages = spark.createDataFrame([(i, "u", "".join(random.choice("abc") for _ in range(random.randint(0, 900)))) for i in range(60)], "page_id long, url string, html string")
