@@ -48,7 +48,7 @@ def opened(folder: str) -> Callable[[str], pa.NativeFile]:
     """Opens files of a folder to be written, for use inside tasks; through Arrow's file systems, so any store that the executors share will do."""
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    return lambda name: store.open_output_stream(f"{path}/{name}")
+    return lambda name: store.open_output_stream(f"{path}/{name}", compression=None)
 
 
 class Files:
@@ -79,7 +79,7 @@ def save_blobs(blobs: DataFrame, folder: str) -> None:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 draft = f"{at}/_{path}.{uuid.uuid4().hex}"
-                with store.open_output_stream(draft) as out:
+                with store.open_output_stream(draft, compression=None) as out:
                     out.write(content)
                 if store.get_file_info(f"{at}/{path}.bin").type == pafs.FileType.NotFound:
                     store.move(draft, f"{at}/{path}.bin")
