@@ -127,7 +127,10 @@ def _base(name: str) -> str:
 def _document(fields: list, secrets: frozenset[str]) -> dict:
     ids = [(t, v) for k, t, v in fields if k == "_id"][-1:]
     own = bson.display(*ids[0]) if ids and ids[0][0] in ("objectId", "string", "int32", "int64") else ""
-    shown = [{"pos": i, "key": k, "type": t, "display": bson.display(t, v), "pretty": REDACTED if k in secrets else bson.pretty(t, v), "secret": k in secrets} for i, (k, t, v) in enumerate(fields)]
+    shown = []
+    for i, (k, t, v) in enumerate(fields):
+        text = bson.display(t, v)
+        shown.append({"pos": i, "key": k, "type": t, "display": text, "pretty": REDACTED if k in secrets else bson.pretty(t, v) if t == "array" else text, "secret": k in secrets})
     paths = bson.named_paths(fields, secrets)
     body = bson.as_json(fields)
     return {"id": own, "fields": shown, "body": body, "body_redacted": bson.as_json(bson.redacted(fields, secrets, REDACTED)) if paths else body, "secrets": paths, "digest": bson.fingerprint(fields)}

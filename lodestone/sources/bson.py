@@ -30,11 +30,14 @@ def _cstring(data: bytes, at: int, end: int) -> tuple[str, int]:
     return data[at:stop].decode("utf-8", "replace"), stop + 1
 
 
+_STRUCTS = {k: struct.Struct(k) for k in ("<d", "<i", "<iB", "<12s", "<B", "<q", "<II")}
+
+
 def _unpack(kind: str, data: bytes, at: int, end: int) -> tuple[tuple, int]:
-    size = struct.calcsize(kind)
-    if at + size > end:
+    form = _STRUCTS[kind]
+    if at + form.size > end:
         raise Malformed("unexpected end", at)
-    return struct.unpack_from(kind, data, at), at + size
+    return form.unpack_from(data, at), at + form.size
 
 
 def _value(tag: int, data: bytes, at: int, end: int, depth: int) -> tuple[str, object, int]:
@@ -92,7 +95,9 @@ def document(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -
         raise Malformed("bad document length", at)
     stop, fields = at + size, []
     while True:
-        (tag,), body = _unpack("<B", data, body, stop)
+        if body >= stop:
+            raise Malformed("unexpected end", body)
+        tag, body = data[body], body + 1
         if tag == 0:
             if body != stop:
                 raise Malformed("document ends early", body)
@@ -128,14 +133,17 @@ def stream(chunks: Iterable[bytes]) -> Iterator[tuple[int, list | None, str | No
         yield passed, None, "unexpected end"
 
 
+_MORE = frozenset(("document", "array", "double"))
+
+
 def fingerprint(fields: list) -> str:
     """A digest that documents share if they have the same fields of the same types and values in the same order; -0.0 is 0.0, and one NaN is another."""
 
     def same(kind: str, value):
         if kind == "document":
-            return [(k, t, same(t, v)) for k, t, v in value]
+            return [(k, t, same(t, v) if t in _MORE else v) for k, t, v in value]
         if kind == "array":
-            return [(t, same(t, v)) for t, v in value]
+            return [(t, same(t, v) if t in _MORE else v) for t, v in value]
         return value + 0.0 if kind == "double" else value
 
     return hashlib.md5(repr(same("document", fields)).encode("utf-8", "surrogatepass")).hexdigest()
@@ -143,6 +151,8 @@ def fingerprint(fields: list) -> str:
 
 def display(kind: str, value) -> str:
     """A value in a line of text."""
+    if kind in ("string", "objectId"):
+        return value
     if kind == "document":
         return "{" + ", ".join(k for k, _, _ in value) + "}"
     if kind == "array":
@@ -166,9 +176,9 @@ def display(kind: str, value) -> str:
 def plain(kind: str, value):
     """A value as JSON has it; of repeated names the last counts."""
     if kind == "document":
-        return {k: plain(t, v) for k, t, v in value}
+        return {k: v if t in _PLAIN else plain(t, v) for k, t, v in value}
     if kind == "array":
-        return [plain(t, v) for t, v in value]
+        return [v if t in _PLAIN else plain(t, v) for t, v in value]
     if kind == "objectId":
         return {"$oid": value}
     if kind == "datetime":
@@ -184,8 +194,15 @@ def plain(kind: str, value):
     return value
 
 
+_json = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+
+
 def as_json(fields: list) -> str:
-    return json.dumps(plain("document", fields), ensure_ascii=False, sort_keys=True)
+    return _json(plain("document", fields))
+
+
+#: Types whose values are themselves in JSON.
+_PLAIN = frozenset(("string", "int32", "int64", "bool", "null"))
 
 
 def pretty(kind: str, value, most: int = 8) -> str:
