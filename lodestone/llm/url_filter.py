@@ -3,8 +3,9 @@
 The tree is kept as a table of (host, template) with counts, a template being all the
 segments of a path. Segments are generalised into wildcards by their shape (numbers, long
 hexadecimal names, dates), and then, level by level, where a node has so many different children
-that few urls share one. Branches that differ in one segment only are merged where their share of
-bad labelled pages doesn't differ from that of all of them by more than chance. Levels where no host
+that few urls share one. Branches that differ in one segment only are merged where both a branch and the rest of them have
+EVIDENCE labels and their shares of bad pages don't differ by more than chance; a branch without
+labels of its own stays by itself and leans on its host. Levels where no host
 has urls enough to generalise, or two templates to merge, are passed over. A template's
 purity is its smoothed share of bad labels: with few labels it leans on its host's share, and
 that on the share of all pages. Templates at or over REJECT are blocked.
@@ -24,6 +25,7 @@ MANY = 20  # different children that make a node's segment variable,
 SHARE = 0.2  # if a child holds less than this share of MANY urls on average
 LEAN = 20.0  # labels that a host's or the corpus' share counts for
 ALIKE = 1.96
+EVIDENCE = 5  # labels that a branch and the rest of its siblings have at least, if they are merged
 REJECT = 0.5
 #: Rules are compared as one expression, so their number is bounded; longer lists belong in the labels.
 MAX_RULES = 1000
@@ -100,8 +102,10 @@ def tree(urls: DataFrame) -> DataFrame:
         pooled = own.filter(F.size("template") > k).groupBy("host", put(F.col("template"), k).alias("pool")).agg(F.sum("own_labels").alias("labels"), F.sum("own_bad").alias("bad"))
         a = own.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "own_labels", "own_bad", put(F.col("template"), k).alias("_pool"))
         b = pooled.select(F.col("host").alias("_ph"), F.col("pool").alias("_pp"), F.col("labels").alias("pool_labels"), F.col("bad").alias("pool_bad"))
+        rest, rest_bad = F.col("pool_labels") - F.col("own_labels"), F.col("pool_bad") - F.col("own_bad")
         share = (F.col("pool_bad") + 0.5) / (F.col("pool_labels") + 1)
-        apart = F.abs(F.col("own_bad") - F.col("own_labels") * share) / F.sqrt(F.greatest(F.col("own_labels"), F.lit(1)) * share * (1 - share))
+        known = F.least(F.col("own_labels"), rest) >= EVIDENCE
+        apart = F.when(known, F.abs(F.col("own_bad") / F.col("own_labels") - rest_bad / rest) / F.sqrt(share * (1 - share) * (1 / F.col("own_labels") + 1 / rest)))
         like = a.join(b, (F.col("_h") == F.col("_ph")) & (F.col("_pool") == F.col("_pp"))).filter(apart <= ALIKE).select("_h", "_t", "_pool")
         rows = rows.join(like, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
         rows = written(rows.withColumn("template", F.coalesce("_pool", "template")).drop("_h", "_t", "_pool"), "url-templates")

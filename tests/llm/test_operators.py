@@ -253,6 +253,69 @@ def test_url_filter_of_deep_paths(spark):
     assert {r.template for r in got if r.page_id == 400} == {"/".join(["*"] * 301)}
 
 
+def brute_tree(rows):
+    """(template, purity) of each (host, segments, bad), by the tree's rules over plain lists."""
+    names = {(h, s): list(s) for h, s, _ in rows}
+    deep = max(len(s) for _, s in names)
+    for k in range(deep):
+        kids = {}
+        for h, s, _ in rows:
+            t = names[h, s]
+            if len(t) > k:
+                kids.setdefault((h, tuple(t[:k])), Counter())[t[k]] += 1
+        wide = {x for x, c in kids.items() if len(c) >= url_filter.MANY and sum(c.values()) < len(c) * url_filter.MANY * url_filter.SHARE}
+        for (h, _), t in names.items():
+            if len(t) > k and (h, tuple(t[:k])) in wide:
+                t[k] = "*"
+
+    def sums(key):
+        out = {}
+        for h, s, bad in rows:
+            if bad is not None:
+                x = out.setdefault(key(h, s), [0, 0])
+                x[0], x[1] = x[0] + 1, x[1] + bad
+        return out
+
+    for k in reversed(range(deep)):
+        put = lambda t, k=k: tuple("*" if i == k else x for i, x in enumerate(t))
+        own, pools = sums(lambda h, s: (h, tuple(names[h, s]))), sums(lambda h, s: (h, put(names[h, s])))
+        for (h, _), t in names.items():
+            n, bad = own.get((h, tuple(t)), (0, 0))
+            all_n, all_bad = pools.get((h, put(t)), (0, 0))
+            share = (all_bad + 0.5) / (all_n + 1)
+            rest = all_n - n
+            if len(t) > k and min(n, rest) >= url_filter.EVIDENCE and abs(bad / n - (all_bad - bad) / rest) / (share * (1 - share) * (1 / n + 1 / rest)) ** 0.5 <= url_filter.ALIKE:
+                t[k] = "*"
+    for h, size in {(h, len(s)) for h, s in names}:
+        same = [t for (g, s), t in names.items() if g == h and len(s) == size]
+        if len({tuple(t) for t in same}) == 1:
+            for t in same:
+                t[:] = ["*"] * size
+    hosts, nodes, every = sums(lambda h, s: h), sums(lambda h, s: (h, tuple(names[h, s]))), sums(lambda h, s: 0).get(0, (0, 0))
+    base = (every[1] + 1) / (every[0] + url_filter.LEAN)
+    smooth = lambda x, up: (x[1] + url_filter.LEAN * up) / (x[0] + url_filter.LEAN)
+    none = (0, 0)
+    return [("/".join(names[h, s]), round(smooth(nodes.get((h, tuple(names[h, s])), none), smooth(hosts.get(h, none), base)), 6)) for h, s, _ in rows]
+
+
+def test_url_tree_as_brute_force(spark):
+    rng = random.Random(7)
+    odds = {"spam": 0.9, "ads": 0.85, "news": 0.03, "blog": 0.05, "shop": 0.05}
+    rows = []
+    for _ in range(1500):
+        host, first = rng.choice(["a.io", "b.io", "c.io"]), rng.choice([*odds])
+        segments = (first, *[rng.choice(["x", "y"]) for _ in range(rng.randrange(2))], *([f"item{'abcdefghij'[rng.randrange(10)]}{'klmnopqrst'[rng.randrange(10)]}"] if rng.random() < 0.6 else []))
+        rows.append((host, segments, None if host == "c.io" or rng.random() < 0.3 else int(rng.random() < odds[first])))
+    rows.append(("lone.io", ("q", "r"), None))
+    pages = spark.createDataFrame([(i, f"http://{h}/{'/'.join(s)}") for i, (h, s, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, None) for i, (_, _, b) in enumerate(rows) if b is not None], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.template, r.bad_share, r.verdict) for r in url_filter.judge(pages, labels).collect()}
+    want = brute_tree(rows)
+    assert [got[i][:2] for i in range(len(rows))] == [(t, pytest.approx(p, abs=2e-6)) for t, p in want]
+    blocked = {rows[i][1][0] for i in got if got[i][2] == "block"}
+    assert blocked >= {"spam"} and not blocked & {"news", "blog"} and any("*" in t for t, _ in want)
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 16)).astype("float32")
