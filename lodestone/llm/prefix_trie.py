@@ -32,7 +32,7 @@ WIDTH = 16
 NOTHING = hashlib.sha256(b"").hexdigest()
 #: Conversations' numbers that one row of text holds, while the digest of a node's own is made.
 CHUNK = 20_000
-NODES = "digest binary, up binary, path long, depth long, conv_id long, parent_conv_id long, bytes long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+NODES = "digest binary, up binary, path long, depth long, conv_id long, parent_conv_id long, bytes long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, early boolean"
 COUNTED = ("n_convs", "n_children", "n_leaves", "saved_tokens")
 
 
@@ -163,7 +163,7 @@ class Range:
             node = todo.pop()
             order.append(node)
             todo += node.kids.values()
-        convs = {}
+        convs, early = {}, {id(n) for n in order if n.gone[0]}  # those that have lost children to earlier batches
         for node in reversed(order):
             children, leaves, saved, members, conv = node.gone
             members, conv, string = members + node.members, least(conv, node.conv), node.string
@@ -174,8 +174,8 @@ class Range:
                 size = int(string.sums[depth] - string.sums[depth - 1])
                 saved += (members - 1) * size
                 last = depth == node.size
-                # the parent of an edge's first turn is known when its own node is
-                self.rows.append([string.digests[depth], string.digests[depth - 1], None, depth, conv, conv if depth > low + 1 else None, size, members, children if last else 1, leaves, saved, node.sha if last else None])
+                # the parent of an edge's first turn is known when its own node is; that of children that went early isn't yet
+                self.rows.append([string.digests[depth], string.digests[depth - 1], None, depth, conv, conv if depth > low + 1 else None, size, members, children if last else 1, leaves, saved, node.sha if last else None, last and id(node) in early])
             above = node.up.gone
             above[:] = above[0] + 1, above[1] + leaves, above[2] + saved, above[3] + members, least(above[4], conv)
             node.gone = [len(self.rows) - 1]  # where its first turn's row is
@@ -213,10 +213,10 @@ class Range:
                     size = int(string.sums[depth] - string.sums[depth - 1]) if depth else 0
                     children, leaves, saved = node.gone[:3] if new and depth == node.size else (0, 0, 0)
                     up = string.digests[depth - 1] if depth else None
-                    self.rows.append([string.digests[depth], up, 2 * self.number + side, depth, conv, None, size, members, children, leaves, saved, node.sha if depth == node.size else None])
+                    self.rows.append([string.digests[depth], up, 2 * self.number + side, depth, conv, None, size, members, children, leaves, saved, node.sha if depth == node.size else None, False])
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in NODES.split(", ")]
+        kinds = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in NODES.split(", ")]
         columns = zip(*self.rows, strict=True) if self.rows else [()] * len(kinds)
         self.rows = []
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
@@ -333,7 +333,8 @@ def nodes(found: DataFrame) -> DataFrame:
     summed = paths.select("path", "depth", "digest", "n_leaves", "saved_tokens").join(own, "digest")
     summed = summed.select("digest", *(F.sum(F.col(c) + F.when(mine, F.col(k)).otherwise(0)).over(along).alias(c) for c, k in (("n_leaves", "leaf"), ("saved_tokens", "save"))))
     summed = summed.groupBy(F.col("digest").alias("_digest")).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-    above = shared.select(F.col("digest").alias("_above"), F.col("conv_id").alias("_conv"))
+    # the parents of what was expanded first: on a path still, or expanded by a later batch
+    above = shared.select("digest", "conv_id").unionByName(inside.filter("early").select("digest", "conv_id")).toDF("_above", "_conv")
     on_path = shared.join(summed, F.col("digest") == F.col("_digest"))
     wanted = ("conv_id", "depth", "parent_conv_id", *COUNTED)
     last = F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256")

@@ -10,7 +10,7 @@ from functools import lru_cache
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import conversation_repair, prefix_trie
+from lodestone.llm import common, conversation_repair, prefix_trie
 
 SF = "/root/testdata/sf0.01/conversations.parquet"
 KIND = "conv_id long, turn long, role string, text string"
@@ -85,6 +85,14 @@ def test_prefix_trie_as_brute_force(spark, rebuild, parts):
     assert got == brute_nodes(rows, rebuild)
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_prefix_trie_in_many_batches(spark, monkeypatch, size):
+    """A node's children may be expanded by an earlier batch than itself."""
+    monkeypatch.setattr(prefix_trie, "written", lambda df, name, batch_rows=0: common.written(df, name, size))
+    rows = odd_rows(1)
+    assert nodes_of(prefix_trie.rebuilt_nodes(spark.createDataFrame(rows, KIND).coalesce(1))) == brute_nodes(rows, True)
+
+
 def test_prefix_trie_of_the_whole_table(spark):
     found = spark.read.parquet(SF)
     assert nodes_of(prefix_trie.rebuilt_nodes(found)) == brute_nodes([tuple(r) for r in found.select("conv_id", "turn", "role", "text").collect()], True)
