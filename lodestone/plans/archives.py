@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import backup_tree, export
 from lodestone.sources import backup
-from lodestone.sources.store import folder, save_blobs, stored
+from lodestone.sources.store import dealt, folder, save_blobs, stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,7 +87,7 @@ def _backups(t, statistics: bool = False) -> DataFrame:
         return pd.DataFrame({"path": [f"n{nation}-{first // PART}"], "content": [out.getvalue()]})
 
     rows = t("customer").select("c_nationkey", "c_custkey", "c_name").withColumn("part", F.expr(f"c_custkey div {PART}"))
-    return rows.groupBy("c_nationkey", "part").applyInPandas(pack, "path string, content binary")
+    return dealt(rows, "c_nationkey", "part").groupBy("c_nationkey", "part").applyInPandas(pack, "path string, content binary")
 
 
 def _scan(t) -> DataFrame:
@@ -372,7 +372,10 @@ _JSON_SQL = _export_sql("json", False, [_line("{"), _line('  "header" : {'), _li
 
 
 def _exported(t, kind: str, preset: str, secrets: bool) -> DataFrame:
-    scan = stored(_scan(t), "scan")
+    return _parts(stored(_scan(t), "scan"), kind, preset, secrets)
+
+
+def _parts(scan: DataFrame, kind: str, preset: str, secrets: bool) -> DataFrame:
     nodes = stored(backup_tree.nodes(backup.documents(scan)), "tree").filter("kind IN ('admin', 'wlan', 'hotspotOp')")
     return export.whole(backup_tree.sections(nodes, secrets), backup.identity(scan), kind, preset, secrets)
 
@@ -416,10 +419,11 @@ def backup_export_hint(t):
 @query(f"SELECT 'backup-2024-04-20-v9.5.21' || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS name, sha256, bytes FROM (SELECT path, row_number() OVER (ORDER BY path) AS k, sha256(text) AS sha256, strlen(text) AS bytes FROM ({_MARKDOWN_SQL}))")
 def backup_export_files(t):
     """Exports written to files under their suggested names, and read back from there."""
-    parts = _exported(t, "markdown", "claude", False)
+    scan = stored(_scan(t), "scan")  # for the exports and their names
+    parts = _parts(scan, "markdown", "claude", False)
     spark = parts.sparkSession
     at = f"{folder(spark)}/exports-{uuid.uuid4().hex}"
-    names = export.suggested_name(backup.identity(_scan(t)), "markdown", day=F.lit("2024-04-20").cast("date"))
+    names = export.suggested_name(backup.identity(scan), "markdown", day=F.lit("2024-04-20").cast("date"))
     export.save(parts, names, at)
     files = spark.read.format("binaryFile").load(at)
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import backup_tree, export, ordered, redact, tree
 from lodestone.sources import backup
-from lodestone.sources.store import stored
+from lodestone.sources.store import dealt, stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -395,7 +395,7 @@ def _backups(t) -> DataFrame:
                 z.writestr(name, data)
         return pd.DataFrame({"path": [f"nation-{nation}-{first // PART}"], "content": [out.getvalue()]})
 
-    return t("customer").withColumn("part", F.expr(f"c_custkey div {PART}")).groupBy("c_nationkey", "part").applyInPandas(pack, "path string, content binary")
+    return dealt(t("customer").withColumn("part", F.expr(f"c_custkey div {PART}")), "c_nationkey", "part").groupBy("c_nationkey", "part").applyInPandas(pack, "path string, content binary")
 
 
 def _contained(t) -> DataFrame:

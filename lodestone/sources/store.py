@@ -35,6 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt by its keys over as many tasks as a shuffle has.
+
+    Adaptive execution would put few bytes into few tasks, which is wrong for rows from which archives are made and decoded.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this application has stored."""
     Files(spark, folder(spark)).delete(folder(spark))

@@ -3,9 +3,11 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import backup_tree, export, tree
+from lodestone.plans import archives, star
 from lodestone.sources import backup, bson
 
 
@@ -308,3 +310,16 @@ def test_trees_of_odd_backups(spark):
     refs = {(r.id, r.target_id, r.found) for r in backup_tree.references(found).filter("field = 'site_id'").collect()}
     assert refs == {("u", "s", True), ("v", "gone", False), ("r", "s", True), ("w", "s", True), ("g", "t", True)}
     assert backup_tree.nodes(found.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("plans", [archives, star])
+def test_archives_are_made_and_decoded_by_all_tasks(spark, plans):
+    found = plans._backups(lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet"))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_exports_to_files_scan_once(spark, monkeypatch):
+    scans, scan = [], archives._scan
+    monkeypatch.setattr(archives, "_scan", lambda t: scans.append(1) or scan(t))
+    assert archives.QUERIES["backup_export_files"](spark, "/root/testdata/sf0.001").count() == 25
+    assert len(scans) == 1
