@@ -244,14 +244,18 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def strings(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns array<struct<symbol, size>>) of each conversation: its turns' digests and the bytes of their texts.
 
-    Turns stand by number (null first), those of one number by role, then digest. Null roles and texts are empty; rows
-    without a conv_id are left out. A conversation's digests (not its texts) make one row.
+    Turns stand by number (null first), those of one number by role, then text. Null roles and texts are empty; rows
+    without a conv_id are left out. A conversation's digests (not its texts) make one row; only texts whose order isn't
+    told by number and role are sorted.
     """
-    rows = pick(conversations, conv_id="long", turn="long", role="string", text="string").filter("conv_id IS NOT NULL")
-    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
-    symbol = F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text))
-    turn = F.struct("turn", role.alias("role"), symbol.alias("symbol"), F.octet_length(text).cast("long").alias("size"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["symbol"].alias("symbol"), t["size"].alias("size"))).alias("turns"))
+    rows = pick(conversations, conv_id="long", turn="long", role="string", text="string").filter("conv_id IS NOT NULL").fillna("", ["role", "text"])
+    rows = rows.withColumn("symbol", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))).withColumn("size", F.octet_length("text").cast("long"))
+    ties = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("role").alias("_role")).agg((F.min("symbol") < F.max("symbol")).alias("_tied")).filter("_tied")
+    met = rows.join(ties, (F.col("conv_id") == F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("role") == F.col("_role")), "left")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "_text")
+    put = met.select("conv_id", "turn", "role", "symbol", "size", F.when(F.col("_tied"), F.col("text")).alias("_text")).withColumn("place", F.row_number().over(order))
+    turns = F.sort_array(F.collect_list(F.struct("place", "symbol", "size")))
+    return put.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["symbol"].alias("symbol"), t["size"].alias("size"))).alias("turns"))
 
 
 def rebuilt(found: DataFrame, every: int = 5, most: int = 9) -> DataFrame:

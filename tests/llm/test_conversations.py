@@ -7,10 +7,11 @@ import zlib
 from collections import defaultdict
 from functools import lru_cache
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, conversation_repair, prefix_trie
+from lodestone.llm import common, conversation_repair, prefix_trie, queries
 
 SF = "/root/testdata/sf0.01/conversations.parquet"
 KIND = "conv_id long, turn long, role string, text string"
@@ -93,6 +94,18 @@ def test_prefix_trie_in_many_batches(spark, monkeypatch, size):
     assert nodes_of(prefix_trie.rebuilt_nodes(spark.createDataFrame(rows, KIND).coalesce(1))) == brute_nodes(rows, True)
 
 
+def test_prefix_trie_orders_one_turn_as_its_sql(spark, tmp_path):
+    """Rows of one turn and role stand by text."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, None, 1, 2]), rng.choice(["u", "", "a"]), rng.choice(["x", "é.", "", "y", "zz"])) for i in range(60) for _ in range(rng.randrange(9))]
+    spark.createDataFrame(rows, KIND).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = "conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256"
+    want = con.execute(f"SELECT {columns} FROM ({prefix_trie.SQL})").fetchall()
+    assert nodes_of(queries.QUERIES["op11_prefix_trie"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
 def test_prefix_trie_of_the_whole_table(spark):
     found = spark.read.parquet(SF)
     assert nodes_of(prefix_trie.rebuilt_nodes(found)) == brute_nodes([tuple(r) for r in found.select("conv_id", "turn", "role", "text").collect()], True)
