@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LARGE, pick, written
+from .common import LARGE, marked_by, pick, written
 from .words import mixed
 
 #: A turn's digest, in bytes.
@@ -250,10 +250,11 @@ def strings(conversations: DataFrame) -> DataFrame:
     """
     rows = pick(conversations, conv_id="long", turn="long", role="string", text="string").filter("conv_id IS NOT NULL").fillna("", ["role", "text"])
     rows = rows.withColumn("symbol", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))).withColumn("size", F.octet_length("text").cast("long"))
-    ties = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("role").alias("_role")).agg((F.min("symbol") < F.max("symbol")).alias("_tied")).filter("_tied")
-    met = rows.join(ties, (F.col("conv_id") == F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("role") == F.col("_role")), "left")
+    key = F.xxhash64("conv_id", "turn", "role")
+    ties = rows.groupBy("conv_id", "turn", "role").agg((F.min("symbol") < F.max("symbol")).alias("tied")).filter("tied").select(key.alias("id"))
+    met = marked_by(rows, key, written(ties, "ties"))  # a text too many changes no order
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "_text")
-    put = met.select("conv_id", "turn", "role", "symbol", "size", F.when(F.col("_tied"), F.col("text")).alias("_text")).withColumn("place", F.row_number().over(order))
+    put = met.select("conv_id", "turn", "role", "symbol", "size", F.when(F.col("_may"), F.col("text")).alias("_text")).withColumn("place", F.row_number().over(order))
     turns = F.sort_array(F.collect_list(F.struct("place", "symbol", "size")))
     return put.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["symbol"].alias("symbol"), t["size"].alias("size"))).alias("turns"))
 
